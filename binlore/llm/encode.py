@@ -7,14 +7,23 @@ marks, where neither vocabulary's pre-tokenizer lets a match run across; so the
 from __future__ import annotations
 
 import os
+import re
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 
-from .textbatch import raw
+from .textbatch import LOWER, raw, table_of
 
-#: Distinct pieces a worker remembers before it starts afresh; bounds its memory.
-CACHE_PIECES = 300_000
+LETTERS = table_of((0x41, 0x5A), (0x61, 0x7A))
+PUNCTUATION = table_of((0x21, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E))
+#: Lead bytes of combining marks; ASCII letters before them are not lower-cased ahead of the tokenizer's normalizer.
+COMBINING = table_of((0xCC, 0xCD), (0xE1, 0xE3), (0xEF, 0xFF))
+
+#: Distinct pieces a worker remembers; bounds its memory. Later ones are encoded in each chunk that has them.
+CACHE_PIECES = 1_000_000
+#: Pieces joined to one text for the tokenizer.
+JOINED = 1000
 
 
 def tokenizer_path(name: str) -> str:
@@ -24,13 +33,17 @@ def tokenizer_path(name: str) -> str:
 
 
 def cut_points(data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Ascending byte positions of cuts: the texts' bounds and safe spaces."""
+    """Ascending byte positions of cuts: the texts' bounds, safe spaces, and ends of ASCII letter runs before punctuation."""
     spaces = np.flatnonzero(data == 0x20)
     spaces = spaces[(spaces > 1) & (spaces + 1 < len(data))]
     before, lead, after = data[spaces - 1], data[spaces - 2], data[spaces + 1]
     graphic = lambda b: (b > 0x20) & (b < 0x7F)
     safe = (graphic(before) | ((before >= 0x80) & (lead >= 0xC3) & (lead <= 0xCB))) & (graphic(after) | ((after >= 0xC3) & (after <= 0xCB)))
-    return np.union1d(spaces[safe], off)
+    marks = np.zeros(len(data) + 1, bool)
+    marks[spaces[safe]] = True
+    marks[1:-1] |= LETTERS[data[:-1]] & PUNCTUATION[data[1:]]
+    marks[off] = True
+    return np.flatnonzero(marks)
 
 
 class PieceEncoder:
@@ -41,47 +54,79 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self._reset()
-
-    def _reset(self) -> None:
+        self.separator, self.mark = self._separator()
+        self.sign = self.separator.strip() or self.separator
+        special = "".join(f"(?!{re.escape(t.content)})" for t in self.tokenizer.get_added_tokens_decoder().values())
+        # one space at most, then visible ASCII and Latin characters without a special token
+        self.plain = re.compile(f" ?(?:{special}[\\x21-\\x7e\\u00c0-\\u02ff])+").fullmatch if self.mark is not None else lambda t: None
+        self.caseless = self.tokenizer.encode("Ab Ñ", add_special_tokens=False).ids == self.tokenizer.encode("ab Ñ", add_special_tokens=False).ids
         self.known: dict[bytes, int] = {}
-        self.ids = np.zeros(1 << 20, np.uint32)
-        self.begin = np.zeros(CACHE_PIECES * 2 + 2, np.int64)
-
-    def _learn(self, pieces: list[bytes]) -> None:
-        encoded = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in pieces], add_special_tokens=False)
-        n = len(self.known)
-        if n + len(pieces) + 1 > len(self.begin):
-            self.begin = np.concatenate((self.begin, np.zeros(len(pieces) + len(self.begin), np.int64)))
-        at = int(self.begin[n])
-        for p, e in zip(pieces, encoded):
-            ids = e.ids
-            if at + len(ids) > len(self.ids):
-                self.ids = np.concatenate((self.ids, np.zeros(len(ids) + len(self.ids), np.uint32)))
-            self.ids[at : at + len(ids)] = ids
-            at += len(ids)
-            self.known[p] = n
-            n += 1
-            self.begin[n] = at
+        self.ids = np.zeros(0, np.uint32)
+        self.bounds = np.zeros(1, np.int64)
+
+    def _separator(self) -> tuple[str, int | None]:
+        """A text between pieces that gives one id of its own there, and that id."""
+        for text in ("\n", " 9 "):
+            ids = self.tokenizer.encode(f"a{text} b", add_special_tokens=False).ids
+            alone = self.tokenizer.encode(text, add_special_tokens=False).ids
+            around = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in ("a", " b")]
+            if len(alone) == 1 and ids == around[0] + alone + around[1]:
+                return text, alone[0]
+        return "", None
+
+    def _encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, bounds) of each piece alone. Plain pieces go through the tokenizer joined, parted by the separator."""
+        n = len(pieces)
+        texts = [p.decode("utf-8", "replace") for p in pieces]
+        plain = [self.plain(t) is not None and self.sign not in t for t in texts]
+        joined = [t for t, ok in zip(texts, plain) if ok]
+        alone = [t for t, ok in zip(texts, plain) if not ok]
+        sizes = np.zeros(n, np.int64)
+        ok = np.array(plain, bool)
+        flat = np.zeros(0, np.uint32)
+        if joined:
+            texts = [self.separator.join(joined[i : i + JOINED] + [""]) for i in range(0, len(joined), JOINED)]
+            got = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+            marks = np.flatnonzero(got == self.mark)
+            if len(marks) != len(joined):
+                raise ValueError("the tokenizer doesn't keep the separator apart")
+            sizes[ok] = np.diff(np.concatenate(([-1], marks))) - 1
+            flat = got[got != self.mark]
+        rest = [e.ids for e in self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)] if alone else []
+        sizes[~ok] = [len(x) for x in rest]
+        bounds = np.concatenate(([0], np.cumsum(sizes)))
+        ids = np.zeros(bounds[-1], np.uint32)
+        ids[np.repeat(ok, sizes)] = flat
+        ids[np.repeat(~ok, sizes)] = [i for x in rest for i in x]
+        return ids, bounds
 
     def encode(self, texts: pa.LargeBinaryArray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with ``end_id`` appended; bounds of the texts)."""
         data, off = raw(texts)
         cuts = cut_points(data, off)
+        if self.caseless and not COMBINING[data].any():
+            data = LOWER[data]
         pieces = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(np.ascontiguousarray(cuts, np.int64)), pa.py_buffer(data)]).dictionary_encode()
         vocab = pieces.dictionary.to_pylist()
-        if len(self.known) > CACHE_PIECES:
-            self._reset()
-        if fresh := [p for p in vocab if p not in self.known]:
-            self._learn(fresh)
-        known = np.fromiter((self.known[p] for p in vocab), np.int64, len(vocab))
+        known = np.fromiter(map(self.known.get, vocab, repeat(-1)), np.int64, len(vocab))
+        new = np.flatnonzero(known < 0)
+        ids, bounds = self.ids, self.bounds
+        if len(new):
+            fresh = [vocab[i] for i in new]
+            more, ends = self._encode_pieces(fresh)
+            known[new] = np.arange(len(bounds) - 1, len(bounds) - 1 + len(new))
+            ids, bounds = np.concatenate((ids, more)), np.concatenate((bounds, bounds[-1] + ends[1:]))
+            if len(self.known) + len(new) <= CACHE_PIECES:
+                self.known.update(zip(fresh, known[new].tolist()))
+                self.ids, self.bounds = ids, bounds
         which = known[pieces.indices.to_numpy(zero_copy_only=False)] if len(vocab) else np.zeros(0, np.int64)
-        size = self.begin[which + 1] - self.begin[which]
+        begin = bounds[which]
+        size = bounds[which + 1] - begin
         after = np.concatenate(([0], np.cumsum(size)))
         ends = after[np.searchsorted(cuts, off)]  # ids before each text's bound
-        flat = self.ids[np.repeat(self.begin[which] - after[:-1], size) + np.arange(after[-1])]
+        flat = ids[np.repeat(begin - after[:-1], size) + np.arange(after[-1])]
         rows = len(texts)
-        bounds = ends + np.arange(rows + 1)
+        bounds = ends + np.arange(rows + 1)  # an end id after each text
         out = np.full(bounds[-1], end_id, np.uint32)
         body = np.ones(len(out), bool)
         body[bounds[1:] - 1] = False
