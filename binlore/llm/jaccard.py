@@ -40,13 +40,13 @@ NUM, DEN = 85, 100
 FREQUENT_ROWS = 500_000
 FREQUENT_COUNT = 16
 #: Shingles a task counts at once before it drops those seen once.
-COUNTED = 4_000_000
+COUNTED = 1_500_000
 #: Postings up to this many classes give pairs; longer ones tiles.
 SHORT = 32
 #: Most classes and most shingles in a band of a tile.
 BAND_ROWS, BAND_SHINGLES = 512, 2_000_000
-#: Candidate classes whose names may be broadcast (8 bytes each).
-BROADCAST_NAMES = 4_000_000
+#: Classes to fetch whose names and first documents may be broadcast (16 bytes each).
+BROADCAST_NAMES = 2_000_000
 
 
 def prefix_length(n: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -144,25 +144,27 @@ def _batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
 
 
 def _classes(df: DataFrame, size: int, kind: str) -> DataFrame:
-    """Rows (doc, n, name) of all texts, and rows (name: shingle, n: its count in a task, frequent: true)."""
+    """Rows (doc, n, name, bits: once for each name in a task) of all texts, and rows (name: shingle, n: its count in a task, frequent: true)."""
+    names_of = ["doc", "n", "name", "frequent", "bits"]
 
     def run(batches):
         sets, counter, doc_type = _Sets(size), _Counter(), None
         for batch in batches:
             for part, texts in chunked(batch, "__bl_text"):
-                n, names = [], []
+                n, names, bits = [], [], []
                 for _, name, s, fresh in sets.of(texts):
                     n.append(len(s))
                     names.append(name)
+                    bits.append(bitmap(s, bitmap_width(len(s))).tobytes() if fresh else None)
                     if fresh:
                         counter.add(s)
                 doc_type = part.column(0).type
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(names, pa.int64()), pa.array([False] * len(n))], names=["doc", "n", "name", "frequent"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(names, pa.int64()), pa.array([False] * len(n)), pa.array(bits, pa.binary())], names=names_of)
         if doc_type is not None:
             keys, counts = counter.repeated()
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(keys), doc_type), pa.array(counts), pa.array(_signed(keys)), pa.array([True] * len(keys))], names=["doc", "n", "name", "frequent"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(keys), doc_type), pa.array(counts), pa.array(_signed(keys)), pa.array([True] * len(keys)), pa.nulls(len(keys), pa.binary())], names=names_of)
 
-    return df.mapInArrow(run, f"doc {kind}, n long, name long, frequent boolean")
+    return df.mapInArrow(run, f"doc {kind}, n long, name long, frequent boolean, bits binary")
 
 
 def _frequent(classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -286,25 +288,37 @@ def _with_end(batches):
     yield None
 
 
-def _set_table(df: DataFrame, size: int, wanted, semi: DataFrame | None) -> DataFrame:
-    """(name, n, bits, hashes) of the candidate classes."""
-    schema = pa.schema([("name", pa.int64()), ("n", pa.int32()), ("bits", pa.binary()), ("hashes", pa.binary())])
+def _set_table(df: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
+    """(name, n, hashes) of the classes in ``wanted`` (name, first), from each one's first document, staged.
+
+    The wanted names are broadcast if there are few enough; beyond that all sets are made and joined with them.
+    """
+    schema = pa.schema([("name", pa.int64()), ("n", pa.int32()), ("hashes", pa.binary())])
+    few = None
+    if wanted.count() <= BROADCAST_NAMES:
+        rows = wanted.toArrow()
+        names = rows["name"].to_numpy()
+        order = np.argsort(names)
+        few = df.sparkSession.sparkContext.broadcast((names[order], rows["first"].combine_chunks().take(pa.array(order))))
 
     def run(batches):
-        sets = _Sets(size)
-        names = wanted.value if wanted is not None else None
+        sets, names, firsts = _Sets(size), *(few.value if few is not None else (None, None))
         for batch in batches:
-            for _, texts in chunked(batch, "__bl_text"):
-                out = []
-                for _, name, s, fresh in sets.of(texts):
-                    if fresh and (names is None or (at := int(np.searchsorted(names, name))) < len(names) and names[at] == name):
-                        out.append((name, len(s), bitmap(s, bitmap_width(len(s))).tobytes(), s.tobytes()))
+            for part, texts in chunked(batch, "__bl_text"):
+                out, docs = [], part.column(0)
+                for i, name, s, fresh in sets.of(texts):
+                    if not fresh and names is None or not len(s):
+                        continue
+                    if names is not None and ((at := int(np.searchsorted(names, name))) == len(names) or names[at] != name or firsts[at] != docs[i]):
+                        continue
+                    out.append((name, len(s), s.tobytes()))
                 if out:
                     yield _batch(schema, *zip(*out))
 
-    table = df.select("__bl_text").mapInArrow(run, "name long, n int, bits binary, hashes binary")
-    table = table.join(semi, "name", "left_semi") if semi is not None else table
-    return table.groupBy("name").agg(*[F.first(c).alias(c) for c in ("n", "bits", "hashes")])
+    table = df.mapInArrow(run, "name long, n int, hashes binary")
+    if few is None:
+        table = table.join(wanted.select("name"), "name", "left_semi").dropDuplicates(["name"])
+    return staged(table, "sets")
 
 
 def _pair_rows(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
@@ -312,23 +326,25 @@ def _pair_rows(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b")
 
 
-def _check_pairs(pairs: DataFrame, table: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs whose bitmaps allow a link, then those whose sets have it."""
+def _passing(pairs: DataFrame, table: DataFrame, column: str, count, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) that are similar by ``count`` of their rows' ``column``, an overlap or an upper bound of it."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def passing(test):
-        def run(batches):
-            for batch in batches:
-                a, b, na, nb, xa, xb = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("a", "b", "na", "nb", "xa", "xb"))
-                keep = [k for k in range(len(a)) if similar(test(xa[k], na[k], xb[k], nb[k]), na[k], nb[k], num, den)]
-                yield _batch(schema, [a[k] for k in keep], [b[k] for k in keep])
-        return run
+    def run(batches):
+        for batch in batches:
+            a, b, na, nb, x, y = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("a", "b", "na", "nb", f"{column}_a", f"{column}_b"))
+            keep = [k for k in range(len(a)) if similar(count(x[k], na[k], y[k], nb[k]), na[k], nb[k], num, den)]
+            yield _batch(schema, [a[k] for k in keep], [b[k] for k in keep])
+
+    return _pair_rows(pairs, table, column).mapInArrow(run, "a long, b long")
+
+
+def _bound(x: bytes, n: int, y: bytes, m: int) -> int:
+    return overlap_bound(np.frombuffer(x, np.uint8), n, np.frombuffer(y, np.uint8), m)
+
 
-    bound = passing(lambda x, n, y, m: overlap_bound(np.frombuffer(x, np.uint8), n, np.frombuffer(y, np.uint8), m))
-    exact = passing(lambda x, n, y, m: intersection(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)))
-    as_x = lambda df, c: df.withColumnsRenamed({f"{c}_a": "xa", f"{c}_b": "xb"})
-    likely = staged(as_x(_pair_rows(pairs, table, "bits"), "bits").mapInArrow(bound, "a long, b long"), "likely")
-    return as_x(_pair_rows(likely, table, "hashes"), "hashes").mapInArrow(exact, "a long, b long")
+def _exact(x: bytes, n: int, y: bytes, m: int) -> int:
+    return intersection(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))
 
 
 def tile_links(names: list[int], sides: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
@@ -388,21 +404,20 @@ def similar_components(df: DataFrame, doc: str = "doc_id", text: str = "text", s
     kind = df.schema[doc].dataType.simpleString()
     rows = df.select(F.col(doc).alias("doc"), F.col(text).alias("__bl_text"))
     classes = staged(_classes(rows, size, kind), "classes")
+    docs = classes.where("not frequent").select("doc", "n", "name")
+    firsts = docs.where("n > 0").groupBy("name").agg(F.min("doc").alias("first"), F.count("*").alias("copies"))
     frequent = spark.sparkContext.broadcast(_frequent(classes))
     found = staged(_candidates(_postings(rows, size, num, den, frequent), num, den), "candidates")
     pairs = found.where("tile is null").select("a", "b").distinct()
     members = found.where("tile is not null").select("tile", "side", "a")
-    names = staged(found.select(F.explode(F.array("a", "b")).alias("name")).where("name is not null").distinct(), "names")
-    if names.count() <= BROADCAST_NAMES:
-        wanted = spark.sparkContext.broadcast(np.sort(names.toArrow()["name"].to_numpy()))
-        table = staged(_set_table(rows, size, wanted, None), "sets")
-    else:
-        table = staged(_set_table(rows, size, None, names), "sets")
-    links = staged(_check_pairs(pairs, table, num, den).unionByName(_check_tiles(members, table, num, den)).distinct(), "links")
+    bits = classes.where("bits is not null").select("name", "n", "bits").dropDuplicates(["name"])
+    likely = staged(_passing(pairs, bits, "bits", _bound, num, den), "likely")
+    both = likely.select(F.explode(F.array("a", "b")).alias("name")).unionByName(members.select(F.col("a").alias("name"))).distinct()
+    wanted = staged(firsts.join(both, "name", "left_semi").select("name", "first"), "wanted")
+    table = _set_table(rows, size, wanted)
+    links = staged(_passing(likely, table, "hashes", _exact, num, den).unionByName(_check_tiles(members, table, num, den)).distinct(), "links")
     labels = connected_components(links)
-    unstage(found, names, table)
-    docs = classes.where("not frequent").select("doc", "n", "name")
-    firsts = docs.where("n > 0").groupBy("name").agg(F.min("doc").alias("first"), F.count("*").alias("copies"))
+    unstage(found, likely, wanted, table)
     rooted = firsts.join(labels, F.col("name") == F.col("node"), "left").select("name", "first", "copies", F.coalesce("root", "name").alias("root"))
     parts = rooted.groupBy("root").agg(F.min("first").alias("component"), F.sum("copies").alias("rows")).where(F.col("rows") > 1)
     degree = links.select(F.explode(F.array("a", "b")).alias("name")).groupBy("name").agg(F.count("*").alias("links"))
