@@ -8,10 +8,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from binlore.llm.common import fresh_path
+from binlore.llm.decontaminate import stage_decontaminate
+from binlore.llm.jaccard import stage_near_duplicates
+from binlore.llm.lines import stage_lines
 from binlore.llm.packing import stage_packing
 from binlore.llm.quality import stage_quality
 
-STAGES = [("quality rules", stage_quality), ("packing", stage_packing)]
+STAGES = [
+    ("quality rules", stage_quality),
+    ("line dedup", stage_lines),
+    ("n-gram Jaccard join", stage_near_duplicates),
+    ("benchmark decontamination", stage_decontaminate),
+    ("packing", stage_packing),
+]
 
 #: Stages hash words and tokens, which SQL cannot express; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
