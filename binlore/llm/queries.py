@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import chat, decontaminate
 from .chat import op3_chat_template
 from .decontaminate import op10_suffix_array_matches
+from .extract import op4_block_labeller
 from .jaccard import op1_ngram_jaccard_components
 from .lines import op6_fuzzy_lines
 from .packing import op5_minimum_slack_packing
@@ -18,7 +19,7 @@ from .sharding import op8_hash_tree_shards
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_ngram_jaccard_components, op3_chat_template, op5_minimum_slack_packing, op6_fuzzy_lines, op7_record_files, op8_hash_tree_shards, op9_host_rules, op10_suffix_array_matches]
+    found = [op1_ngram_jaccard_components, op3_chat_template, op4_block_labeller, op5_minimum_slack_packing, op6_fuzzy_lines, op7_record_files, op8_hash_tree_shards, op9_host_rules, op10_suffix_array_matches]
     return {f.__name__: f for f in found}
 
 
