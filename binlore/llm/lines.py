@@ -30,6 +30,8 @@ from .textbatch import chunked, mix, raw
 
 MIN_WORDS = 5
 CHARS = 5
+#: Odd multipliers of a shingle's characters.
+GRAM = [np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) ** 5 & (1 << 64) - 1) for k in range(CHARS)]
 BINS, ROWS = 40, 4
 NUM, DEN = 80, 100
 #: A document is dropped if dedup took lines and left fewer words than this.
@@ -81,7 +83,7 @@ class Lines:
         t = self.text.astype(np.uint64)
         h = np.zeros(len(t), np.uint64)
         for k in range(CHARS):
-            h[: len(t) - k] += t[k:] * np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) ** 5 & (1 << 64) - 1)
+            h[: len(t) - k] += t[k:] * GRAM[k]
         h = mix(h)
         lo, hi = self.lo[which], self.hi[which]
         n = np.maximum(hi - lo - CHARS + 1, 1)
@@ -192,12 +194,15 @@ def _band_pairs(bands: DataFrame) -> DataFrame:
 BROADCAST_NAMES = 1_000_000
 
 
-def _line_sets(df: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(name, hashes): shingle sets of the classes in ``wanted`` (name, doc), from their first document, staged."""
-    schema = pa.schema([("name", pa.int64()), ("hashes", pa.binary())])
+def _line_texts(df: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(name, line): normalised texts of the classes in ``wanted`` (name), staged.
+
+    The names are broadcast if there are few enough; beyond that all lines are sent to a join with them.
+    """
+    schema = pa.schema([("name", pa.int64()), ("line", pa.string())])
     few = None
     if wanted.count() <= BROADCAST_NAMES:
-        few = df.sparkSession.sparkContext.broadcast(np.sort(wanted.select("name").toArrow()["name"].to_numpy()))
+        few = df.sparkSession.sparkContext.broadcast(np.sort(wanted.toArrow()["name"].to_numpy()))
 
     def run(batches):
         seen: set[int] = set()
@@ -206,26 +211,34 @@ def _line_sets(df: DataFrame, wanted: DataFrame) -> DataFrame:
             for _, texts in chunked(batch, "__bl_text"):
                 lines = Lines(texts)
                 own, first = np.unique(lines.names, return_index=True)
-                use = np.ones(len(own), bool)
                 if names is not None:
-                    at = np.searchsorted(names, own)
-                    use = (at < len(names)) & (names[np.minimum(at, max(len(names) - 1, 0))] == own) if len(names) else np.zeros(len(own), bool)
-                use &= np.fromiter((x not in seen for x in own.tolist()), bool, len(own))
-                seen.update(own[use].tolist())
-                if not use.any():
-                    continue
-                hashes, line = lines.grams(first[use])
-                order = np.lexsort((hashes, line))
-                hashes, line = hashes[order], line[order]
-                once = np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1])))
-                hashes, line = hashes[once], line[once]
-                bounds = np.searchsorted(line, np.arange(int(use.sum()) + 1))
-                yield pa.RecordBatch.from_arrays([pa.array(own[use]), pa.array([hashes[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())], schema=schema)
-
-    table = df.select("__bl_text").mapInArrow(run, "name long, hashes binary")
+                    at = np.minimum(np.searchsorted(names, own), max(len(names) - 1, 0))
+                    use = names[at] == own if len(names) else np.zeros(len(own), bool)
+                    own, first = own[use], first[use]
+                fresh = [k for k, x in enumerate(own.tolist()) if x not in seen]
+                seen.update(own[fresh].tolist())
+                view = lines.text
+                out = [view[lines.lo[k] : lines.hi[k]].tobytes().decode("utf-32-le", "replace") for k in first[fresh].tolist()]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(own[fresh]), pa.array(out, pa.string())], schema=schema)
+
+    table = df.select("__bl_text").mapInArrow(run, "name long, line string")
     if few is None:
-        table = table.join(wanted.select("name"), "name", "left_semi")
-    return staged(table.dropDuplicates(["name"]), "line-sets")
+        table = table.join(wanted, "name", "left_semi")
+    return staged(table.dropDuplicates(["name"]), "line-texts")
+
+
+def shingle_set(line: str) -> np.ndarray:
+    """Sorted distinct hashes of a normalised line's character shingles; a shorter line is one."""
+    t = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = max(1, len(t) - CHARS + 1)
+    h = np.zeros(n, np.uint64)
+    for k in range(min(CHARS, len(t))):
+        part = t[k : k + n]
+        h[: len(part)] += part * GRAM[k]
+    h = mix(h)
+    h.sort()
+    return h[np.concatenate(([True], h[1:] != h[:-1]))]
 
 
 def _linked(pairs: DataFrame, table: DataFrame, num: int, den: int) -> DataFrame:
@@ -234,14 +247,18 @@ def _linked(pairs: DataFrame, table: DataFrame, num: int, den: int) -> DataFrame
     def run(batches):
         for batch in batches:
             a, b, x, y = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("a", "b", "xa", "xb"))
+            sets: dict[int, np.ndarray] = {}
             keep = []
             for k in range(len(a)):
-                u, v = np.frombuffer(x[k], np.uint64), np.frombuffer(y[k], np.uint64)
+                for name, line in ((a[k], x[k]), (b[k], y[k])):
+                    if name not in sets:
+                        sets[name] = shingle_set(line)
+                u, v = sets[a[k]], sets[b[k]]
                 if min(len(u), len(v)) * den >= num * max(len(u), len(v)) and similar(intersection(u, v), len(u), len(v), num, den):
                     keep.append(k)
             yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in keep], pa.int64()), pa.array([b[k] for k in keep], pa.int64())], schema=schema)
 
-    side = lambda c: table.select(F.col("name").alias(c), F.col("hashes").alias(f"x{c}"))
+    side = lambda c: table.select(F.col("name").alias(c), F.col("line").alias(f"x{c}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
 
 
@@ -253,9 +270,9 @@ def line_classes(df: DataFrame, doc: str = "doc_id", text: str = "text", num: in
     lines = table.where("kind = 0").select("doc", "number", "name", "words")
     pairs = staged(_band_pairs(table.where("kind = 1")).unionByName(table.where("kind = 2").select(F.least("key", "name").alias("a"), F.greatest("key", "name").alias("b"))).distinct(), "pairs")
     wanted = staged(pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct(), "wanted")
-    sets = _line_sets(rows, wanted)
-    labels = connected_components(_linked(pairs, sets, num, den))
-    unstage(pairs, wanted, sets)
+    texts = _line_texts(rows, wanted)
+    labels = connected_components(_linked(pairs, texts, num, den))
+    unstage(pairs, wanted, texts)
     place = F.struct("doc", "number")
     firsts = lines.groupBy("name").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     rooted = firsts.join(labels, F.col("name") == F.col("node"), "left").select("name", "first", "n", F.coalesce("root", "name").alias("root"))
