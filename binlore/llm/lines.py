@@ -2,7 +2,7 @@
 
 Lines are the parts of a text between newlines. White space runs become one space, edges are trimmed and A-Z
 lower-cased; lines of fewer than ``MIN_WORDS`` words are kept as they are. A line's set is its distinct 5-character
-shingles. One-permutation MinHash gives ``BINS`` minima in one pass (empty bins borrow from the next), cut into bands;
+shingles. One-permutation MinHash gives ``BINS`` minima from a few draws of each shingle (empty bins borrow from the next), cut into bands;
 lines that share a band are candidates of the band's first line and of their neighbour, and candidates whose sets have a
 Jaccard similarity of ``NUM / DEN`` or more are linked. Of each component the first line, by document id and line number, is kept.
 
@@ -32,7 +32,9 @@ MIN_WORDS = 5
 CHARS = 5
 #: Odd multipliers of a shingle's characters.
 GRAM = [np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) ** 5 & (1 << 64) - 1) for k in range(CHARS)]
-BINS, ROWS = 40, 4
+BINS, ROWS = 72, 6
+#: Draws of each shingle into bins, so that short lines fill them too.
+DRAWS = 4
 NUM, DEN = 80, 100
 #: A document is dropped if dedup took lines and left fewer words than this.
 MIN_LEFT_WORDS = 50
@@ -93,11 +95,14 @@ class Lines:
 
 
 def minima(hashes: np.ndarray, line: np.ndarray, lines: int) -> np.ndarray:
-    """One-permutation MinHash: a hash's bin comes from its high bits; empty bins take the next full one's minimum, marked by distance."""
+    """One-permutation MinHash: each draw's bin comes from its high bits; empty bins take the next full one's minimum, marked by distance."""
     top = np.uint64((1 << 64) - 1)
     sig = np.full(lines * BINS, top, np.uint64)
-    bins = ((hashes >> np.uint64(40)) % np.uint64(BINS)).astype(np.int64)
-    np.minimum.at(sig, line * BINS + bins, hashes)
+    base = line * BINS
+    for _ in range(DRAWS):
+        bins = ((hashes >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64)
+        hashes = mix(hashes + GRAM[1])
+        np.minimum.at(sig, base + bins, hashes)
     sig = sig.reshape(lines, BINS)
     empty = sig == top
     full = sig.copy()
