@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import read_table
+from .textbatch import lean
 
 
 class TemplateError(ValueError):
@@ -507,7 +508,7 @@ def format_conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn
 
     rows = df.select(F.col(conv).alias("__bl_conv"), F.col(role).alias("__bl_role"), F.col(text).alias("__bl_text"), F.col(turn).alias("__bl_turn"))
     rows = rows.repartition("__bl_conv").sortWithinPartitions("__bl_conv", "__bl_turn", "__bl_role", "__bl_text").drop("__bl_turn")
-    return rows.mapInArrow(run, f"__bl_conv {kind}, formatted string, loss_spans array<struct<a:long,b:long>>").withColumnRenamed("__bl_conv", conv)
+    return rows.mapInArrow(lean(run), f"__bl_conv {kind}, formatted string, loss_spans array<struct<a:long,b:long>>").withColumnRenamed("__bl_conv", conv)
 
 
 def digests(formatted: DataFrame, conv: str = "conv_id") -> DataFrame:
@@ -526,7 +527,7 @@ def digests(formatted: DataFrame, conv: str = "conv_id") -> DataFrame:
             columns = list(zip(*out)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())))], names=[conv, "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return formatted.select(conv, "formatted", "loss_spans").mapInArrow(run, f"{conv} {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.select(conv, "formatted", "loss_spans").mapInArrow(lean(run), f"{conv} {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 PROBE = "</s>[INST] ok [/INST]"

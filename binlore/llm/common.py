@@ -91,5 +91,12 @@ def lookup_join(rows: DataFrame, small: DataFrame, key: str, salt_by: Column, ho
     return rows.withColumn("__bl_salt", F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int")).join(salted, [key, "__bl_salt"], how).drop("__bl_salt")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches for long texts, where the session has Spark's default of 10,000 rows."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import read_table
-from .textbatch import ALNUM, Words, as_binary, chunked
+from .textbatch import ALNUM, Words, as_binary, chunked, lean
 
 WINDOW = 10
 BLOCK_ITEMS = 200_000
@@ -239,7 +239,7 @@ def match_documents(df: DataFrame, benchmark: DataFrame, text: str = "text", ite
                     columns = [part.column(i) for i in range(len(base))] + [pa.array(words.counts, pa.int64()), pa.array(hits, spans), pa.array(items, pa.list_(pa.string()))]
                     yield pa.RecordBatch.from_arrays(columns, names=[*cols, "n_words", "hits", "items"])
 
-        out = out.mapInArrow(run, schema)
+        out = out.mapInArrow(lean(run), schema)
     return out.select(*[F.col(x).alias(c) for c, x in zip(base, cols)], "n_words", "hits", "items")
 
 
@@ -270,7 +270,7 @@ def longest_matches(df: DataFrame, benchmark: DataFrame, doc: str = "doc_id", te
                         names=["item", "item_word", "match_words", "doc", "doc_word"],
                     )
 
-        part = df.select(F.col(doc).alias("__bl_doc"), F.col(text).alias("__bl_text")).mapInArrow(run, f"item string, item_word long, match_words long, doc {kind}, doc_word long")
+        part = df.select(F.col(doc).alias("__bl_doc"), F.col(text).alias("__bl_text")).mapInArrow(lean(run), f"item string, item_word long, match_words long, doc {kind}, doc_word long")
         found = part if found is None else found.unionByName(part)
     best = F.max_by(F.struct("match_words", "doc", "doc_word"), F.struct(F.col("match_words"), -F.col("doc"), -F.col("doc_word"))).alias("m")
     return found.groupBy("item", "item_word").agg(best).select("item", "item_word", "m.match_words", F.col("m.doc").alias(doc), F.col("m.doc_word").alias("doc_word"))

@@ -25,6 +25,7 @@ from . import blstm
 from .common import read_table
 from .htmlblocks import BLOCK, PATH_DIM, TAG_DIM, Block, Vectors, blocks
 from .pagegen import make_page
+from .textbatch import lean
 
 WEIGHTS = "block_weights.npz"
 #: Invented pages of the shipped weights: seeds 0 to TRAIN_PAGES - 1, and so many passes over them.
@@ -117,7 +118,7 @@ def extract_main_text(df: DataFrame, html: str = "html", out: str = "text", weig
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(cols))), pa.array(texts, pa.string())], names=[*cols, "__bl_text"])
 
     schema = rows.drop("__bl_html").withColumn("__bl_text", F.lit("")).schema
-    return rows.mapInArrow(run, schema).select(*[F.col(x).alias(c) for c, x in zip(keep, cols)], F.col("__bl_text").alias(out))
+    return rows.mapInArrow(lean(run), schema).select(*[F.col(x).alias(c) for c, x in zip(keep, cols)], F.col("__bl_text").alias(out))
 
 
 def op4_block_labeller(spark, sf_dir):

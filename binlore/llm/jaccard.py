@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import lookup_join, read_table, staged, unstage
 from .components import UnionFind, connected_components
-from .textbatch import NON_SPACE, Words, chunked, mix, shingles
+from .textbatch import NON_SPACE, Words, chunked, lean, mix, shingles
 
 WORDS = 4
 #: Similarity as a fraction: links have DEN * intersection >= NUM * union.
@@ -164,7 +164,7 @@ def _classes(df: DataFrame, size: int, kind: str) -> DataFrame:
             keys, counts = counter.repeated()
             yield pa.RecordBatch.from_arrays([pa.nulls(len(keys), doc_type), pa.array(counts), pa.array(_signed(keys)), pa.array([True] * len(keys)), pa.nulls(len(keys), pa.binary())], names=names_of)
 
-    return df.mapInArrow(run, f"doc {kind}, n long, name long, frequent boolean, bits binary")
+    return df.mapInArrow(lean(run), f"doc {kind}, n long, name long, frequent boolean, bits binary")
 
 
 def _frequent(classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -203,7 +203,7 @@ def _postings(df: DataFrame, size: int, num: int, den: int, frequent) -> DataFra
                 if out:
                     yield _batch(schema, pa.array(_signed(np.concatenate(out))), pa.array(np.repeat(names, lengths)), pa.array(np.repeat(np.array(sizes, np.int32), lengths)))
 
-    return df.select("__bl_text").mapInArrow(run, "shingle long, name long, n int")
+    return df.select("__bl_text").mapInArrow(lean(run), "shingle long, name long, n int")
 
 
 def _bands(sizes: np.ndarray) -> np.ndarray:
@@ -280,7 +280,7 @@ def _candidates(postings: DataFrame, num: int, den: int) -> DataFrame:
                 yield from tiles(shingle[s], name[s : s + c], n[s : s + c])
 
     dealt = postings.repartition("shingle").sortWithinPartitions("shingle", "n", "name")
-    return dealt.mapInArrow(run, "tile long, side byte, a long, b long")
+    return dealt.mapInArrow(lean(run), "tile long, side byte, a long, b long")
 
 
 def _with_end(batches):
@@ -315,7 +315,7 @@ def _set_table(df: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
                 if out:
                     yield _batch(schema, *zip(*out))
 
-    table = df.mapInArrow(run, "name long, n int, hashes binary")
+    table = df.mapInArrow(lean(run), "name long, n int, hashes binary")
     if few is None:
         table = table.join(wanted.select("name"), "name", "left_semi").dropDuplicates(["name"])
     return staged(table, "sets")
@@ -336,7 +336,7 @@ def _passing(pairs: DataFrame, table: DataFrame, column: str, count, num: int, d
             keep = [k for k in range(len(a)) if similar(count(x[k], na[k], y[k], nb[k]), na[k], nb[k], num, den)]
             yield _batch(schema, [a[k] for k in keep], [b[k] for k in keep])
 
-    return _pair_rows(pairs, table, column).mapInArrow(run, "a long, b long")
+    return _pair_rows(pairs, table, column).mapInArrow(lean(run), "a long, b long")
 
 
 def _bound(x: bytes, n: int, y: bytes, m: int) -> int:
