@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import read_table, staged, unstage
 from .components import connected_components
 from .jaccard import _signed, intersection, similar
-from .textbatch import chunked, mix, raw
+from .textbatch import chunked, lean, mix, raw
 
 MIN_WORDS = 5
 CHARS = 5
@@ -34,7 +34,7 @@ CHARS = 5
 GRAM = [np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) ** 5 & (1 << 64) - 1) for k in range(CHARS)]
 BINS, ROWS = 72, 6
 #: Draws of each shingle into bins, so that short lines fill them too.
-DRAWS = 4
+DRAWS = 3
 NUM, DEN = 80, 100
 #: A document is dropped if dedup took lines and left fewer words than this.
 MIN_LEFT_WORDS = 50
@@ -101,7 +101,7 @@ def minima(hashes: np.ndarray, line: np.ndarray, lines: int) -> np.ndarray:
     base = line * BINS
     for _ in range(DRAWS):
         bins = ((hashes >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64)
-        hashes = mix(hashes + GRAM[1])
+        hashes = hashes * GRAM[1]
         np.minimum.at(sig, base + bins, hashes)
     sig = sig.reshape(lines, BINS)
     empty = sig == top
@@ -128,11 +128,11 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return key
 
 
-_LINE = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("name", pa.int64()), ("number", pa.int32()), ("words", pa.int32())])
+_LINE = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("name", pa.int64()), ("number", pa.int32()), ("words", pa.int32()), ("keys", pa.list_(pa.int64()))])
 
 
 def _line_table(df: DataFrame, doc_type: str) -> DataFrame:
-    """Kind 0: a line (doc, number, name, words); 1: a band of a class (key, name); 2: candidates (key, name) met inside a chunk."""
+    """Kind 0: a line (doc, number, name, words); 1: a class's bands (name, keys) that it is first in; 2: candidates (key, name) met inside a chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -141,8 +141,9 @@ def _line_table(df: DataFrame, doc_type: str) -> DataFrame:
                 lines = Lines(texts)
                 docs = part.column(0)
 
-                def out(kind, n, key, name, number, words, doc=None):
-                    arrays = [doc if doc is not None else pa.nulls(n, docs.type), pa.array(np.full(n, kind, np.int8)), *(pa.array(x) if isinstance(x, np.ndarray) else pa.nulls(n, t) for x, t in ((key, pa.int64()), (name, pa.int64()), (number, pa.int32()), (words, pa.int32())))]
+                def out(kind, n, key, name, number, words, doc=None, bands=None):
+                    given = (pa.array(np.full(n, kind, np.int8)), key, name, number, words, bands)
+                    arrays = [doc if doc is not None else pa.nulls(n, docs.type), *(x if isinstance(x, pa.Array) else pa.array(x) if x is not None else pa.nulls(n, t) for x, t in zip(given, _LINE.types))]
                     return pa.RecordBatch.from_arrays(arrays, names=["doc", *_LINE.names])
 
                 yield out(0, len(lines.row), None, lines.names, lines.number.astype(np.int32), lines.words.astype(np.int32), docs.take(pa.array(lines.row)))
@@ -153,12 +154,16 @@ def _line_table(df: DataFrame, doc_type: str) -> DataFrame:
                 if not len(first):
                     continue
                 hashes, line = lines.grams(first)
-                keys = _signed(band_keys(minima(hashes, line, len(first))).ravel())
-                named = np.repeat(lines.names[first], BINS // ROWS)
-                order = np.lexsort((named, keys))
-                keys, named = keys[order], named[order]
+                own = lines.names[first]
+                flat = _signed(band_keys(minima(hashes, line, len(first))).ravel())
+                which = np.repeat(np.arange(len(first)), BINS // ROWS)
+                order = np.argsort(flat, kind="stable")
+                keys, named = flat[order], own[which[order]]
                 lead = np.concatenate(([True], keys[1:] != keys[:-1]))
-                yield out(1, int(lead.sum()), keys[lead], named[lead], None, None)
+                leads = np.zeros(len(flat), bool)
+                leads[order[lead]] = True
+                bounds = np.concatenate(([0], np.cumsum(np.bincount(which[leads], minlength=len(first))))).astype(np.int32)
+                yield out(1, len(first), None, own, None, None, bands=pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat[leads])))
                 follow = np.flatnonzero(~lead)
                 if len(follow):
                     leader = named[np.maximum.accumulate(np.where(lead, np.arange(len(keys)), 0))]
@@ -166,7 +171,7 @@ def _line_table(df: DataFrame, doc_type: str) -> DataFrame:
                     pair = np.unique(pair[:, pair[0] != pair[1]], axis=1)
                     yield out(2, pair.shape[1], np.ascontiguousarray(pair[0]), np.ascontiguousarray(pair[1]), None, None)
 
-    return df.mapInArrow(run, f"doc {doc_type}, kind byte, key long, name long, number int, words int")
+    return df.mapInArrow(lean(run), f"doc {doc_type}, kind byte, key long, name long, number int, words int, keys array<long>")
 
 
 def _band_pairs(bands: DataFrame) -> DataFrame:
@@ -192,7 +197,7 @@ def _band_pairs(bands: DataFrame) -> DataFrame:
                 pair = np.unique(pair, axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in pair], schema=schema)
 
-    return bands.select("key", "name").repartition("key").sortWithinPartitions("key", "name").mapInArrow(run, "a long, b long")
+    return bands.select(F.explode("keys").alias("key"), "name").repartition("key").sortWithinPartitions("key", "name").mapInArrow(lean(run), "a long, b long")
 
 
 #: Line classes to fetch whose names and first places may be broadcast.
@@ -227,7 +232,7 @@ def _line_texts(df: DataFrame, wanted: DataFrame) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(own[fresh]), pa.array(out, pa.string())], schema=schema)
 
-    table = df.select("__bl_text").mapInArrow(run, "name long, line string")
+    table = df.select("__bl_text").mapInArrow(lean(run), "name long, line string")
     if few is None:
         table = table.join(wanted, "name", "left_semi")
     return staged(table.dropDuplicates(["name"]), "line-texts")
@@ -264,7 +269,7 @@ def _linked(pairs: DataFrame, table: DataFrame, num: int, den: int) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in keep], pa.int64()), pa.array([b[k] for k in keep], pa.int64())], schema=schema)
 
     side = lambda c: table.select(F.col("name").alias(c), F.col("line").alias(f"x{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(lean(run), "a long, b long")
 
 
 def line_classes(df: DataFrame, doc: str = "doc_id", text: str = "text", num: int = NUM, den: int = DEN) -> DataFrame:
