@@ -1,0 +1 @@
+"""The tokenizer and first-wins dedup work on batches; no streaming operator is defined."""
