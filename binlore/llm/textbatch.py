@@ -23,10 +23,16 @@ def trim() -> None:
 
 
 def lean(run):
-    """A batch function that trims its worker's memory when the task is over."""
+    """A batch function whose worker gives freed memory back after each batch read and at the task's end."""
+
+    def trimmed(batches):
+        for batch in batches:
+            yield batch
+            trim()
 
     def wrapped(batches):
-        yield from run(batches)
+        pa.set_memory_pool(pa.system_memory_pool())
+        yield from run(trimmed(batches))
         trim()
 
     return wrapped
@@ -121,11 +127,14 @@ class Words:
 
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser that spreads 64-bit values (a bijection)."""
-    h = h ^ (h >> np.uint64(33))
+    t = h >> np.uint64(33)
+    h = h ^ t
     h *= np.uint64(0xFF51AFD7ED558CCD)
-    h ^= h >> np.uint64(33)
+    np.right_shift(h, np.uint64(33), out=t)
+    h ^= t
     h *= np.uint64(0xC4CEB9FE1A85EC53)
-    h ^= h >> np.uint64(33)
+    np.right_shift(h, np.uint64(33), out=t)
+    h ^= t
     return h
 
 
