@@ -49,7 +49,7 @@ class Lines:
     def __init__(self, texts: pa.LargeBinaryArray, min_words: int = MIN_WORDS):
         data, off = raw(texts)
         chars = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)
-        before = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[off]  # characters before each text
+        before = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int32)))[off]  # characters before each text
         newline = chars == 10
         begin = np.zeros(len(chars) + 1, bool)
         begin[1:][newline] = True
@@ -66,32 +66,34 @@ class Lines:
         gap |= at_start
         keep = ~(space & gap) & ~newline
         ends = np.append(starts[1:], len(chars))
-        kept_before = np.concatenate(([0], np.cumsum(keep)))
-        text = np.where(space, np.uint32(32), chars)[keep]
-        text = np.where((text >= 65) & (text <= 90), text + 32, text).astype(np.uint32)
+        kept_before = np.concatenate(([0], np.cumsum(keep, dtype=np.int32)))
+        text = chars[keep]
+        text[space[keep]] = 32
+        text[text - np.uint32(65) < 26] += np.uint32(32)
         lo, hi = kept_before[starts], kept_before[ends]
         trailing = (hi > lo) & (text[np.maximum(hi - 1, 0)] == 32) if len(text) else np.zeros(len(lo), bool)
         hi = hi - trailing
-        spaces = np.concatenate(([0], np.cumsum(text == 32)))
+        spaces = np.concatenate(([0], np.cumsum(text == 32, dtype=np.int32)))
         words = np.where(hi > lo, spaces[hi] - spaces[lo] + 1, 0)
         use = words >= min_words
         self.row, self.number, self.words = all_row[use], all_number[use], words[use]
-        self.text, self.lo, self.hi = text, lo[use], hi[use]
+        self.text, self.lo, self.hi = text, lo[use].astype(np.int64), hi[use].astype(np.int64)
         view = memoryview(text.view(np.uint8)) if len(text) else memoryview(b"")
         self.names = np.fromiter((xxhash.xxh3_64_intdigest(view[4 * a : 4 * b]) for a, b in zip(self.lo.tolist(), self.hi.tolist())), np.uint64, len(self.lo)).view(np.int64)
 
     def grams(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(hash of each shingle, its line's index in ``which``); a shorter line is one shingle."""
         t = self.text.astype(np.uint64)
-        h = np.zeros(len(t), np.uint64)
-        for k in range(CHARS):
+        h = t * GRAM[0]
+        for k in range(1, min(CHARS, len(t))):
             h[: len(t) - k] += t[k:] * GRAM[k]
         h = mix(h)
         lo, hi = self.lo[which], self.hi[which]
         n = np.maximum(hi - lo - CHARS + 1, 1)
-        line = np.repeat(np.arange(len(which)), n)
-        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return h[np.minimum(at, max(len(t) - 1, 0))], line
+        line = np.repeat(np.arange(len(which), dtype=np.int32), n)
+        at = np.repeat((lo - (np.cumsum(n) - n)).astype(np.int32), n)  # a chunk has fewer than 2**31 characters
+        at += np.arange(len(at), dtype=np.int32)
+        return h[at], line
 
 
 def minima(hashes: np.ndarray, line: np.ndarray, lines: int) -> np.ndarray:
@@ -100,9 +102,11 @@ def minima(hashes: np.ndarray, line: np.ndarray, lines: int) -> np.ndarray:
     sig = np.full(lines * BINS, top, np.uint64)
     base = line * BINS
     for _ in range(DRAWS):
-        bins = ((hashes >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64)
         hashes = hashes * GRAM[1]
-        np.minimum.at(sig, base + bins, hashes)
+        bins = hashes >> np.uint64(32)
+        bins *= np.uint64(BINS)
+        bins >>= np.uint64(32)
+        np.minimum.at(sig, bins.astype(np.int64) + base, hashes)
     sig = sig.reshape(lines, BINS)
     empty = sig == top
     full = sig.copy()
@@ -128,7 +132,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return key
 
 
-_LINE = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("name", pa.int64()), ("number", pa.int32()), ("words", pa.int32()), ("keys", pa.list_(pa.int64()))])
+_LINE = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("name", pa.int64()), ("number", pa.int32()), ("words", pa.int32()), ("lead", pa.bool_()), ("keys", pa.list_(pa.int64()))])
 
 
 def _line_table(df: DataFrame, doc_type: str) -> DataFrame:
@@ -141,12 +145,15 @@ def _line_table(df: DataFrame, doc_type: str) -> DataFrame:
                 lines = Lines(texts)
                 docs = part.column(0)
 
-                def out(kind, n, key, name, number, words, doc=None, bands=None):
-                    given = (pa.array(np.full(n, kind, np.int8)), key, name, number, words, bands)
+                def out(kind, n, key, name, number, words, doc=None, lead=None, bands=None):
+                    given = (pa.array(np.full(n, kind, np.int8)), key, name, number, words, lead, bands)
                     arrays = [doc if doc is not None else pa.nulls(n, docs.type), *(x if isinstance(x, pa.Array) else pa.array(x) if x is not None else pa.nulls(n, t) for x, t in zip(given, _LINE.types))]
                     return pa.RecordBatch.from_arrays(arrays, names=["doc", *_LINE.names])
 
-                yield out(0, len(lines.row), None, lines.names, lines.number.astype(np.int32), lines.words.astype(np.int32), docs.take(pa.array(lines.row)))
+                order = np.lexsort((lines.names, lines.row))
+                lead = np.ones(len(order), bool)  # first of its class in its text
+                lead[order[1:]] = (lines.names[order[1:]] != lines.names[order[:-1]]) | (lines.row[order[1:]] != lines.row[order[:-1]])
+                yield out(0, len(lines.row), None, lines.names, lines.number.astype(np.int32), lines.words.astype(np.int32), docs.take(pa.array(lines.row)), lead)
                 names, first = np.unique(lines.names, return_index=True)
                 fresh = np.fromiter((x not in seen for x in names.tolist()), bool, len(names))
                 seen.update(names[fresh].tolist())
@@ -171,7 +178,7 @@ def _line_table(df: DataFrame, doc_type: str) -> DataFrame:
                     pair = np.unique(pair[:, pair[0] != pair[1]], axis=1)
                     yield out(2, pair.shape[1], np.ascontiguousarray(pair[0]), np.ascontiguousarray(pair[1]), None, None)
 
-    return df.mapInArrow(lean(run), f"doc {doc_type}, kind byte, key long, name long, number int, words int, keys array<long>")
+    return df.mapInArrow(lean(run), f"doc {doc_type}, kind byte, key long, name long, number int, words int, lead boolean, keys array<long>")
 
 
 def _band_pairs(bands: DataFrame) -> DataFrame:
@@ -277,17 +284,22 @@ def line_classes(df: DataFrame, doc: str = "doc_id", text: str = "text", num: in
     kind = df.schema[doc].dataType.simpleString()
     rows = df.select(F.col(doc).alias("doc"), F.col(text).alias("__bl_text"))
     table = staged(_line_table(rows, kind), "lines")
-    lines = table.where("kind = 0").select("doc", "number", "name", "words")
+    lines = table.where("kind = 0").select("doc", "number", "name", "words", "lead")
     pairs = staged(_band_pairs(table.where("kind = 1")).unionByName(table.where("kind = 2").select(F.least("key", "name").alias("a"), F.greatest("key", "name").alias("b"))).distinct(), "pairs")
     wanted = staged(pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct(), "wanted")
     texts = _line_texts(rows, wanted)
     labels = connected_components(_linked(pairs, texts, num, den))
     unstage(pairs, wanted, texts)
     place = F.struct("doc", "number")
-    firsts = lines.groupBy("name").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    rooted = firsts.join(labels, F.col("name") == F.col("node"), "left").select("name", "first", "n", F.coalesce("root", "name").alias("root"))
-    kept = rooted.groupBy("root").agg(F.min("first").alias("kept"), F.sum("n").alias("lines")).where("lines > 1")
-    shared = rooted.join(kept, "root").select("name", "kept")
+    # primitive buffers, so that hash aggregates combine before the shuffle; a class leads a text once, so no ties
+    firsts = lines.groupBy("name").agg(
+        F.min("doc").alias("d"), F.coalesce(F.min_by(F.when(F.col("lead"), F.col("number")), F.when(F.col("lead"), F.col("doc"))), F.min("number")).alias("l"), F.count("*").alias("n")
+    ).select("name", F.struct(F.col("d").alias("doc"), F.col("l").alias("number")).alias("first"), "n")
+    members = labels.unionByName(labels.select(F.col("root").alias("node"), "root").distinct())
+    joined = firsts.join(members, F.col("name") == F.col("node"), "left").where("n > 1 or root is not null").select("name", "first", "root")
+    joined = staged(joined, "joined")
+    kept = joined.where("root is not null").groupBy("root").agg(F.min("first").alias("kept"))
+    shared = joined.where("root is null").select("name", F.col("first").alias("kept")).unionByName(joined.join(kept, "root").select("name", "kept"))
     out = lines.join(shared, "name", "left")
     at = F.coalesce("kept", place)
     return out.select(F.col("doc").alias(doc), F.col("number").alias("line_no"), F.col("words").cast("long").alias("n_words"), at["doc"].alias("kept_doc"), at["number"].alias("kept_line"), at.eqNullSafe(place).alias("kept"))
