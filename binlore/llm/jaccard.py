@@ -159,10 +159,10 @@ def _classes(df: DataFrame, size: int, kind: str) -> DataFrame:
                     if fresh:
                         counter.add(s)
                 doc_type = part.column(0).type
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(names, pa.int64()), pa.array([False] * len(n)), pa.array(bits, pa.binary())], names=names_of)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(names, pa.int64()), pa.array([False] * len(n), pa.bool_()), pa.array(bits, pa.binary())], names=names_of)
         if doc_type is not None:
             keys, counts = counter.repeated()
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(keys), doc_type), pa.array(counts), pa.array(_signed(keys)), pa.array([True] * len(keys)), pa.nulls(len(keys), pa.binary())], names=names_of)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(keys), doc_type), pa.array(counts), pa.array(_signed(keys)), pa.array([True] * len(keys), pa.bool_()), pa.nulls(len(keys), pa.binary())], names=names_of)
 
     return df.mapInArrow(lean(run), f"doc {kind}, n long, name long, frequent boolean, bits binary")
 
