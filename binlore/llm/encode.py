@@ -32,8 +32,8 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def cut_points(data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Ascending byte positions of cuts: the texts' bounds, safe spaces, and ends of ASCII letter runs before punctuation."""
+def cut_points(data: np.ndarray, off: np.ndarray, fine: bool = True) -> np.ndarray:
+    """Ascending byte positions of cuts: the texts' bounds, safe spaces, and (fine) ends of ASCII letter runs before punctuation."""
     spaces = np.flatnonzero(data == 0x20)
     spaces = spaces[(spaces > 1) & (spaces + 1 < len(data))]
     before, lead, after = data[spaces - 1], data[spaces - 2], data[spaces + 1]
@@ -41,7 +41,8 @@ def cut_points(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     safe = (graphic(before) | ((before >= 0x80) & (lead >= 0xC3) & (lead <= 0xCB))) & (graphic(after) | ((after >= 0xC3) & (after <= 0xCB)))
     marks = np.zeros(len(data) + 1, bool)
     marks[spaces[safe]] = True
-    marks[1:-1] |= LETTERS[data[:-1]] & PUNCTUATION[data[1:]]
+    if fine:
+        marks[1:-1] |= LETTERS[data[:-1]] & PUNCTUATION[data[1:]]
     marks[off] = True
     return np.flatnonzero(marks)
 
@@ -56,7 +57,10 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.separator, self.mark = self._separator()
         self.sign = self.separator.strip() or self.separator
-        special = "".join(f"(?!{re.escape(t.content)})" for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if any(b" " in x for x in self.special):
+            raise ValueError("a special token with a space would be cut")
+        special = "".join(f"(?!{re.escape(x.decode())})" for x in self.special)
         # one space at most, then visible ASCII and Latin characters without a special token
         self.plain = re.compile(f" ?(?:{special}[\\x21-\\x7e\\u00c0-\\u02ff])+").fullmatch if self.mark is not None else lambda t: None
         self.caseless = self.tokenizer.encode("Ab Ñ", add_special_tokens=False).ids == self.tokenizer.encode("ab Ñ", add_special_tokens=False).ids
@@ -103,9 +107,12 @@ class PieceEncoder:
     def encode(self, texts: pa.LargeBinaryArray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with ``end_id`` appended; bounds of the texts)."""
         data, off = raw(texts)
-        cuts = cut_points(data, off)
-        if self.caseless and not COMBINING[data].any():
-            data = LOWER[data]
+        lowered = LOWER[data]
+        seen = lowered.tobytes()
+        ordinary = not any(x.lower() in seen for x in self.special)  # else special tokens stay whole and as they are
+        cuts = cut_points(data, off, ordinary)
+        if ordinary and self.caseless and not COMBINING[data].any():
+            data = lowered
         pieces = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(np.ascontiguousarray(cuts, np.int64)), pa.py_buffer(data)]).dictionary_encode()
         vocab = pieces.dictionary.to_pylist()
         known = np.fromiter(map(self.known.get, vocab, repeat(-1)), np.int64, len(vocab))
