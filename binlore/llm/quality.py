@@ -143,3 +143,31 @@ def stage_quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the rules reject go."""
     rated = with_verdicts(docs, prefix="__bl_q_")
     return rated.where("__bl_q_kept").select(*docs.columns)
+
+
+#: The same rules in SQL; the prior's strength is computed as in ``beta_priors``.
+def _oracle() -> str:
+    low, high = PRIOR_RANGE
+    rates = ", ".join(f"sum({r}) AS {r}" for r in RULES)
+    prior = ", ".join(f"sum({r}) / sum(n) AS m_{r}, var_pop({r} / n) AS v_{r}" for r in RULES)
+    strength = {r: f"least(greatest(CASE WHEN v_{r} > 0 THEN m_{r} * (1 - m_{r}) / v_{r} - 1 ELSE {high} END, {low}), {high})" for r in RULES}
+    shrunk = ", ".join(f"({r} + m_{r} * {strength[r]}) / (n + {strength[r]})" for r in RULES)
+    symbols = "\\" + "\\".join(SYMBOLS)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, chr(0)) AS host, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda s: regexp_matches(s, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
+win AS (SELECT rid, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM w, unnest(range(1, len(w) - 1)) AS x(i)),
+rep AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, a, b, c) AS k FROM win) WHERE k > 1),
+cov AS (SELECT rid, count(DISTINCT p) AS n_repeat_words FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM rep) GROUP BY rid),
+f AS (SELECT rid, doc_id, host, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+      CAST(length(t) - length(regexp_replace(t, '[{symbols}]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+      CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, len(lines) AS n_lines FROM w LEFT JOIN cov USING (rid)),
+g AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed, CAST(n_words < {MIN_WORDS} AS INT) AS short, CAST(100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS INT) AS repeats,
+      CAST(100 * n_symbols > {MAX_SYMBOL_PERCENT} * n_words AS INT) AS symbols, CAST(100 * n_dup_lines > {MAX_DUP_LINE_PERCENT} * n_lines AS INT) AS dup_lines FROM f),
+h AS (SELECT host, count(*) AS n, {rates} FROM g GROUP BY host), p AS (SELECT {prior} FROM h),
+v AS (SELECT host, greatest({shrunk}) <= {MAX_HOST_RATE} AS ok FROM h, p)
+SELECT doc_id, {", ".join(BASE)}, base_failed, NOT base_failed AND ok AS kept FROM g JOIN v USING (host)
+"""
+
+
+ORACLE = _oracle()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate
+from . import chat, decontaminate, quality
 from .chat import op3_chat_template
 from .decontaminate import op10_suffix_array_matches
 from .extract import op4_block_labeller
@@ -24,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_template": chat.ORACLE, "op10_suffix_array_matches": decontaminate.ORACLE}
+    return {"op3_chat_template": chat.ORACLE, "op9_host_rules": quality.ORACLE, "op10_suffix_array_matches": decontaminate.ORACLE}
