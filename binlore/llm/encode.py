@@ -21,7 +21,9 @@ PUNCTUATION = table_of((0x21, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E))
 COMBINING = table_of((0xCC, 0xCD), (0xE1, 0xE3), (0xEF, 0xFF))
 
 #: Distinct pieces a worker remembers; bounds its memory. Later ones are encoded in each chunk that has them.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 900_000
+#: Text bytes encoded at once: longer chunks repeat fewer pieces.
+ENCODE_BYTES = 4 << 20
 #: Pieces joined to one text for the tokenizer.
 JOINED = 1000
 
@@ -131,7 +133,9 @@ class PieceEncoder:
         size = bounds[which + 1] - begin
         after = np.concatenate(([0], np.cumsum(size)))
         ends = after[np.searchsorted(cuts, off)]  # ids before each text's bound
-        flat = ids[np.repeat(begin - after[:-1], size) + np.arange(after[-1])]
+        at = np.repeat((begin - after[:-1]).astype(np.int32), size)  # fewer than 2**31 ids are held
+        at += np.arange(len(at), dtype=np.int32)
+        flat = ids[at]
         rows = len(texts)
         bounds = ends + np.arange(rows + 1)  # an end id after each text
         out = np.full(bounds[-1], end_id, np.uint32)

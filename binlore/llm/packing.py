@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import gapless_rank, read_table, staged
-from .encode import PieceEncoder, tokenizer_path
+from .encode import ENCODE_BYTES, PieceEncoder, tokenizer_path
 from .textbatch import chunked, lean
 
 WINDOW = 2048
@@ -96,7 +96,7 @@ def encoded_pieces(df: DataFrame, doc: str, text: str, path: str, end_id: int, w
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = PieceEncoder(path)
         for batch in batches:
-            for part, texts in chunked(batch, "__bl_text"):
+            for part, texts in chunked(batch, "__bl_text", ENCODE_BYTES):
                 ids, bounds = encoder.encode(texts, end_id)
                 sizes = np.diff(bounds)
                 pieces = -(-sizes // window)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh_path, read_table
-from .encode import PieceEncoder, tokenizer_path
+from .encode import ENCODE_BYTES, PieceEncoder, tokenizer_path
 from .textbatch import chunked, lean
 
 #: Fixed value of the checksum mask in the public record format.
@@ -81,7 +81,7 @@ def write_records(df: DataFrame, folder: str, doc: str = "doc_id", text: str = "
         encoder, at, tokens, entries = None, 0, 0, 0
         data = index = None
         for batch in batches:
-            for part, texts in chunked(batch, "__bl_text"):
+            for part, texts in chunked(batch, "__bl_text", ENCODE_BYTES):
                 if encoder is None:
                     encoder = PieceEncoder(path)
                     data, index = files.open_output_stream(f"{root}/{name}{tag}"), files.open_output_stream(f"{root}/{name}.idx{tag}")
