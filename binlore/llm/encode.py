@@ -21,7 +21,7 @@ PUNCTUATION = table_of((0x21, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E))
 COMBINING = table_of((0xCC, 0xCD), (0xE1, 0xE3), (0xEF, 0xFF))
 
 #: Distinct pieces a worker remembers; bounds its memory. Later ones are encoded in each chunk that has them.
-CACHE_PIECES = 900_000
+CACHE_PIECES = 1_500_000
 #: Text bytes encoded at once: longer chunks repeat fewer pieces.
 ENCODE_BYTES = 4 << 20
 #: Pieces joined to one text for the tokenizer.
