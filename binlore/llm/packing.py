@@ -113,7 +113,7 @@ def encoded_pieces(df: DataFrame, doc: str, text: str, path: str, end_id: int, w
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names)
 
     schema = f"__bl_doc {kind}, start long, length long, ids_crc32 long, doc_tokens long" + (", ids array<int>" if with_ids else "")
-    return df.select(F.col(doc).alias("__bl_doc"), F.col(text).alias("__bl_text")).mapInArrow(lean(run), schema)
+    return df.select(F.col(doc).alias("__bl_doc"), F.col(text).alias("__bl_text")).mapInArrow(lean(run, each=False), schema)
 
 
 def pack(pieces: DataFrame, window: int, order: list[str]) -> DataFrame:

@@ -109,7 +109,7 @@ def write_records(df: DataFrame, folder: str, doc: str = "doc_id", text: str = "
     dealt = df.select(F.col(doc).alias("__bl_doc"), F.col(text).alias("__bl_text")).repartitionByRange("__bl_doc")
     # equal ids have equal order keys, so the text's checksum settles their order
     ordered = dealt.sortWithinPartitions("__bl_doc", F.crc32(F.col("__bl_text").cast("binary")))
-    return ordered.mapInArrow(lean(run), "file string, records long, tokens long")
+    return ordered.mapInArrow(lean(run, each=False), "file string, records long, tokens long")
 
 
 def read_records(files: DataFrame, folder: str, width: int = 2) -> DataFrame:
@@ -145,7 +145,7 @@ def read_records(files: DataFrame, folder: str, width: int = 2) -> DataFrame:
                         out = []
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files.select("file", "first").mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.select("file", "first").mapInArrow(lean(run, each=False), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def file_starts(written: DataFrame) -> DataFrame:

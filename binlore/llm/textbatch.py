@@ -22,8 +22,8 @@ def trim() -> None:
         pass
 
 
-def lean(run):
-    """A batch function whose worker gives freed memory back after each batch read and at the task's end."""
+def lean(run, each: bool = True):
+    """A batch function whose worker gives freed memory back at the task's end, and (each) after every batch read."""
 
     def trimmed(batches):
         for batch in batches:
@@ -32,7 +32,7 @@ def lean(run):
 
     def wrapped(batches):
         pa.set_memory_pool(pa.system_memory_pool())
-        yield from run(trimmed(batches))
+        yield from run(trimmed(batches) if each else batches)
         trim()
 
     return wrapped
