@@ -16,10 +16,11 @@ from .packing import op5_minimum_slack_packing
 from .quality import op9_host_rules
 from .records import op7_record_files
 from .sharding import op8_hash_tree_shards
+from .warc import op2_revisit_resolution
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_ngram_jaccard_components, op3_chat_template, op4_block_labeller, op5_minimum_slack_packing, op6_fuzzy_lines, op7_record_files, op8_hash_tree_shards, op9_host_rules, op10_suffix_array_matches]
+    found = [op1_ngram_jaccard_components, op2_revisit_resolution, op3_chat_template, op4_block_labeller, op5_minimum_slack_packing, op6_fuzzy_lines, op7_record_files, op8_hash_tree_shards, op9_host_rules, op10_suffix_array_matches]
     return {f.__name__: f for f in found}
 
 
