@@ -48,6 +48,8 @@ def balance(tokens: DataFrame, symbols: DataFrame, seed: int = 0) -> DataFrame:
     missing = class_counts(tokens, "is_name").first()["missing"]
     if not missing or missing <= 0:
         raise ValueError("no positives are missing")
+    if symbols.count() < missing:
+        raise ValueError(f"{missing} positives are missing, and there are fewer symbols")
     extra = exact_sample(symbols.select("literal"), ["literal"], missing, seed).withColumn("is_name", F.lit(1))
     return tokens.where("is_name is not null").select("literal", "is_name").unionByName(extra)
 

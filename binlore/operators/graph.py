@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .dedup import first_wins
+from ..functions.text import decode_literal, escape_literal
+from .dedup import append_new, first_wins
 
 KEY = ["func_addr", "string_addr", "path_func1", "path_func2", "path_func3"]
 
@@ -68,3 +69,13 @@ def func_features(funcs: DataFrame, code: DataFrame, data: DataFrame, instructio
 def missing_strings(paths: DataFrame, strings: DataFrame) -> DataFrame:
     """String addresses that paths name and ``strings`` lacks, with their path counts."""
     return paths.groupBy("string_addr").count().join(strings, F.col("string_addr") == F.col("address"), "left_anti")
+
+
+def export_missing_strings(paths: DataFrame, strings: DataFrame, raw: DataFrame) -> DataFrame:
+    """New rows (address, literal) for ``strings``: what ``raw`` (seq, address, bytes) has of the missing ones, decoded and escaped.
+
+    Strings that decode to nothing, and literals that are there already, stay missing.
+    """
+    wanted = missing_strings(paths, strings).select(F.col("string_addr").alias("address"))
+    rows = raw.join(wanted, "address", "left_semi").select("address", escape_literal(decode_literal(F.col("bytes"))).alias("literal"), "seq")
+    return append_new(strings, rows.where("literal is not null"), ["literal"], ["seq"]).select("address", "literal")

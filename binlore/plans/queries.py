@@ -6,6 +6,8 @@ Derived tables: strings from ``documents``, call and data references from ``orde
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,6 +90,16 @@ def token_paths(s, d):
     return rows.unionByName(rows.where("func_addr % 5 = 0").withColumn("names_func", F.lit(None).cast("int")))
 
 
+def part_strings(s, d):
+    """Short strings of plain words, the last one their own."""
+    return _t(s, d, "part").select(col("p_partkey").alias("seq"), col("p_partkey").alias("address"), F.concat("p_name", F.lit(" u"), "p_partkey").alias("literal"))
+
+
+def part_tokens(s, d):
+    marks = F.when(col("string_addr") % 5 == 0, 1).when(col("string_addr") % 5 < 3, 0)
+    return labels.make_tokens(part_strings(s, d)).withColumn("is_name", marks)
+
+
 def _sql_escape(c: str) -> str:
     for raw, escaped in ESCAPES:
         c = f"replace({c}, chr({ord(raw)}), {' || '.join(['chr(92)' if x == chr(92) else repr(x) for x in escaped])})"
@@ -102,6 +114,9 @@ _CODES = "[" + ", ".join(f"'{x}'" for x in [*SPECIAL_NAMES, "B", "_7", "__", "z"
 _NAMES = "CASE code " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SPECIAL_NAMES.items()) + " END"
 _READ = r"string_split(regexp_extract({0}, '^((?:[\p{{L}}\p{{N}}_]+@)+)', 1), '@')"
 
+_POSITIVE = "SELECT func_addr FROM paths JOIN ptl USING (string_addr) WHERE is_name = 1 AND to_name = 1"
+_EXPLODED = "SELECT id AS path_id, func_addr, paths.string_addr, token AS token_literal, CAST({0} AS INT) AS names_func FROM paths JOIN ptok ON address = paths.string_addr"
+
 BASE = {
     "lab": _LABEL,
     "strs": f"SELECT doc_id AS seq, doc_id AS address, {_sql_escape('text')} AS literal FROM documents",
@@ -130,6 +145,11 @@ BASE = {
     "pdb": """SELECT func_addr, literal, demangled FROM (SELECT address AS func_addr, literal, CAST(name LIKE '?%' AS INT) AS demangled, row_number() OVER (PARTITION BY literal ORDER BY seq) AS k FROM dem
         WHERE NOT regexp_matches(name, '[`'']|<lambda_|<unnamed-type-') AND literal IS NOT NULL AND NOT (name LIKE '?%' AND literal = '')) WHERE k = 1""",
     "tp1": "SELECT p.id AS path_id, func_addr, p.string_addr, literal AS token_literal, toxic AS names_func FROM paths p JOIN tokens USING (string_addr) LEFT JOIN lab ON doc_id = p.string_addr WHERE ref_depth < 2",
+    "parts": "SELECT p_partkey AS address, p_name || ' u' || p_partkey AS literal FROM part",
+    "ptok": "SELECT address, unnest(string_split(literal, ' ')) AS token, unnest(range(len(string_split(literal, ' ')))) AS pos FROM parts",
+    "pt": "SELECT arg_min(address, (address, pos)) AS string_addr, token AS literal FROM ptok GROUP BY token",
+    "ptl": "SELECT *, CASE string_addr % 5 WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 2 THEN 0 END AS is_name FROM pt",
+    "ptp": f"{_EXPLODED.format('NULL')} WHERE func_addr IN ({_POSITIVE})",
     "tp": "SELECT * FROM tp1 UNION ALL SELECT path_id, func_addr, string_addr, token_literal, NULL FROM tp1 WHERE func_addr % 5 = 0",
 }
 
@@ -142,7 +162,7 @@ def _sql(body: str, *need: str) -> str:
 _PATHS = ("lab", "code", "data", "calls", "refs", "raw_paths", "paths")
 _TP = (*_PATHS, "strs", "tokens", "tp1", "tp")
 _PDB = ("syms", "dem", "pdb")
-_MODEL = "SELECT o_orderkey, CAST(o_orderkey % 3 = 0 AS INT) AS truth"
+_PART = ("parts", "ptok", "pt", "ptl")
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -351,6 +371,59 @@ def seen_token_rate(s, d):
     return dataset.seen_token_rate(rows.where("p_partkey % 5 = 0"), rows.where("p_partkey % 5 <> 0"))
 
 
+# ---- jobs
+
+
+@query(_sql("SELECT * FROM pt", *_PART))
+def tokenize_job(s, d):
+    return labels.make_tokens(part_strings(s, d)).drop("is_name")
+
+
+@query(_sql("SELECT string_addr, literal FROM pt WHERE string_addr % 2 = 0 UNION ALL SELECT DISTINCT address, token FROM ptok WHERE address = 7 AND token NOT IN (SELECT literal FROM pt WHERE string_addr % 2 = 0)", *_PART))
+def tokenize_one_job(s, d):
+    known = labels.make_tokens(part_strings(s, d)).where("string_addr % 2 = 0")
+    return labels.add_tokens_of(known, part_strings(s, d), 7).drop("is_name")
+
+
+@query(_sql("SELECT * FROM ptp", *_PATHS, *_PART, "ptp"))
+def token_paths_job(s, d):
+    return labels.token_paths(part_tokens(s, d), paths(s, d), part_strings(s, d))
+
+
+@query(_sql(f"{_EXPLODED.format('NULL')} JOIN ptl ON ptl.string_addr = paths.string_addr WHERE is_name = 1 AND to_name = 1", *_PATHS, *_PART))
+def token_paths_positive_job(s, d):
+    return labels.token_paths_positive(part_tokens(s, d), paths(s, d), part_strings(s, d))
+
+
+@query(_sql(f"{_EXPLODED.format('0')} WHERE to_name = 0 AND id NOT IN (SELECT path_id FROM ptp)", *_PATHS, *_PART, "ptp"))
+def token_paths_negative_job(s, d):
+    return labels.token_paths_negative(paths(s, d), token_paths_job(s, d), part_strings(s, d))
+
+
+@query(_sql(f"{_EXPLODED.format('NULL')} WHERE to_name = 1 AND id NOT IN (SELECT path_id FROM ptp)", *_PATHS, *_PART, "ptp"))
+def token_paths_missing_positive_job(s, d):
+    return labels.token_paths_missing_positive(paths(s, d), token_paths_job(s, d), part_strings(s, d))
+
+
+@query(_sql(f"{_EXPLODED.format('NULL')} WHERE id = (SELECT min(id) FROM paths)", *_PATHS, *_PART))
+def token_paths_one_job(s, d):
+    known = paths(s, d)
+    return labels.token_paths_of_one(known, part_strings(s, d), known.agg(F.min("id")).first()[0])
+
+
+@query(_sql("""SELECT address, md5(literal) AS literal_md5 FROM (SELECT *, row_number() OVER (PARTITION BY literal ORDER BY seq) AS k FROM strs WHERE literal <> '' AND address % 3 <> 0 AND address IN (SELECT string_addr FROM raw_paths)
+    AND literal NOT IN (SELECT literal FROM strs WHERE address % 3 = 0 AND literal IS NOT NULL)) WHERE k = 1""", "strs", "code", "data", "calls", "refs", "raw_paths"))
+def export_missing_strings(s, d):
+    raw = _t(s, d, "documents").select(col("doc_id").alias("seq"), col("doc_id").alias("address"), F.encode(col("text"), "UTF-16LE").alias("bytes"))
+    found = graph.export_missing_strings(graph.xref_paths(code(s, d), data(s, d)), strings(s, d).where("address % 3 = 0"), raw)
+    return found.select("address", F.md5("literal").alias("literal_md5"))
+
+
+@query(_sql("SELECT literal, is_name FROM ptl WHERE is_name IS NOT NULL UNION ALL SELECT * FROM (SELECT literal, 1 FROM pdb ORDER BY md5('0|' || literal), literal LIMIT (SELECT 2 * count(*) FILTER (WHERE is_name = 0) - count(is_name) FROM ptl))", *_PART, *_PDB))
+def balanced_names(s, d):
+    return dataset.balance(part_tokens(s, d), pdb(s, d))
+
+
 @query(None)
 def tokenize_full(s, d):
     found = strings(s, d).select("address", F.posexplode(tokenize_udf("literal")).alias("pos", "t"))
@@ -381,14 +454,55 @@ def _path_rows(s, d):
     return _assembled(s, d).withColumn("lit_vec", ml.embed(col("token_literal")))
 
 
+def _halves(rows, keys):
+    """(training rows, test rows) of the hold-out split, from one cached table."""
+    split = dataset.holdout_split(rows.cache(), keys)
+    return split.where("not is_test").cache(), split.where("is_test").cache()
+
+
+def _scores(found, label, model):
+    return dataset.confusion(found, col(label), col("pred") == 1).select(F.lit(model).alias("model"), "*")
+
+
+def _all_scores(halves, kinds, features, label):
+    """Scores on the test rows of each kind of model, trained on the others."""
+    scores = [_scores(ml.predict(ml.train(halves[0], kind, features, label), halves[1], "pred"), label, kind) for kind in kinds]
+    return reduce(DataFrame.unionByName, scores)
+
+
+KINDS = ("dtree", "gnbayes", "logreg", "lsvc", "nn", "rforest")
+#: Neighbours that vote.
+NEIGHBOURS = 5
+
+
 @query(None)
 def names_models(s, d):
-    rows = _name_rows(s, d).cache()
-    for kind in ("dtree", "gnbayes", "logreg", "rforest"):
-        found = ml.predict(ml.train(rows, kind, ["lit_vec"], "is_name"), rows, "pred")
-        part = dataset.confusion(found, col("is_name"), col("pred") == 1).select(F.lit(kind).alias("model"), "*")
-        out = part if kind == "dtree" else out.unionByName(part)
-    return out
+    return _all_scores(_halves(_name_rows(s, d), ["literal"]), KINDS, ["lit_vec"], "is_name")
+
+
+@query(None)
+def names_adaboost(s, d):
+    known, rest = _halves(_name_rows(s, d), ["literal"])
+    return _scores(ml.AdaBoost(["lit_vec"], "is_name").fit(known).predict(rest, "pred"), "is_name", "adaboost")
+
+
+@query(None)
+def names_knn(s, d):
+    known, rest = _halves(_name_rows(s, d), ["literal"])
+    rest = rest.withColumn("query_id", F.xxhash64("literal"))
+    return _scores(ml.knn_predict(known, rest, ["lit_vec"], "is_name", NEIGHBOURS, "pred"), "is_name", "knn")
+
+
+@query(None)
+def names_cross_validation(s, d):
+    """Mean and deviation over five folds."""
+    mean, deviation = ml.cross_validate(_name_rows(s, d).cache(), "dtree", ["lit_vec"], "is_name")
+    return s.createDataFrame([("dtree", "accuracy", mean, deviation)], "model string, metric string, mean double, deviation double")
+
+
+@query(None)
+def paths_models(s, d):
+    return _all_scores(_halves(_path_rows(s, d), ["local_id", "token_literal", "names_func"]), KINDS, dataset.FEATURES, "names_func")
 
 
 @query(None)

@@ -1,5 +1,6 @@
 """Reference operators: golden traces, rules with defined order, and every query against its SQL."""
 
+import json
 import os
 
 import duckdb
@@ -12,7 +13,7 @@ from binlore.operators import dataset, graph, labels, ml
 from binlore.operators.dedup import first_wins, last_wins
 from binlore.plans import queries as plans
 from binlore.sources import io
-from binlore.sources.schemas import STRINGS, TOKENS, check_columns
+from binlore.sources.schemas import STRINGS, TABLES, TOKENS, check_columns
 
 SF = "/root/testdata/sf0.001"
 R, C, X, P, I, N = "REGULAR_LIKE", "CONSTRUCTOR_LIKE", "DESTRUCTOR_LIKE", "OPERATOR_LIKE", "IDENTIFIER_LIKE", "NUMBER_LIKE"
@@ -85,6 +86,8 @@ def test_dataset_and_metrics(spark):
     assert none.pos == 0 and none.accuracy is None and none.f1 is None
     tokens = spark.createDataFrame([("a", 1), ("b", 0), ("c", 0)], "literal string, is_name int")
     assert dataset.balance(tokens, spark.createDataFrame([("x",), ("y",)], "literal string")).where("is_name = 1").count() == 2
+    with pytest.raises(ValueError, match="fewer symbols"):
+        dataset.balance(tokens.where("is_name = 0"), tokens.select("literal").limit(1))
     with pytest.raises(ValueError):
         check_columns(tokens, STRINGS)
     assert check_columns(tokens.withColumn("string_addr", F.lit(1).cast("long")), TOKENS).count() == 3
@@ -99,14 +102,44 @@ def test_sources(spark, tmp_path):
         io.require(spark.createDataFrame([(None,)], "v int"), ["v"]).collect()
 
 
-def test_models(spark):
+def test_merge_job(spark, tmp_path):
+    for label, first in (("a", 7), ("b", 3)):
+        for name, schema in TABLES.items():
+            row = {f.name: "t" if f.dataType.simpleString() == "string" else 1 for f in schema}
+            row |= {"id": first} if name == "paths" else {}
+            rows = [tuple(row.values())] if name != "paths" else [tuple((row | {"id": i}).values()) for i in (first + 1, first)]
+            io.append(spark.createDataFrame(rows, schema), f"{tmp_path}/{label}/{name}")
+    files = [{"label": x, "path": f"{tmp_path}/{x}"} for x in "ba"]
+    (tmp_path / "m.json").write_text(json.dumps({"outputFile": f"{tmp_path}/out", "files": files}))
+    out = io.merge_job(spark, str(tmp_path / "m.json"))
+    paths = spark.read.parquet(f"{out}/paths")
+    assert [(r.id, r.binary, r.local_id) for r in paths.orderBy("id").collect()] == [(1, "b", 3), (2, "b", 4), (3, "a", 7), (4, "a", 8)]
+    assert "id" not in spark.read.parquet(f"{out}/funcs").columns and "local_path_id" in spark.read.parquet(f"{out}/token_paths").columns
+    io.append(spark.createDataFrame([(1, None)], TABLES["strings"]), f"{tmp_path}/a/strings")
+    with pytest.raises(Exception, match="null in literal"):
+        io.merge_job(spark, str(tmp_path / "m.json"))
+
+
+def test_missing_strings_are_exported_once(spark):
+    paths = spark.createDataFrame([(1,), (2,), (3,), (4,), (5,)], "string_addr long")
+    have = spark.createDataFrame([(1, "a")], "address long, literal string")
+    raw = spark.createDataFrame([(0, 2, "b\n".encode("utf-16-le")), (1, 3, "b\n".encode("utf-16-le")), (2, 4, b""), (3, 5, "a".encode("utf-16-le")), (4, 9, "c".encode("utf-16-le"))], "seq long, address long, bytes binary")
+    assert [tuple(r) for r in graph.export_missing_strings(paths, have, raw).collect()] == [(2, "b\\n")]
+
+
+def test_models(spark, tmp_path):
     rows = spark.range(200).select((F.col("id") % 20).cast("double").alias("x"), (F.rand(1) * 0.1).alias("z")).withColumn("y", (F.col("x") > 9).cast("int")).cache()
     for kind in ("dtree", "gnbayes", "logreg", "lsvc", "nn", "rforest"):
         found = ml.predict(ml.train(rows, kind, ["x", "z"], "y"), rows, "p")
         assert dataset.confusion(found, F.col("y"), F.col("p") == 1).first().accuracy > 0.8, kind
-    spark.sparkContext.setCheckpointDir("/tmp/binlore-test")
     boosted = ml.AdaBoost(["x", "z"], "y", 3).fit(rows).predict(rows, "p")
     assert boosted.where("p = y").count() == 200
+    boosted = ml.AdaBoost(["x", "z"], "y", 3).fit(rows)
+    boosted.save(spark, f"{tmp_path}/boosted")
+    assert ml.AdaBoost.load(spark, f"{tmp_path}/boosted").predict(rows, "p").where("p = y").count() == 200
+    points = spark.createDataFrame([(0.0, 1), (2.0, 0), (2.0, 1), (9.0, 1)], "x double, y int")
+    asked = spark.createDataFrame([(1, 1.0), (2, 8.0)], "query_id long, x double")
+    assert {(r.query_id, r.p) for r in ml.knn_predict(points, asked, ["x"], "y", 1, "p", block=1).collect()} == {(1, 0), (2, 1)}
     near = ml.knn_predict(rows, rows.withColumn("query_id", F.monotonically_increasing_id()), ["x", "z"], "y", 3, "p")
     assert near.where("p = y").count() == 200
     mean, deviation = ml.cross_validate(rows, "dtree", ["x", "z"], "y", folds=3)
