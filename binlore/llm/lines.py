@@ -3,11 +3,11 @@
 Lines are the parts of a text between newlines. White space runs become one space, edges are trimmed and A-Z
 lower-cased; lines of fewer than ``MIN_WORDS`` words are kept as they are. A line's set is its distinct 5-character
 shingles. One-permutation MinHash gives ``BINS`` minima from a few draws of each shingle (empty bins borrow from the next), cut into bands;
-lines that share a band are candidates of the band's first line and of their neighbour, and candidates whose sets have a
-Jaccard similarity of ``NUM / DEN`` or more are linked. Of each component the first line, by document id and line number, is kept.
+all lines that share a band are candidates of one another, and candidates whose sets have a Jaccard similarity of
+``NUM / DEN`` or more are linked. Of each component the first line, by document id and line number, is kept.
 
-Equal lines are one class from the start, so repeats cost one row for each task. Bands are joined inside chunks of text
-first, so that a hot band sends one row for each chunk. Lines are named by 64-bit hashes.
+Equal lines are one class from the start, so repeats cost one row for each task. A band of few classes gives its pairs; a
+longer one is cut into tiles of bounded weight, each of which gives a spanning forest of its links. Lines are named by 64-bit hashes.
 
 Nulls: a null text has no lines; a null document id comes first in the order. Repeated rows have the same line places,
 and both keep the kept line. An empty table gives an empty result.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import read_table, staged, unstage
 from .components import connected_components
-from .jaccard import _signed, intersection, similar
+from .jaccard import SHORT, _bands, _signed, _with_end, intersection, similar, tile_links
 from .textbatch import chunked, lean, mix, raw
 
 MIN_WORDS = 5
@@ -132,11 +132,11 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return key
 
 
-_LINE = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("name", pa.int64()), ("number", pa.int32()), ("words", pa.int32()), ("lead", pa.bool_()), ("keys", pa.list_(pa.int64()))])
+_LINE = pa.schema([("kind", pa.int8()), ("name", pa.int64()), ("number", pa.int32()), ("words", pa.int32()), ("lead", pa.bool_()), ("grams", pa.int32()), ("keys", pa.list_(pa.int64()))])
 
 
 def _line_table(df: DataFrame, doc_type: str) -> DataFrame:
-    """Kind 0: a line (doc, number, name, words); 1: a class's bands (name, keys) that it is first in; 2: candidates (key, name) met inside a chunk."""
+    """Kind 0: a line (doc, number, name, words); 1: a class's shingles before repeats go, and bands (name, grams, keys)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -145,15 +145,15 @@ def _line_table(df: DataFrame, doc_type: str) -> DataFrame:
                 lines = Lines(texts)
                 docs = part.column(0)
 
-                def out(kind, n, key, name, number, words, doc=None, lead=None, bands=None):
-                    given = (pa.array(np.full(n, kind, np.int8)), key, name, number, words, lead, bands)
+                def out(kind, n, name, number, words, doc=None, lead=None, grams=None, bands=None):
+                    given = (pa.array(np.full(n, kind, np.int8)), name, number, words, lead, grams, bands)
                     arrays = [doc if doc is not None else pa.nulls(n, docs.type), *(x if isinstance(x, pa.Array) else pa.array(x) if x is not None else pa.nulls(n, t) for x, t in zip(given, _LINE.types))]
                     return pa.RecordBatch.from_arrays(arrays, names=["doc", *_LINE.names])
 
                 order = np.lexsort((lines.names, lines.row))
                 lead = np.ones(len(order), bool)  # first of its class in its text
                 lead[order[1:]] = (lines.names[order[1:]] != lines.names[order[:-1]]) | (lines.row[order[1:]] != lines.row[order[:-1]])
-                yield out(0, len(lines.row), None, lines.names, lines.number.astype(np.int32), lines.words.astype(np.int32), docs.take(pa.array(lines.row)), lead)
+                yield out(0, len(lines.row), lines.names, lines.number.astype(np.int32), lines.words.astype(np.int32), docs.take(pa.array(lines.row)), lead)
                 names, first = np.unique(lines.names, return_index=True)
                 fresh = np.fromiter((x not in seen for x in names.tolist()), bool, len(names))
                 seen.update(names[fresh].tolist())
@@ -162,49 +162,87 @@ def _line_table(df: DataFrame, doc_type: str) -> DataFrame:
                     continue
                 hashes, line = lines.grams(first)
                 own = lines.names[first]
-                flat = _signed(band_keys(minima(hashes, line, len(first))).ravel())
-                which = np.repeat(np.arange(len(first)), BINS // ROWS)
-                order = np.argsort(flat, kind="stable")
-                keys, named = flat[order], own[which[order]]
-                lead = np.concatenate(([True], keys[1:] != keys[:-1]))
-                leads = np.zeros(len(flat), bool)
-                leads[order[lead]] = True
-                bounds = np.concatenate(([0], np.cumsum(np.bincount(which[leads], minlength=len(first))))).astype(np.int32)
-                yield out(1, len(first), None, own, None, None, bands=pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat[leads])))
-                follow = np.flatnonzero(~lead)
-                if len(follow):
-                    leader = named[np.maximum.accumulate(np.where(lead, np.arange(len(keys)), 0))]
-                    pair = np.concatenate([np.stack([leader[follow], named[follow]]), np.stack([named[follow - 1], named[follow]])], axis=1)
-                    pair = np.unique(pair[:, pair[0] != pair[1]], axis=1)
-                    yield out(2, pair.shape[1], np.ascontiguousarray(pair[0]), np.ascontiguousarray(pair[1]), None, None)
-
-    return df.mapInArrow(lean(run), f"doc {doc_type}, kind byte, key long, name long, number int, words int, lead boolean, keys array<long>")
-
-
-def _band_pairs(bands: DataFrame) -> DataFrame:
-    """Each class of a band with the band's first class and with the one before it. Sorted rows stream by; no band is held."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+                keys = _signed(band_keys(minima(hashes, line, len(first))).ravel())
+                bounds = np.arange(len(first) + 1, dtype=np.int32) * np.int32(BINS // ROWS)
+                yield out(1, len(first), own, None, None, grams=np.bincount(line, minlength=len(first)).astype(np.int32), bands=pa.ListArray.from_arrays(pa.array(bounds), pa.array(keys)))
+
+    return df.mapInArrow(lean(run), f"doc {doc_type}, kind byte, name long, number int, words int, lead boolean, grams int, keys array<long>")
+
+
+#: Rows of bands that are handled at once.
+BAND_BUFFER = 1 << 16
+
+
+def _candidates(bands: DataFrame) -> DataFrame:
+    """Every pair of classes of a band, from its sorted rows: as a pair (tile null), or inside a tile (tile, side, a) where more than SHORT share the band."""
+    schema = pa.schema([("tile", pa.int64()), ("side", pa.int8()), ("a", pa.int64()), ("b", pa.int64())])
+
+    def pairs(name, starts, counts):
+        """Pairs of all short bands at once, by the distance inside a band."""
+        end = np.repeat(starts + counts, counts)
+        at = np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        found = []
+        for d in range(1, int(counts.max(initial=1))):
+            ok = at + d < end
+            at, end = at[ok], end[ok]
+            found.append(np.stack([name[at], name[at + d]]))
+        pair = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+        pair.sort(axis=0)
+        order = np.lexsort(pair)
+        pair = pair[:, order]
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (pair[:, 1:] != pair[:, :-1]).any(0)
+        return pair[:, fresh]
+
+    def tiles(name, grams):
+        """Tiles are named by their classes, so that bands of the same classes give the same tiles."""
+        bounds = _bands(grams.astype(np.int64))
+        parts = [name[x:y] for x, y in zip(bounds[:-1], bounds[1:])]
+        for i in range(len(parts)):
+            for j in range(i, len(parts)):
+                tile = xxhash.xxh3_64_intdigest(parts[i].tobytes() + b"|" + parts[j].tobytes()) - (1 << 63)
+                for side, k in ((0, i), (1, j)) if i != j else ((0, i),):
+                    m = len(parts[k])
+                    yield pa.RecordBatch.from_arrays([pa.array([tile] * m, pa.int64()), pa.array([side] * m, pa.int8()), pa.array(parts[k]), pa.nulls(m, pa.int64())], schema=schema)
 
     def run(batches):
-        last_key = last_name = leader = None
-        for batch in batches:
-            key, name = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if not len(key):
+        held, n, limit = [], 0, BAND_BUFFER
+        for batch in _with_end(batches):
+            if batch is not None:
+                held.append([batch.column(i).to_numpy() for i in range(3)])
+                n += batch.num_rows
+                if n < limit:
+                    continue
+            if not n:
                 continue
-            new = np.concatenate(([last_key is None or key[0] != last_key], key[1:] != key[:-1]))
-            at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-            lead = np.where(at >= 0, name[np.maximum(at, 0)], leader if leader is not None else 0)
-            prev = np.concatenate(([last_name if last_name is not None else name[0]], name[:-1]))
-            old = ~new
-            pair = np.concatenate([np.stack([lead[old], name[old]]), np.stack([prev[old], name[old]])], axis=1)
-            pair = pair[:, pair[0] != pair[1]]
-            last_key, last_name, leader = key[-1], name[-1], lead[-1]
-            if pair.shape[1]:
-                pair.sort(axis=0)
-                pair = np.unique(pair, axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in pair], schema=schema)
-
-    return bands.select(F.explode("keys").alias("key"), "name").repartition("key").sortWithinPartitions("key", "name").mapInArrow(lean(run), "a long, b long")
+            key, grams, name = (np.concatenate(x) for x in zip(*held))
+            cut = int(np.searchsorted(key, key[-1])) if batch is not None else n  # the last band may go on
+            held, n = [[key[cut:], grams[cut:], name[cut:]]], n - cut
+            limit = max(BAND_BUFFER, 2 * n)
+            key, grams, name = key[:cut], grams[:cut], name[:cut]
+            once = np.ones(cut, bool)
+            once[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
+            key, grams, name = key[once], grams[once], name[once]
+            starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if cut else np.zeros(0, np.int64)
+            counts = np.diff(np.append(starts, len(key)))
+            some = (counts > 1) & (counts <= SHORT)
+            pair = pairs(name, starts[some], counts[some])
+            if m := pair.shape[1]:
+                yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int8()), *(pa.array(np.ascontiguousarray(x)) for x in pair)], schema=schema)
+            for s, c in zip(starts[counts > SHORT].tolist(), counts[counts > SHORT].tolist()):
+                yield from tiles(name[s : s + c], grams[s : s + c])
+
+    dealt = bands.select(F.explode("keys").alias("key"), "grams", "name").repartition("key").sortWithinPartitions("key", "grams", "name")
+    return dealt.mapInArrow(lean(run), "tile long, side byte, a long, b long")
+
+
+def _check_tiles(members: DataFrame, table: DataFrame, num: int, den: int) -> DataFrame:
+    def run(group: pa.Table) -> pa.Table:
+        links = tile_links(group["a"].to_pylist(), group["side"].to_numpy(), [shingle_set(x) for x in group["line"].to_pylist()], num, den)
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    rows = members.join(table.select(F.col("name").alias("a"), "line"), "a")
+    return rows.groupBy("tile").applyInArrow(run, "a long, b long")
 
 
 #: Line classes to fetch whose names and first places may be broadcast.
@@ -285,11 +323,13 @@ def line_classes(df: DataFrame, doc: str = "doc_id", text: str = "text", num: in
     rows = df.select(F.col(doc).alias("doc"), F.col(text).alias("__bl_text"))
     table = staged(_line_table(rows, kind), "lines")
     lines = table.where("kind = 0").select("doc", "number", "name", "words", "lead")
-    pairs = staged(_band_pairs(table.where("kind = 1")).unionByName(table.where("kind = 2").select(F.least("key", "name").alias("a"), F.greatest("key", "name").alias("b"))).distinct(), "pairs")
-    wanted = staged(pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct(), "wanted")
+    found = staged(_candidates(table.where("kind = 1")), "candidates")
+    pairs = staged(found.where("tile is null").select("a", "b").distinct(), "pairs")
+    members = staged(found.where("tile is not null").select("tile", "side", "a").distinct(), "members")
+    wanted = staged(pairs.select(F.explode(F.array("a", "b")).alias("name")).unionByName(members.select(F.col("a").alias("name"))).distinct(), "wanted")
     texts = _line_texts(rows, wanted)
-    labels = connected_components(_linked(pairs, texts, num, den))
-    unstage(pairs, wanted, texts)
+    labels = connected_components(_linked(pairs, texts, num, den).unionByName(_check_tiles(members, texts, num, den)))
+    unstage(found, pairs, members, wanted, texts)
     place = F.struct("doc", "number")
     # primitive buffers, so that hash aggregates combine before the shuffle; a class leads a text once, so no ties
     firsts = lines.groupBy("name").agg(

@@ -282,6 +282,30 @@ def test_line_dedup(spark, docs, empty):
     assert sorted(r.text or "" for r in lines.dedup_lines(twice).collect()) == ["", "one two three four five six", "one two three four five six"]
 
 
+def test_all_lines_of_a_band_are_compared(spark):
+    """Templated lines crowd their bands; links between any two lines of a band are found."""
+    r = random.Random(5)
+    text = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))
+    same, found = text(120), []
+    for _ in range(200):
+        tail = text(16)
+        found += [f"a b c d e {same} {tail}", f"a b c d e {same} {tail[:8]}{text(8)}"]
+    made = lines.Lines(pa.array([s.encode() for s in found], pa.large_binary()))
+    keys = lines.band_keys(lines.minima(*made.grams(np.arange(len(made.row))), len(made.row)))
+    sets = [lines.shingle_set(made.text[a:b].tobytes().decode("utf-32-le")) for a, b in zip(made.lo, made.hi)]
+    root = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            i = len(np.intersect1d(sets[a], sets[b]))
+            if (keys[a] == keys[b]).any() and 100 * i >= 80 * (len(sets[a]) + len(sets[b]) - i):
+                low, high = sorted((root[a], root[b]))
+                root = [low if x == high else x for x in root]
+    assert (np.unique(keys, return_counts=True)[1] > jaccard.SHORT).any() and len(set(root)) < len(root)
+    df = spark.createDataFrame(list(enumerate(found)), "doc_id long, text string").repartition(3)
+    got = lines.line_classes(df).toPandas().sort_values("doc_id")
+    assert got.kept_doc.tolist() == root
+
+
 # ---- 8
 
 
