@@ -36,8 +36,6 @@ BINS, ROWS = 72, 6
 #: Draws of each shingle into bins, so that short lines fill them too.
 DRAWS = 3
 NUM, DEN = 80, 100
-#: A document is dropped if dedup took lines and left fewer words than this.
-MIN_LEFT_WORDS = 50
 
 
 class Lines:
@@ -370,6 +368,6 @@ def op6_fuzzy_lines(spark, sf_dir):
 
 
 def stage_lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: near-duplicate lines go, and with them documents of which fewer than MIN_LEFT_WORDS words stay."""
-    cut = dedup_lines(docs, min_left=MIN_LEFT_WORDS)
+    """Pipeline stage: near-duplicate lines go, and with them documents of which no words stay."""
+    cut = dedup_lines(docs, min_left=1)
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)

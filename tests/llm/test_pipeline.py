@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 from binlore.llm.jaccard import similar_components
+from binlore.llm.lines import stage_lines
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,3 +27,10 @@ def test_stages_take_empty_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_line_stage_keeps_what_is_left(spark):
+    shared = "this licence line stands in both of the documents here"
+    own = "forty or so words that occur nowhere else stay in the second one"
+    docs = spark.createDataFrame([(1, shared, "en", "s", 0), (2, f"{shared}\n{own}", "en", "s", 0), (3, shared, "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id: r.text for r in stage_lines(spark, docs, SF).collect()} == {1: shared, 2: own}
