@@ -11,12 +11,14 @@ import numpy as np
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|select|math|object|canvas|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|textarea|title)(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<(?P<end2>/?)(?P<name2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs2>[^>]*)>"
     r"|<[!?/][^>]*>",
     re.S | re.I,
 )
+#: Elements whose text is left out, if they end: without an end tag only the tag goes.
+_HIDDEN = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("noscript", "template", "svg", "iframe", "select", "object", "canvas")}
 _ATTR = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPLIT = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 BLOCK = frozenset(
@@ -46,15 +48,16 @@ def _words_of(attrs: str) -> tuple[str, ...]:
         for w in _SPLIT.findall(m[2] or m[3] or m[4] or ""):
             w = w.lower()
             out.append(w[:-1] if len(w) > 3 and w.endswith("s") else w)
-    return tuple(out[:24])
+    return tuple(out)
 
 
 def blocks(page: str) -> list[Block]:
-    """All leaf blocks in page order. Scripts, styles, form fields, titles and comments hold no text."""
+    """All leaf blocks in page order. Scripts, styles, form fields, titles, comments and ended hidden elements hold no text."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
     linked, links, at = 0, 0, 0
+    endless: set[str] = set()  # hidden elements that have no end tag from here on
 
     def flush():
         nonlocal linked
@@ -70,7 +73,7 @@ def blocks(page: str) -> list[Block]:
         links -= sum(t == "a" for t, _ in stack[k:])
         del stack[k:]
 
-    for m in _TAG.finditer(page):
+    while m := _TAG.search(page, at):
         if m.start() > at:
             piece = page[at : m.start()]
             parts.append(piece)
@@ -79,10 +82,19 @@ def blocks(page: str) -> list[Block]:
         at = m.end()
         name = m["name"] or m["name2"]
         if not name:
-            if m["raw"] and m["raw"].lower() in ("textarea", "select", "iframe"):
+            if m["raw"] and m["raw"].lower() == "textarea":
                 parts.append(" ")
             continue
         name = name.lower()
+        if name in _HIDDEN and not (m["end"] or m["end2"]):
+            if name in ("select", "iframe"):
+                parts.append(" ")
+            if name not in endless and not (m["attrs"] or m["attrs2"] or "").endswith("/"):
+                if end := _HIDDEN[name].search(page, at):
+                    at = end.end()
+                else:
+                    endless.add(name)
+            continue
         if m["end"] or m["end2"]:
             if name == "br":
                 parts.append(" ")

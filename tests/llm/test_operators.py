@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from binlore.llm import blstm, chat, components, decontaminate, encode, extract, jaccard, lines, packing, quality, records, sharding
+from binlore.llm.htmlblocks import blocks
 from binlore.llm.pagegen import make_page
 from binlore.llm.textbatch import ALNUM, NON_SPACE, Words, as_binary
 
@@ -244,6 +245,18 @@ def test_records(spark, docs, empty, tmp_path):
             records.unframe(memoryview(broken), 0)
 
 
+@pytest.mark.parametrize("tag", ["<svg/>", "<svg class='i' />", "<object data=x>", "<canvas>", "<svg-icon></svg-icon>", "<select-menu>", "<svg><path/></svg>", "<title-bar>"])
+def test_page_text_behind_hidden_elements_stays(tag):
+    assert [b.text for b in blocks(f"<p>one</p>{tag}<p>two</p><p>three</p>")] == ["one", "two", "three"]
+
+
+def test_formulas_and_all_class_words_stay():
+    assert [b.text for b in blocks("<p>as <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p>")] == ["as x=1 holds"]
+    assert [b.text for b in blocks("<p>a<svg><title>t</title></svg>b</p><script>x</script><p>c<iframe>d</iframe>e")] == ["ab", "c e"]
+    names = " ".join("c" + "abcdefghijklmnopqrstuvwxyz"[i] for i in range(26))
+    assert len(blocks(f"<p class='{names}'>x</p>")[0].path[-1][1]) == 26
+
+
 # ---- 6
 
 
