@@ -438,7 +438,7 @@ def tokens_of_strings(s, d):
 
 @query(None)
 def token_paths_all(s, d):
-    return labels.token_paths(tokens(s, d), paths(s, d).where("ref_depth = 0"), strings(s, d))
+    return labels.token_paths(tokens(s, d), paths(s, d), strings(s, d))
 
 
 @query(None)

@@ -157,3 +157,9 @@ def test_query_equals_sql(spark, name):
     got = plans.Q[name](spark, SF)
     assert sorted(got.columns) == cols
     assert key(got.select(*cols).collect(), cols) == key(c.sql("select " + ", ".join(f'"{x}"' for x in cols) + f" from ({plans.SQL[name]})").fetchall(), cols)
+
+
+def test_token_paths_of_all_depths(spark):
+    known = plans.paths(spark, "/root/testdata/sf0.001").select("id", "ref_depth").distinct()
+    found = plans.token_paths_all(spark, "/root/testdata/sf0.001").select("path_id").distinct()
+    assert {r.ref_depth for r in found.join(known, found.path_id == known.id).select("ref_depth").distinct().collect()} == {0, 1, 2}
