@@ -62,6 +62,12 @@ def tokens(s, d):
     return first_wins(first, ["literal"], ["seq"]).join(marks, "string_addr", "left").select("string_addr", "literal", "is_name")
 
 
+def whole_tokens(s, d):
+    """Tokens of the whole strings, with the document's label. The queries with SQL stay on ``tokens``."""
+    marks = _t(s, d, "labels").groupBy(col("doc_id").alias("string_addr")).agg(F.max("quality").alias("is_name"))
+    return labels.make_tokens(strings(s, d)).drop("is_name").join(marks, "string_addr", "left").select("string_addr", "literal", "is_name")
+
+
 def symbols(s, d):
     """Plain, special and noisy symbols of the customers, in order."""
     c = _t(s, d, "customer")
@@ -443,11 +449,11 @@ def token_paths_all(s, d):
 
 @query(None)
 def token_embedding(s, d):
-    return tokens(s, d).select("literal", ml.embed(col("literal")).alias("lit_vec"))
+    return whole_tokens(s, d).select("literal", ml.embed(col("literal")).alias("lit_vec"))
 
 
 def _name_rows(s, d):
-    return tokens(s, d).where("is_name is not null").select("literal", "is_name", ml.embed(col("literal")).alias("lit_vec"))
+    return whole_tokens(s, d).where("is_name is not null").select("literal", "is_name", ml.embed(col("literal")).alias("lit_vec"))
 
 
 def _path_rows(s, d):

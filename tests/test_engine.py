@@ -163,3 +163,8 @@ def test_token_paths_of_all_depths(spark):
     known = plans.paths(spark, "/root/testdata/sf0.001").select("id", "ref_depth").distinct()
     found = plans.token_paths_all(spark, "/root/testdata/sf0.001").select("path_id").distinct()
     assert {r.ref_depth for r in found.join(known, found.path_id == known.id).select("ref_depth").distinct().collect()} == {0, 1, 2}
+
+
+def test_embedding_takes_whole_texts(spark):
+    got = {r.literal for r in plans.token_embedding(spark, SF).select("literal").collect()}
+    assert got == {r.literal for r in labels.make_tokens(plans.strings(spark, SF)).select("literal").collect()}
