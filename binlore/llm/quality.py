@@ -1,16 +1,26 @@
 """Host-level quality rules: rule failures by domain, rates shrunk with an empirical beta prior, verdicts joined back.
 
-DataFrame functions only. Words are runs of characters other than ASCII white space. Null or empty texts have no
-words and fail; a null host is a host of its own; repeated rows count each; an empty table gives an empty result.
-Lines and words are compared exactly. Word windows are compared by 64-bit hashes inside one text.
+DataFrame functions only. Words are runs of characters other than ASCII white space. Lines and words are compared
+exactly, word windows by 64-bit hashes inside one text.
+
+A host's verdict has two steps. A rule binds at a host whose shrunk failure rate of it exceeds ``SUSPECT_RATE``: there
+documents that fail it go, elsewhere one lone failure is forgiven (the base rules bind everywhere). A host whose shrunk rate of
+any rule exceeds ``MAX_HOST_RATE`` is rejected whole.
+
+Nulls: null or empty texts have no words and fail; a null host is a host of its own; a null id changes nothing. Whole texts
+count, however long. Repeated rows count each; ties do not arise. Existing columns with the names of results are replaced. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup_join, staged
+from .common import lookup_join, read_table, staged
 
 SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -19,6 +29,8 @@ MAX_REPEAT_PERCENT = 50
 #: A symbol to so many words, and duplicate lines to all lines with words, in percent, fail a document for its host's rates.
 MAX_SYMBOL_PERCENT = 10
 MAX_DUP_LINE_PERCENT = 30
+#: A rule binds at a host if its shrunk failure rate there exceeds this.
+SUSPECT_RATE = 0.05
 #: A host is rejected if the shrunk failure rate of any rule exceeds this.
 MAX_HOST_RATE = 0.5
 #: Limits of the prior's strength (alpha + beta), in documents.
@@ -106,11 +118,12 @@ def beta_priors(rates: DataFrame) -> dict[str, tuple[float, float]]:
 
 
 def host_verdicts(rates: DataFrame) -> DataFrame:
-    """Per host: shrunk rates (``rate_<rule>``) and ``host_ok``."""
+    """Per host: shrunk rates (``rate_<rule>``), ``binds`` (a flag for each rule) and ``host_ok``."""
     priors = beta_priors(rates)
     out = rates
     for r, (a, b) in priors.items():
         out = out.withColumn(f"rate_{r}", (F.col(r) + F.lit(a)) / (F.col("n") + F.lit(a + b)))
+    out = out.withColumn("binds", F.struct(*[(F.col(f"rate_{r}") > SUSPECT_RATE).alias(r) for r in RULES]))
     return out.withColumn("host_ok", F.greatest(*[F.col(f"rate_{r}") for r in RULES]) <= MAX_HOST_RATE)
 
 
@@ -120,21 +133,20 @@ NULL_HOST = "\x00"
 def with_verdicts(df: DataFrame, text: str = "text", host: str = "source", keep: list[str] | None = None, prefix: str = "") -> DataFrame:
     """Columns ``keep`` of ``df`` with the base columns, ``base_failed`` and ``kept``, each named with ``prefix``.
 
-    A document is kept if it passes the base rules and its host is not rejected. Features are staged once,
-    so that texts are read and split one time only.
+    A document is kept if it passes the base rules and those that bind at its host, and the host is not rejected. Features are
+    staged once, so that texts are read and split one time only; the table goes when the session ends.
     """
-    keep = df.columns if keep is None else keep
+    made = {prefix + c for c in [*BASE, "base_failed", "fails", "kept"]}
+    keep = [c for c in (df.columns if keep is None else keep) if c not in made]
     features = document_features(df.withColumn("__bl_key", F.coalesce(F.col(host).cast("string"), F.lit(NULL_HOST))), text, prefix)
     features = staged(features.select(*keep, "__bl_key", *[prefix + c for c in [*BASE, "base_failed", "fails"]]), "quality")
-    verdicts = host_verdicts(host_rates(features, "__bl_key", prefix)).select(F.col("__bl_host").alias("__bl_key"), "host_ok")
-    verdicts = verdicts.withColumnRenamed("host_ok", "__bl_ok")
+    verdicts = host_verdicts(host_rates(features, "__bl_key", prefix)).select(F.col("__bl_host").alias("__bl_key"), F.col("host_ok").alias("__bl_ok"), F.col("binds").alias("__bl_binds"))
     joined = lookup_join(features, verdicts, "__bl_key", F.struct(*[F.col(prefix + c) for c in BASE]))
-    return joined.withColumn(prefix + "kept", ~F.col(prefix + "base_failed") & F.coalesce(F.col("__bl_ok"), F.lit(True))).drop("__bl_key", "__bl_ok")
+    bound = reduce(or_, [(F.col(prefix + "fails")[r] == 1) & F.col("__bl_binds")[r] for r in RULES])
+    return joined.withColumn(prefix + "kept", ~F.col(prefix + "base_failed") & F.col("__bl_ok") & ~bound).drop("__bl_key", "__bl_ok", "__bl_binds")
 
 
 def op9_host_rules(spark, sf_dir):
-    from .common import read_table
-
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return with_verdicts(docs, keep=["doc_id"]).select("doc_id", *BASE, "base_failed", "kept")
 
@@ -151,7 +163,9 @@ def _oracle() -> str:
     rates = ", ".join(f"sum({r}) AS {r}" for r in RULES)
     prior = ", ".join(f"sum({r}) / sum(n) AS m_{r}, var_pop({r} / n) AS v_{r}" for r in RULES)
     strength = {r: f"least(greatest(CASE WHEN v_{r} > 0 THEN m_{r} * (1 - m_{r}) / v_{r} - 1 ELSE {high} END, {low}), {high})" for r in RULES}
-    shrunk = ", ".join(f"({r} + m_{r} * {strength[r]}) / (n + {strength[r]})" for r in RULES)
+    shrunk = {r: f"({r} + m_{r} * {strength[r]}) / (n + {strength[r]})" for r in RULES}
+    binds = ", ".join(f"{shrunk[r]} > {SUSPECT_RATE} AS b_{r}" for r in RULES)
+    bound = " OR ".join(f"{r} = 1 AND b_{r}" for r in RULES)
     symbols = "\\" + "\\".join(SYMBOLS)
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, chr(0)) AS host, coalesce(text, '') AS t FROM documents),
@@ -165,8 +179,8 @@ f AS (SELECT rid, doc_id, host, CAST(len(w) AS BIGINT) AS n_words, CAST(length(r
 g AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed, CAST(n_words < {MIN_WORDS} AS INT) AS short, CAST(100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS INT) AS repeats,
       CAST(100 * n_symbols > {MAX_SYMBOL_PERCENT} * n_words AS INT) AS symbols, CAST(100 * n_dup_lines > {MAX_DUP_LINE_PERCENT} * n_lines AS INT) AS dup_lines FROM f),
 h AS (SELECT host, count(*) AS n, {rates} FROM g GROUP BY host), p AS (SELECT {prior} FROM h),
-v AS (SELECT host, greatest({shrunk}) <= {MAX_HOST_RATE} AS ok FROM h, p)
-SELECT doc_id, {", ".join(BASE)}, base_failed, NOT base_failed AND ok AS kept FROM g JOIN v USING (host)
+v AS (SELECT host, greatest({", ".join(shrunk.values())}) <= {MAX_HOST_RATE} AS ok, {binds} FROM h, p)
+SELECT doc_id, {", ".join(BASE)}, base_failed, NOT base_failed AND ok AND NOT ({bound}) AS kept FROM g JOIN v USING (host)
 """
 
 

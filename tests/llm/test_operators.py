@@ -363,6 +363,25 @@ def test_quality(spark, docs, empty):
     assert kept[0] and not kept[1] and kept[1001]
 
 
+def test_host_verdicts_decide(spark):
+    """One text, noisy by symbols, stands on three hosts: it goes where many documents are noisy, and stays elsewhere."""
+    good, noisy = " ".join(f"w{k}" for k in range(60)), " ".join(f"w{k}" for k in range(60)) + " # # # # # # # #"
+    rows = [(h * 1000 + i, noisy if i % every == 0 else good, name) for h, (name, every) in enumerate((("bad", 3), ("good", 100), (None, 4))) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"kept": F.lit("clash"), "n_words": F.lit(-1)})
+    got = quality.with_verdicts(df)
+    assert sorted(got.columns) == sorted({*df.columns, *quality.BASE, "base_failed", "fails"} | {"kept"})
+    found = {r.doc_id: r for r in got.collect()}
+    assert not any(r.base_failed for r in found.values()) and found[0].n_words == 68
+    assert {i for i, r in found.items() if not r.kept} == {i for i, t, h in rows if t == noisy and h != "good"}
+    alone = quality.with_verdicts(df.where("source = 'good'")).where("not kept").count()
+    assert alone == 0
+    rates = {r["__bl_host"]: r for r in quality.host_verdicts(quality.host_rates(quality.document_features(df.drop("kept", "n_words"), prefix="q_"), "source", "q_")).collect()}
+    m, v = 60 / 300, float(np.var([0.34, 0.01, 0.25]))
+    strength = m * (1 - m) / v - 1
+    for host, n in (("bad", 34), ("good", 1), (None, 25)):
+        assert rates[host].rate_symbols == pytest.approx((n + m * strength) / (100 + strength))
+
+
 # ---- 10
 
 
