@@ -53,14 +53,15 @@ def rank_buckets(spark: SparkSession) -> int:
     return max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def gapless_rank(df: DataFrame, keys: list[str], order: list[str], out: str, spread: list[str] | None = None) -> DataFrame:
+def gapless_rank(df: DataFrame, keys: list[str], order: list[str], out: str, bucket: Column | None = None) -> DataFrame:
     """Number the rows of each key from 0 without gaps, with no task holding a whole key.
 
-    Rows of a key are dealt into hash buckets of ``spread`` (default: ``order``), numbered inside each
+    Rows of a key are dealt into buckets (default: of a hash of ``order``), numbered inside each
     bucket, and shifted by the counts of the buckets before it. The shift table has one row per key and bucket.
     """
     b = "__bl_bucket"
-    dealt = df.withColumn(b, F.pmod(F.xxhash64(*(spread or order)), F.lit(rank_buckets(df.sparkSession))).cast("int"))
+    bucket = F.pmod(F.xxhash64(*order), F.lit(rank_buckets(df.sparkSession))).cast("int") if bucket is None else bucket
+    dealt = df.withColumn(b, bucket)
     counts = dealt.groupBy(*keys, b).agg(F.count("*").alias("__bl_n"))
     before = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     shifts = counts.withColumn("__bl_shift", F.coalesce(F.sum("__bl_n").over(before), F.lit(0)))

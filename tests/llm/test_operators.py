@@ -322,21 +322,74 @@ def test_all_lines_of_a_band_are_compared(spark):
 # ---- 8
 
 
-def test_sharding(spark, docs):
-    tree, grown = sharding.uniform_tree(16), sharding.uniform_tree(17)
-    df = spark.range(4000).withColumn("size", F.lit(1)).withColumn("text_crc32", F.lit(0)).withColumn("shard", F.lit("clash"))
-    got = sharding.with_slots(sharding.shard(df, "id", tree, grown), "id").toPandas()
-    assert set(got.shard) == set(range(16)) and got.groupby("shard").size().between(170, 340).all()
-    moved = got[got.shard != got.grown_shard]
-    assert (moved.grown_shard == 16).all() and 120 < len(moved) < 360
+def drawn(key, weights):
+    """The descent in plain Python, from the definition."""
+    bits = lambda *p: int(hashlib.md5("|".join(map(str, p)).encode()).hexdigest()[:12], 16)
+    unit = lambda *p: (bits(*p) + 0.5) / 2**48
+    best = lambda names, w, *at: min(range(len(names)), key=lambda i: (-np.log(unit(*at, names[i])) / w[i], i))
+    for first, size in reversed(sharding.links_of(len(weights))):
+        own, before = weights[first : first + size], sum(weights[:first])
+        for a in range(sharding.ATTEMPTS):
+            at = (f"{sharding.SEED}|{first}", a, key)
+            if first and unit(*at, "link") * (size + before) < before:
+                break
+            rack = best([f"r{i}" for i in range(size // 8)], [8] * (size // 8), *at) * 2 + best(["k0", "k1"], [4, 4], *at)
+            slot = rack * 4 + best(["s0", "s1", "s2", "s3"], [1] * 4, *at, rack)
+            if slot < len(own) and (own[slot] == 1 or unit(*at, "take") < own[slot]):
+                return first + slot
+        if not first:
+            return best([f"s{i}" for i in range(len(own))], own, f"{sharding.SEED}|0", key)
+
+
+def test_one_more_shard_takes_rows_only_into_itself(spark):
+    counts = range(1, 26)
+    found = {}
+    for part in (counts[:13], counts[13:]):
+        rows = spark.range(1500).select("id", *[sharding.assign_shard(F.col("id"), n).alias(str(n)) for n in part]).toPandas().sort_values("id")
+        found.update({n: rows[str(n)].to_numpy() for n in part})
+    for n in counts:
+        assert found[n][:100].tolist() == [drawn(k, [1.0] * n) for k in range(100)]
+        size = np.bincount(found[n], minlength=n)
+        assert len(size) == n and abs(size - 1500 / n).max() < 5.5 * np.sqrt(1500 / n)
+        if n > 1:
+            moved = found[n] != found[n - 1]
+            assert (found[n][moved] == n - 1).all() and moved.sum() == size[n - 1]
+
+
+def test_shard_weights(spark):
+    weights = [1.0, 0.25, *[1.0] * 7, 0.5]
+    got = np.array([r.s for r in spark.range(4000).select("id", sharding.assign_shard(F.col("id"), weights).alias("s")).orderBy("id").collect()])
+    assert got[:300].tolist() == [drawn(k, weights) for k in range(300)]
+    size = np.bincount(got, minlength=10) / 4000
+    assert abs(size - np.array(weights) / sum(weights)).max() < 0.025
+    for bad in (0, [], [0.5, 0.0], [2.0]):
+        with pytest.raises(ValueError):
+            sharding.assign_shard(F.col("id"), bad)
+
+
+def test_sharding(spark):
+    heavy = sharding.Node("root", (sharding.Node("r0", (sharding.Node("k0", (sharding.Node("s0", shard=0, own_weight=1.0), sharding.Node("s1", shard=1, own_weight=3.0), sharding.Node("s3", shard=3, own_weight=0.0))),)), sharding.Node("r1", (sharding.Node("k1", (sharding.Node("s2", shard=2, own_weight=4.0),)),))))
+    df = spark.range(4000).withColumn("shard", F.lit("clash"))
+    counts = Counter(r.shard for r in sharding.shard(df, "id", heavy).collect())
+    assert abs(counts[0] - 500) < 120 and abs(counts[1] - 1500) < 180 and abs(counts[2] - 2000) < 200 and counts[3] == 0
+    odd = spark.createDataFrame([(None, 1, 0), (None, 1, 0), (3, 2, 1)], "id long, size long, text_crc32 long").withColumn("slot", F.lit("clash"))
+    got = sharding.with_slots(sharding.shard(odd, "id", 16, 17), "id").collect()
+    for k in {r.shard for r in got}:
+        assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
+    assert len({r.shard for r in got if r.id is None}) == 1
+    assert sharding.with_slots(sharding.shard(odd.limit(0), "id", 16), "id").count() == 0
+
+
+def test_sharding_query(spark, tmp_path):
+    rows = [*((i, t) for i, t in corpus()), (None, "x"), (5, "again"), (5, "again")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sharding.op8_hash_tree_shards(spark, str(tmp_path)).toPandas()
+    place = lambda i, n: drawn("null" if i is None else i, [1.0] * n)
+    want = Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode()), place(i, 16), place(i, 17)) for i, t in rows)
+    assert Counter((None if pd.isna(r.doc_id) else int(r.doc_id), r.size_, r.text_crc32, r.shard, r.grown_shard) for r in got.rename(columns={"size": "size_"}).itertuples()) == want
+    assert set(got.law) == {"key"}
     for _, g in got.groupby("shard"):
         assert sorted(g.slot) == list(range(len(g)))
-    heavy = sharding.Node("root", (sharding.Node("r0", (sharding.Node("k0", (sharding.Node("s0", shard=0, own_weight=1.0), sharding.Node("s1", shard=1, own_weight=3.0))),)), sharding.Node("r1", (sharding.Node("k1", (sharding.Node("s2", shard=2, own_weight=4.0),)),))))
-    counts = Counter(r.shard for r in sharding.shard(df, "id", heavy).collect())
-    assert abs(counts[0] - 500) < 120 and abs(counts[1] - 1500) < 180 and abs(counts[2] - 2000) < 200
-    odd = spark.createDataFrame([(None, 1, 0), (None, 1, 0), (3, 2, 1)], "id long, size long, text_crc32 long")
-    assert sharding.with_slots(sharding.shard(odd, "id", tree, grown), "id").count() == 3
-    assert sharding.with_slots(sharding.shard(odd.limit(0), "id", tree), "id").count() == 0
 
 
 # ---- 9
