@@ -9,16 +9,12 @@ from dataclasses import dataclass
 
 import numpy as np
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|textarea|title)(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<(?P<end2>/?)(?P<name2>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs2>[^>]*)>"
-    r"|<[!?/][^>]*>",
-    re.S | re.I,
-)
-#: Elements whose text is left out, if they end: without an end tag only the tag goes.
-_HIDDEN = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("noscript", "template", "svg", "iframe", "select", "object", "canvas")}
+_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+_QUOTE_OR_END = re.compile(r"[\"'>]")
+#: Elements that hold no text of the page, if they end: scripts, styles, form fields and the window's title.
+_SKIPPED = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in ("script", "style", "textarea", "select", "title")}
+#: Without an end these run to the end of the page; of the others only the tag goes.
+_TO_THE_END = {"script", "style"}
 _ATTR = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPLIT = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 BLOCK = frozenset(
@@ -35,12 +31,35 @@ PATH_DIM, TAG_DIM, WORD_DIM, NUMBERS = 768, 64, 128, 7
 DIM = PATH_DIM + TAG_DIM + WORD_DIM + NUMBERS
 
 
+class Element:
+    """An open element: its tag, the class, id and role words, and sums over the path from the root.
+
+    ``bits``: buckets of all tags and words; ``block``: the innermost block-level tag; ``group``: number of the path of block-level elements.
+    """
+
+    __slots__ = ("tag", "words", "parent", "bits", "block", "group")
+
+    def __init__(self, tag: str, words: tuple[str, ...], parent: "Element | None", groups: dict):
+        self.tag, self.words, self.parent = tag, words, parent
+        self.bits, self.block, self.group = (parent.bits, parent.block, parent.group) if parent else (0, "", 0)
+        self.bits |= 1 << _bucket(tag, PATH_DIM, 1)
+        for w in words:
+            self.bits |= 1 << _bucket(w, PATH_DIM, 2)
+        if tag in BLOCK:
+            self.block = tag
+            self.group = groups.setdefault((self.group, tag, words), len(groups) + 1)
+
+
 @dataclass
 class Block:
     text: str
-    path: tuple[tuple[str, tuple[str, ...]], ...]  # (tag, class, id and role words) from the root
+    element: Element | None  # the innermost open element
     linked: int  # characters inside links
 
+    @property
+    def group(self) -> int:
+        return self.element.group if self.element else 0
+
 
 def _words_of(attrs: str) -> tuple[str, ...]:
     out = []
@@ -51,93 +70,126 @@ def _words_of(attrs: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+class _Tags:
+    """The tag that follows a place, for a page's places in order, in time linear in its length: (start, end, name, closing, attributes); comments have no name."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.lost: set[int] = set()  # quotes from which no tag's end is found outside of quotes
+
+    def _end(self, at: int) -> int:
+        """Place of the ``>`` that ends a tag: outside of quotes, or the next one where quotes do not close; -1: none."""
+        page = self.page
+        first = page.find(">", at)
+        if first < 0:
+            return -1
+        seen = []
+        while (m := _QUOTE_OR_END.search(page, at)) and m[0] != ">":
+            seen.append(m.start())
+            close = -1 if m.start() in self.lost else page.find(m[0], m.end())
+            if close < 0:
+                break
+            at = close + 1
+        else:
+            if m:
+                return m.start()
+        self.lost.update(seen)
+        return first
+
+    def after(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        page = self.page
+        while (start := page.find("<", at)) >= 0:
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 2)
+                return start, len(page) if end < 0 else end + 3, "", False, ""
+            closing = page.startswith("/", start + 1)
+            if name := _NAME.match(page, start + 1 + closing):
+                end = self._end(name.end())
+                return (start, end + 1, name[0].lower(), closing, page[name.end() : end]) if end >= 0 else None
+            if page.startswith(("!", "?", "/"), start + 1):
+                end = page.find(">", start)
+                return (start, end + 1, "", False, "") if end >= 0 else None
+            at = start + 1
+        return None
+
+
 def blocks(page: str) -> list[Block]:
-    """All leaf blocks in page order. Scripts, styles, form fields, titles, comments and ended hidden elements hold no text."""
+    """All leaf blocks in page order. Scripts, styles, form fields, the window's title and comments hold no text."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[Element] = []
+    groups: dict = {}
+    open_at: dict[str, list[int]] = {}  # places of a tag's open elements
+    block_at: list[int] = []  # places of block-level elements
     parts: list[str] = []
-    linked, links, at = 0, 0, 0
-    endless: set[str] = set()  # hidden elements that have no end tag from here on
+    linked, at = 0, 0
+    endless: set[str] = set()  # skipped elements that have no end tag from here on
 
     def flush():
         nonlocal linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, tuple(stack), min(linked, len(text))))
+                out.append(Block(text, stack[-1] if stack else None, min(linked, len(text))))
             parts.clear()
         linked = 0
 
+    def last(names) -> int:
+        return max((open_at[n][-1] for n in names if open_at.get(n)), default=-1)
+
     def close(k: int):
-        nonlocal links
-        links -= sum(t == "a" for t, _ in stack[k:])
+        for e in stack[k:]:
+            open_at[e.tag].pop()
+            if e.tag in BLOCK:
+                block_at.pop()
         del stack[k:]
 
-    while m := _TAG.search(page, at):
-        if m.start() > at:
-            piece = page[at : m.start()]
-            parts.append(piece)
-            if links:
-                linked += len(piece)
-        at = m.end()
-        name = m["name"] or m["name2"]
-        if not name:
-            if m["raw"] and m["raw"].lower() == "textarea":
-                parts.append(" ")
-            continue
-        name = name.lower()
-        if name in _HIDDEN and not (m["end"] or m["end2"]):
-            if name in ("select", "iframe"):
-                parts.append(" ")
-            if name not in endless and not (m["attrs"] or m["attrs2"] or "").endswith("/"):
-                if end := _HIDDEN[name].search(page, at):
-                    at = end.end()
-                else:
-                    endless.add(name)
-            continue
-        if m["end"] or m["end2"]:
+    tags = _Tags(page)
+    while tag := tags.after(at):
+        start, end, name, closing, attrs = tag
+        if start > at:
+            parts.append(page[at:start])
+            if open_at.get("a"):
+                linked += start - at
+        at = end
+        if closing:
+            k = last((name,))
             if name == "br":
                 parts.append(" ")
-                continue
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    if name in BLOCK:
-                        flush()
+            elif name in BLOCK:
+                flush()
+                if k >= 0:
                     close(k)
+            elif k >= 0 and k > (block_at[-1] if block_at else -1):
+                close(k)
+        elif name in _SKIPPED:
+            if name in ("select", "textarea"):
+                parts.append(" ")
+            if name not in endless:
+                if m := _SKIPPED[name].search(page, at):
+                    at = m.end()
+                elif name in _TO_THE_END:
+                    at = len(page)
                     break
-                if name not in BLOCK and stack[k][0] in BLOCK:
-                    break
-            else:
-                if name in BLOCK:
-                    flush()
-            continue
-        if name == "br":
+                else:
+                    endless.add(name)
+        elif name == "br":
             parts.append(" ")
-            continue
-        if name in BLOCK:
-            flush()
-            if name in _P_ENDS:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "p":
-                        close(k)
-                        break
-                    if stack[k][0] in BLOCK:
-                        break
-            if name in _CLOSES:
-                own, bounds = _CLOSES[name]
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in own:
+        elif name:
+            if name in BLOCK:
+                flush()
+                if name in _P_ENDS and block_at and stack[block_at[-1]].tag == "p":
+                    close(block_at[-1])
+                if name in _CLOSES:
+                    own, bounds = _CLOSES[name]
+                    if (k := last(own)) > last(bounds):
                         close(k)
-                        break
-                    if stack[k][0] in bounds:
-                        break
-        if name not in VOID and not (m["attrs"] or m["attrs2"] or "").endswith("/"):
-            stack.append((name, _words_of(m["attrs"] or m["attrs2"] or "")))
-            links += name == "a"
-            if len(stack) > 400:  # endless nesting adds nothing to a path
-                close(399)
-        if name == "img":
-            parts.append(" ")
+            if name not in VOID and not attrs.endswith("/"):
+                open_at.setdefault(name, []).append(len(stack))
+                if name in BLOCK:
+                    block_at.append(len(stack))
+                stack.append(Element(name, _words_of(attrs), stack[-1] if stack else None, groups))
+            if name in ("img", "iframe"):
+                parts.append(" ")
     if at < len(page):
         parts.append(page[at:])
     flush()
@@ -152,22 +204,20 @@ class Vectors:
     """Hashed tag-path and word vectors; remembers paths and words in bounded caches."""
 
     def __init__(self):
-        self.paths: dict[tuple, np.ndarray] = {}
+        self.paths: dict[tuple[int, str], np.ndarray] = {}
         self.words: dict[str, int] = {}
 
-    def _path(self, path: tuple) -> np.ndarray:
-        found = self.paths.get(path)
+    def _path(self, element: Element | None) -> np.ndarray:
+        bits, block = (element.bits, element.block) if element else (0, "")
+        found = self.paths.get((bits, block))
         if found is None:
             found = np.zeros(PATH_DIM + TAG_DIM, np.float32)
-            for tag, words in reversed(path):
-                found[_bucket(tag, PATH_DIM, 1)] = 1
-                for w in words:
-                    found[_bucket(w, PATH_DIM, 2)] = 1
-                if tag in BLOCK and not found[PATH_DIM:].any():
-                    found[PATH_DIM + _bucket(tag, TAG_DIM, 3)] = 1
+            found[:PATH_DIM] = np.unpackbits(np.frombuffer(bits.to_bytes(PATH_DIM // 8, "little"), np.uint8), bitorder="little")
+            if block:
+                found[PATH_DIM + _bucket(block, TAG_DIM, 3)] = 1
             if len(self.paths) > 50_000:
                 self.paths.clear()
-            self.paths[path] = found
+            self.paths[bits, block] = found
         return found
 
     def page(self, found: list[Block]) -> np.ndarray:
@@ -177,7 +227,7 @@ class Vectors:
             words.clear()
         base = PATH_DIM + TAG_DIM
         for i, b in enumerate(found):
-            out[i, :base] = self._path(b.path)
+            out[i, :base] = self._path(b.element)
             own = b.text.lower().split(" ")
             index = [get(w, -1) for w in own]
             if -1 in index:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -250,11 +251,37 @@ def test_page_text_behind_hidden_elements_stays(tag):
     assert [b.text for b in blocks(f"<p>one</p>{tag}<p>two</p><p>three</p>")] == ["one", "two", "three"]
 
 
-def test_formulas_and_all_class_words_stay():
-    assert [b.text for b in blocks("<p>as <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p>")] == ["as x=1 holds"]
-    assert [b.text for b in blocks("<p>a<svg><title>t</title></svg>b</p><script>x</script><p>c<iframe>d</iframe>e")] == ["ab", "c e"]
+def test_only_scripts_styles_form_fields_and_titles_are_skipped():
+    texts = lambda page: [b.text for b in blocks(page)]
+    assert texts("<p>as <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p>") == ["as x=1 holds"]
+    assert texts("<p>a<svg><title>t</title></svg>b</p><script>x</script><style>p{}</style><p>c") == ["ab", "c"]
+    assert texts("<noscript><p>one</p></noscript><object><p>two</p></object><canvas>three</canvas><template><p>four</p></template>") == ["one", "two", "three", "four"]
+    assert texts("<p>a<select><option>x</select>b<textarea>y</textarea>c</p>") == ["a b c"]
+    assert texts("<p>a</p><script>if (1 < 2) '</p>'") == ["a"] and texts("<title>t<p>x") == ["tx"] or texts("<title>t<p>x") == ["t", "x"]
     names = " ".join("c" + "abcdefghijklmnopqrstuvwxyz"[i] for i in range(26))
-    assert len(blocks(f"<p class='{names}'>x</p>")[0].path[-1][1]) == 26
+    assert len(blocks(f"<p class='{names}'>x</p>")[0].element.words) == 26
+
+
+def test_tags_with_quotes():
+    texts = lambda page: [b.text for b in blocks(page)]
+    assert texts("<p title='a > b'>x</p><p title=\"it's > 1\">y</p>") == ["x", "y"]
+    assert texts("<p title=\"open>x</p><p>y</p>") == ["x", "y"]  # a quote that does not close ends with its tag
+    assert texts("<p>a < b and <3 <!-- no --> c<!bogus> <?x?> </ y>d") == ["a < b and <3 c d"]
+    assert texts("<p>x<a href='q") == ["x<a href='q"]
+
+
+@pytest.mark.parametrize("page", ["<a " * 20000, '<p a="' * 6000, '<p a="' * 6000 + ">", '<a ">" ' * 20000, "<a '>' \">\" " * 10000, "<div>x" * 30000, "<div>" * 20000 + "</b></p>" * 20000,
+                                  "<b><p>" + "<i>" * 20000 + "</b>" * 20000, "<title>" * 20000, "<!--" * 20000, "<ul><li>" * 10000 + "<li>x" * 10000, "<p " + "class " * 20000 + ">"])
+def test_broken_pages_take_linear_time(page):
+    began = time.process_time()
+    blocks(page)
+    assert time.process_time() - began < 3
+
+
+def test_extraction_repeats_and_long_pages(spark):
+    long = "<html><body><nav><a href=/>Home</a></nav><article>" + "".join(f"<p>Paragraph {k} of a long article, with words.</p>" for k in range(3000)) + "</article><footer>&copy; me</footer>"
+    got = [r.text for r in extract.extract_main_text(spark.createDataFrame([(1, long)] * 2, "page_id long, html string")).collect()]
+    assert got[0] == got[1] == "\n".join(f"Paragraph {k} of a long article, with words." for k in range(3000))
 
 
 # ---- 6
