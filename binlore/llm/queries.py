@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, quality, sharding
+from . import chat, decontaminate, quality, sharding, warc
 from .chat import op3_chat_template
 from .decontaminate import op10_suffix_array_matches
 from .extract import op4_block_labeller
@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_template": chat.ORACLE, "op8_hash_tree_shards": sharding.ORACLE, "op9_host_rules": quality.ORACLE, "op10_suffix_array_matches": decontaminate.ORACLE}
+    return {"op2_revisit_resolution": warc.ORACLE, "op3_chat_template": chat.ORACLE, "op8_hash_tree_shards": sharding.ORACLE, "op9_host_rules": quality.ORACLE, "op10_suffix_array_matches": decontaminate.ORACLE}
