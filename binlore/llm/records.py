@@ -1,19 +1,21 @@
 """Length-delimited binary records of token ids, with masked checksums and a separate offset index.
 
-Record: length (8 bytes), masked CRC-32 of the length (4), payload, masked CRC-32 of the payload (4); all little-endian.
-Masking rotates the checksum right by 15 bits and adds a constant, so that checksums of data that hold checksums stay
-sound. Payload: the ids as unsigned integers of ``width`` bytes. Index file ``<data file>.idx``: one entry per record,
-its byte offset (8 bytes, unsigned) and its document id (8 bytes, signed), so that records can be read in any order.
-CRC-32 is the IEEE polynomial (zlib).
-
-Files hold ascending document ids: file i before file i + 1. A retried task replaces its own file by a rename.
-Nulls: a null text is empty; a null document id sorts first and comes back as null. Repeated rows are separate records.
-An empty table gives no records.
+Record: length (8 bytes), masked CRC-32C of the length (4), payload, masked CRC-32C of the payload (4); all little-endian,
+so that readers of the public record format take the files. Masking rotates the checksum right by 15 bits and adds a constant, so
+that checksums of data that hold checksums stay sound. Payload: the ids as unsigned integers of ``width`` bytes. Index file
+``<data file>.idx``: one entry per record, its byte offset (8 bytes, unsigned) and its document id (8 bytes, signed), so that
+records can be read in any order.
+
+Files hold ascending document ids: file i before file i + 1; equal ids are ordered, and spread over files, by their text's CRC-32.
+A retried task replaces its own file by a rename. Executors reach the files by Arrow's file systems (``store``).
+
+Nulls: a null text is empty; a null document id sorts first and comes back as null. Ids are whole numbers above -2**63; other types
+raise an error. Texts are encoded whole; a long one has one long record. Repeated rows are separate records. Only the id and text columns
+are read, so that clashing names do no harm. An empty table gives no records.
 """
 
 from __future__ import annotations
 
-import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -22,47 +24,84 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import fresh_path, read_table
+from .crc32c import crc32c
 from .encode import ENCODE_BYTES, PieceEncoder, tokenizer_path
 from .textbatch import chunked, lean
 
 #: Fixed value of the checksum mask in the public record format.
 MASK_DELTA = 0xA282EAD8
 NULL_ID = -(1 << 63)
+INDEX = np.dtype([("at", "<u8"), ("doc", "<i8")])
+#: Bytes of a file that are read at once; a longer record goes alone.
+READ_BYTES = 2 << 20
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 
 
-def masked(data: bytes | memoryview) -> int:
-    c = zlib.crc32(data)
-    return ((c >> 15 | c << 17) + MASK_DELTA) & 0xFFFFFFFF
+def masked(crc: np.ndarray) -> np.ndarray:
+    c = crc.astype(np.uint64)
+    return ((c >> np.uint64(15) | c << np.uint64(17)) + np.uint64(MASK_DELTA)).astype(np.uint32)
 
 
-def frame(payload: bytes | memoryview) -> bytes:
-    size = struct.pack("<Q", len(payload))
-    return b"".join((size, struct.pack("<I", masked(size)), payload, struct.pack("<I", masked(payload))))
+def _size_sums(sizes: np.ndarray) -> np.ndarray:
+    return masked(crc32c(sizes.astype("<u8").view(np.uint8), np.arange(len(sizes)) * 8, np.full(len(sizes), 8)))
 
 
-def unframe(data: memoryview, at: int) -> memoryview:
-    """Payload of the record at ``at``; raises ValueError if a checksum doesn't hold."""
-    size = data[at : at + 8]
-    n = struct.unpack("<Q", size)[0]
-    if struct.unpack("<I", data[at + 8 : at + 12])[0] != masked(size):
-        raise ValueError(f"length checksum at {at}")
-    payload = data[at + 12 : at + 12 + n]
-    if len(payload) != n or struct.unpack("<I", data[at + 12 + n : at + 16 + n])[0] != masked(payload):
-        raise ValueError(f"payload checksum at {at}")
-    return payload
+def frames(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """Records of the parts of ``data`` (uint8)."""
+    heads, sums, view = _size_sums(sizes).tolist(), masked(crc32c(data, starts, sizes)).tolist(), memoryview(data)
+    return [b"".join((struct.pack("<QI", n, h), view[a : a + n], struct.pack("<I", c))) for a, n, h, c in zip(starts.tolist(), sizes.tolist(), heads, sums)]
+
+
+def unframe(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, sizes) of the payloads of the records of ``data`` (uint8) at ``at``; raises ValueError if a checksum doesn't hold."""
+    take = lambda first, n, kind: data[(first[:, None] + np.arange(n)).ravel()].view(kind)
+    if len(at) and at[-1] + 16 > len(data):
+        raise ValueError("a record is cut off")
+    sizes = take(at, 8, "<u8")
+    if (take(at + 8, 4, "<u4") != _size_sums(sizes)).any():
+        raise ValueError("a length's checksum does not hold")
+    sizes = sizes.astype(np.int64)
+    if (at + 16 + sizes > len(data)).any():
+        raise ValueError("a record is cut off")
+    if (take(at + 12 + sizes, 4, "<u4") != masked(crc32c(data, at + 12, sizes))).any():
+        raise ValueError("a payload's checksum does not hold")
+    return at + 12, sizes
+
+
+# URI schemes of Hadoop's connectors and those by which Arrow knows the same stores.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
+
+
+def arrow_uri(uri: str) -> str:
+    """The URI or path by which Arrow knows a folder that Spark names."""
+    scheme, found, rest = uri.partition(":")
+    if not found or "/" in scheme:
+        return uri
+    return "/dbfs/" + rest.lstrip("/") if scheme == "dbfs" else f"{SCHEMES.get(scheme, scheme)}:{rest}"
 
 
 def store(uri: str):
-    """(file system, path): any store that Arrow reaches by URI; a bare path is a local one."""
+    """(file system, path) of a folder that executors reach without Spark: a bare path, ``dbfs:/`` by its mount, or a store that Arrow knows."""
     from pyarrow import fs
 
+    uri = arrow_uri(uri)
     return fs.FileSystem.from_uri(uri) if ":" in uri.split("/")[0] else (fs.LocalFileSystem(), uri)
 
 
+#: Bytes of the input that a file takes, by the plan's estimate, where Spark's default number of partitions does not do.
+FILE_BYTES = 128 << 20
+
+
+def _files(df: DataFrame) -> int | None:
+    """Files beyond the session's shuffle partitions that a large input needs; None: the session's, which adapt."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return n if (n := -(-size // FILE_BYTES)) > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) and size < 1 << 60 else None
+
+
 def write_records(df: DataFrame, folder: str, doc: str = "doc_id", text: str = "text", path: str | None = None, end_id: int = END_ID, width: int = 2) -> DataFrame:
     """Encode all texts and write them as record files in ascending document order. Returns (file, records, tokens) rows.
 
@@ -88,15 +127,12 @@ def write_records(df: DataFrame, folder: str, doc: str = "doc_id", text: str = "
                 ids, bounds = encoder.encode(texts, end_id)
                 if len(ids) and ids.max() >> 8 * width:
                     raise ValueError("an id needs more bytes than the records have")
-                payloads = memoryview(ids.astype(kind).view(np.uint8))
-                docs = part.column(0).cast(pa.int64()).fill_null(NULL_ID).to_pylist()
-                frames, rows = [], []
-                for d, a, b in zip(docs, (bounds[:-1] * width).tolist(), (bounds[1:] * width).tolist()):
-                    frames.append(framed := frame(payloads[a:b]))
-                    rows.append(struct.pack("<Qq", at, d))
-                    at += len(framed)
-                data.write(b"".join(frames))
-                index.write(b"".join(rows))
+                sizes = np.diff(bounds).astype(np.int64) * width
+                data.write(b"".join(frames(ids.astype(kind).view(np.uint8), bounds[:-1].astype(np.int64) * width, sizes)))
+                rows = np.zeros(len(sizes), INDEX)
+                rows["at"], rows["doc"] = at + np.cumsum(sizes + 16) - (sizes + 16), part.column(0).cast(pa.int64()).fill_null(NULL_ID).to_numpy()
+                index.write(rows.tobytes())
+                at += int((sizes + 16).sum())
                 entries += len(rows)
                 tokens += len(ids)
         if data is not None:
@@ -106,9 +142,12 @@ def write_records(df: DataFrame, folder: str, doc: str = "doc_id", text: str = "
                 files.move(f"{root}/{name}{end}{tag}", f"{root}/{name}{end}")
             yield pa.RecordBatch.from_pydict({"file": [name], "records": [entries], "tokens": [tokens]})
 
-    dealt = df.select(F.col(doc).alias("__bl_doc"), F.col(text).alias("__bl_text")).repartitionByRange("__bl_doc")
-    # equal ids have equal order keys, so the text's checksum settles their order
-    ordered = dealt.sortWithinPartitions("__bl_doc", F.crc32(F.col("__bl_text").cast("binary")))
+    if not isinstance(df.schema[doc].dataType, IntegralType):
+        raise TypeError("document ids must be whole numbers")
+    rows = df.select(F.col(doc).alias("__bl_doc"), F.col(text).alias("__bl_text"))
+    order = [F.col("__bl_doc"), F.crc32(F.col("__bl_text").cast("binary"))]
+    n = _files(rows)
+    ordered = rows.repartitionByRange(*([n] if n else []), *order).sortWithinPartitions(*order)
     return ordered.mapInArrow(lean(run, each=False), "file string, records long, tokens long")
 
 
@@ -124,8 +163,7 @@ def read_records(files: DataFrame, folder: str, width: int = 2) -> DataFrame:
             for name, first in zip(*(batch.column(i).to_pylist() for i in (0, 1))):
                 fs, root = store(folder)
                 with fs.open_input_file(f"{root}/{name}.idx") as f:
-                    index = np.frombuffer(f.read(), dtype=np.dtype([("at", "<u8"), ("doc", "<i8")]))
-                out: list[tuple] = []
+                    index = np.frombuffer(f.read(), INDEX)
                 start = first
                 with fs.open_input_file(f"{root}/{name}") as f:
                     total = f.size()
@@ -133,17 +171,16 @@ def read_records(files: DataFrame, folder: str, width: int = 2) -> DataFrame:
                     lo = 0
                     while lo < len(index):  # a bounded span of the file at a time
                         base = int(index["at"][lo])
-                        hi = max(lo + 1, int(np.searchsorted(ends, base + (8 << 20), "right")))
+                        hi = max(lo + 1, int(np.searchsorted(ends, base + READ_BYTES, "right")))
                         f.seek(base)
-                        data = memoryview(f.read(int(ends[hi - 1]) - base))
-                        for k in range(lo, hi):
-                            ids = np.frombuffer(unframe(data, int(index["at"][k]) - base), kind).astype("<u4")
-                            out.append((None if index["doc"][k] == NULL_ID else int(index["doc"][k]), start, len(ids), zlib.crc32(ids)))
-                            start += len(ids)
+                        data = np.frombuffer(f.read(int(ends[hi - 1]) - base), np.uint8)
+                        at, sizes = unframe(data, index["at"][lo:hi].astype(np.int64) - base)
+                        sums = [zlib.crc32(data[a : a + n].view(kind).astype("<u4")) for a, n in zip(at.tolist(), sizes.tolist())]
+                        tokens = sizes // width
+                        docs = pa.array(index["doc"][lo:hi], mask=index["doc"][lo:hi] == NULL_ID)
+                        yield pa.RecordBatch.from_arrays([docs, pa.array(start + np.cumsum(tokens) - tokens), pa.array(tokens), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                        start += int(tokens.sum())
                         lo = hi
-                        columns = list(zip(*out))
-                        out = []
-                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return files.select("file", "first").mapInArrow(lean(run, each=False), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
