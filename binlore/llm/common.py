@@ -12,23 +12,34 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors can reach, as the cluster names it.
 
-    A folder of our own is made only where ``spark.checkpoint.dir`` is unset (tests, local mode).
+    A folder of our own is made only in local mode where ``spark.checkpoint.dir`` is unset (tests); a cluster must name one.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="binlore-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def run_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/binlore/{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/binlore/{name}-{uuid.uuid4().hex}"
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables and files that this application has staged, those under results not yet read included."""
+    delete_path(spark, run_dir(spark))
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
-    Cuts lineage; the files outlive any executor.
+    Cuts lineage; the files outlive any executor. Tables that a lazy result still reads stay until ``release``.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
@@ -92,8 +103,31 @@ def lookup_join(rows: DataFrame, small: DataFrame, key: str, salt_by: Column, ho
     return rows.withColumn("__bl_salt", F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int")).join(salted, [key, "__bl_salt"], how).drop("__bl_salt")
 
 
+#: A key with more than this share of the rows is hot; so there are at most as many hot keys.
+HOT_SHARE = 10_000
+
+
+def hot_join(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int, spread: Column) -> DataFrame:
+    """Left join to a table with one row per key, whose ``weight`` is the key's rows out of ``total``.
+
+    Rows of hot keys (``HOT_SHARE`` at most) meet their table rows by broadcast and are dealt by ``spread`` for the other join.
+    """
+    value = [c for c in table.columns if c not in (key, weight)]
+    is_hot = F.col(weight) * HOT_SHARE > total
+    hot = table.where(is_hot).select(F.col(key).alias("__bl_hot"), F.struct(*value).alias("__bl_h"))
+    rest = table.where(~is_hot).select(F.col(key).alias("__bl_key"), F.struct(*value).alias("__bl_c"))
+    met = rows.join(F.broadcast(hot), F.col(key) == F.col("__bl_hot"), "left")
+    met = met.withColumn("__bl_dealt", F.when(F.col("__bl_hot").isNull(), F.col(key)).otherwise(F.xxhash64(spread)))
+    found = F.when(F.col("__bl_hot").isNotNull(), F.col("__bl_h")).otherwise(F.col("__bl_c"))
+    out = met.join(rest, F.col("__bl_dealt") == F.col("__bl_key"), "left").withColumn("__bl_f", found)
+    return out.select(*rows.columns, *[F.col("__bl_f")[c].alias(c) for c in value])
+
+
 def bound_batches(spark: SparkSession) -> None:
-    """Smaller Arrow batches for long texts, where the session has Spark's default of 10,000 rows."""
+    """Smaller Arrow batches for long texts, where the session has Spark's default of 10,000 rows.
+
+    There is no such option for one plan, so this holds for the session; only its default is changed, and results do not depend on it.
+    """
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 

@@ -14,13 +14,16 @@ Every link between different texts is found:
    emits a spanning forest of its links and never all pairs.
 5. Links go through distributed union-find.
 
-Shingles are compared by 64-bit hashes, classes by 64-bit hashes of their sets. A text with fewer words than a shingle,
-but not none, is one shingle; a text without words (null too) links with nothing. A null id takes part as any other;
-a component of null ids alone has a null component id. Repeated rows are equal sets. An empty table gives an empty result.
+Shingles are compared by 64-bit hashes inside pairs of texts, classes by 128-bit hashes of their sets: a class is named by the one half,
+and classes whose names collide (the other halves tell) get other names in a second run. A text with fewer words than a
+shingle, but not none, is one shingle; a text without words (null too) links with nothing. Whole texts count, however long.
+A null id takes part as any other; a component of null ids alone has a null component id. Repeated rows are equal sets; ties
+go to the smaller id. Only the id and text columns are read, so that clashing names do no harm. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,9 +32,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup_join, read_table, staged, unstage
+from .common import hot_join, read_table, staged, unstage
 from .components import UnionFind, connected_components
-from .textbatch import NON_SPACE, Words, chunked, lean, mix, shingles
+from .textbatch import NON_SPACE, Words, chunked, lean, shingles
 
 WORDS = 4
 #: Similarity as a fraction: links have DEN * intersection >= NUM * union.
@@ -43,6 +46,8 @@ FREQUENT_COUNT = 16
 COUNTED = 1_500_000
 #: Postings up to this many classes give pairs; longer ones tiles.
 SHORT = 32
+#: Rows of postings that are handled at once; a longer part of a posting goes alone.
+POSTING_BUFFER = 1 << 16
 #: Most classes and most shingles in a band of a tile.
 BAND_ROWS, BAND_SHINGLES = 512, 2_000_000
 #: Classes to fetch whose names and first documents may be broadcast (16 bytes each).
@@ -91,20 +96,35 @@ def intersection(a: np.ndarray, b: np.ndarray) -> int:
 class _Sets:
     """Distinct sets of a task's texts, each once: (row in part, name, sorted hashes)."""
 
-    def __init__(self, size: int):
-        self.size, self.seen = size, set()
+    def __init__(self, size: int, renamed: dict[int, int] | None = None):
+        self.size, self.seen, self.check, self.renamed = size, set(), 0, renamed or {}
 
     def of(self, texts: pa.LargeBinaryArray) -> Iterator[tuple[int, int, np.ndarray, bool]]:
         grams, bounds = shingles(Words(texts, NON_SPACE), self.size)
         for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
             s = grams[a:b]
-            name = xxhash.xxh3_64_intdigest(s) - (1 << 63) if b > a else 0
+            name, self.check = set_names(s) if b > a else (0, 0)
+            if self.renamed and self.renamed.get(name, self.check) != self.check:
+                name = self.check
             fresh = b > a and name not in self.seen
             if fresh:
                 self.seen.add(name)
             yield i, name, s, fresh
 
 
+def set_names(s) -> tuple[int, int]:
+    """The halves of a set's 128-bit hash, signed: its name, and the check that tells sets of one name apart."""
+    return struct.unpack("<qq", xxhash.xxh3_128_digest(s))
+
+
+def collided(names: DataFrame) -> dict[int, int]:
+    """From (name, low, high: least and greatest check): the checks that keep their names, where names collide.
+
+    Of n different sets about n**2 / 2**65 collide, so these are few at any size.
+    """
+    return {r["name"]: r["low"] for r in names.where("low <> high").select("name", "low").collect()}
+
+
 class _Counter:
     """Counts of hashes in bounded memory: when full, hashes seen once are dropped."""
 
@@ -143,28 +163,29 @@ def _batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 
 
-def _classes(df: DataFrame, size: int, kind: str) -> DataFrame:
-    """Rows (doc, n, name, bits: once for each name in a task) of all texts, and rows (name: shingle, n: its count in a task, frequent: true)."""
-    names_of = ["doc", "n", "name", "frequent", "bits"]
+def _classes(df: DataFrame, size: int, kind: str, renamed: dict) -> DataFrame:
+    """Rows (doc, n, name, check, bits: once for each name in a task) of all texts, and rows (name: shingle, n: its count in a task, frequent: true)."""
+    names_of = ["doc", "n", "name", "check", "frequent", "bits"]
 
     def run(batches):
-        sets, counter, doc_type = _Sets(size), _Counter(), None
+        sets, counter, doc_type = _Sets(size, renamed), _Counter(), None
         for batch in batches:
             for part, texts in chunked(batch, "__bl_text"):
-                n, names, bits = [], [], []
+                n, names, checks, bits = [], [], [], []
                 for _, name, s, fresh in sets.of(texts):
                     n.append(len(s))
                     names.append(name)
+                    checks.append(sets.check)
                     bits.append(bitmap(s, bitmap_width(len(s))).tobytes() if fresh else None)
                     if fresh:
                         counter.add(s)
                 doc_type = part.column(0).type
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(names, pa.int64()), pa.array([False] * len(n), pa.bool_()), pa.array(bits, pa.binary())], names=names_of)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(names, pa.int64()), pa.array(checks, pa.int64()), pa.array([False] * len(n), pa.bool_()), pa.array(bits, pa.binary())], names=names_of)
         if doc_type is not None:
             keys, counts = counter.repeated()
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(keys), doc_type), pa.array(counts), pa.array(_signed(keys)), pa.array([True] * len(keys), pa.bool_()), pa.nulls(len(keys), pa.binary())], names=names_of)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(keys), doc_type), pa.array(counts), pa.array(_signed(keys)), pa.nulls(len(keys), pa.int64()), pa.array([True] * len(keys), pa.bool_()), pa.nulls(len(keys), pa.binary())], names=names_of)
 
-    return df.mapInArrow(lean(run), f"doc {kind}, n long, name long, frequent boolean, bits binary")
+    return df.mapInArrow(lean(run), f"doc {kind}, n long, name long, check long, frequent boolean, bits binary")
 
 
 def _frequent(classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -176,34 +197,51 @@ def _frequent(classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], np.log2(rows["n"].to_numpy()[order]).astype(np.int64)
 
 
-def _postings(df: DataFrame, size: int, num: int, den: int, frequent) -> DataFrame:
-    """(shingle, name, n) for the prefix of every distinct set."""
-    schema = pa.schema([("shingle", pa.int64()), ("name", pa.int64()), ("n", pa.int32())])
+def _postings(df: DataFrame, size: int, num: int, den: int, frequent, renamed: dict) -> DataFrame:
+    """(shingle, part, guest, n, name) for the prefix of every distinct set.
+
+    The postings of frequent shingles come in parts by size, each less than a link's ratio wide: a set is in its own part, and as a
+    guest in the next, so that sets of compatible sizes meet in the larger one's part.
+    """
+    schema = pa.schema([("shingle", pa.int64()), ("part", pa.int32()), ("guest", pa.bool_()), ("n", pa.int32()), ("name", pa.int64())])
 
     def run(batches):
-        sets = _Sets(size)
+        sets = _Sets(size, renamed)
         keys, levels = frequent.value
         for batch in batches:
             for _, texts in chunked(batch, "__bl_text"):
-                out, names, sizes = [], [], []
+                out, names, sizes, often = [], [], [], []
                 for _, name, s, fresh in sets.of(texts):
                     if not fresh:
                         continue
                     p = int(prefix_length(np.int64(len(s)), num, den))
+                    level = np.zeros(p, np.int64)
                     if len(keys):
                         at = np.searchsorted(keys, s)
                         at[at == len(keys)] = 0
                         level = np.where(keys[at] == s, levels[at], 0)
                         if level.any():
-                            s = s[np.argsort(level, kind="stable")]
+                            order = np.argsort(level, kind="stable")
+                            s, level = s[order], level[order]
                     out.append(s[:p])
+                    often.append(level[:p] > 0)
                     names.append(name)
                     sizes.append(len(s))
                 lengths = [len(x) for x in out]
                 if out:
-                    yield _batch(schema, pa.array(_signed(np.concatenate(out))), pa.array(np.repeat(names, lengths)), pa.array(np.repeat(np.array(sizes, np.int32), lengths)))
+                    shingle, often, name, n = _signed(np.concatenate(out)), np.concatenate(often), np.repeat(names, lengths), np.repeat(np.array(sizes, np.int32), lengths)
+                    part = np.where(often, size_part(n, num, den), 0).astype(np.int32)
+                    yield _batch(schema, pa.array(shingle), pa.array(part), pa.array(np.zeros(len(n), bool)), pa.array(n), pa.array(name))
+                    if often.any():
+                        yield _batch(schema, pa.array(shingle[often]), pa.array(part[often] + np.int32(1)), pa.array(np.ones(int(often.sum()), bool)), pa.array(n[often]), pa.array(name[often]))
+
+    return df.select("__bl_text").mapInArrow(lean(run), "shingle long, part int, guest boolean, n int, name long")
 
-    return df.select("__bl_text").mapInArrow(lean(run), "shingle long, name long, n int")
+
+def size_part(n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Number, from 1, of the range of sizes that ``n`` is in; compatible sizes lie in the same range or in neighbours."""
+    # a range's ends differ by more than the ratio, whatever the logarithm's last digits
+    return 1 + np.floor(np.log(n) / (np.log(den / num) * 1.001)).astype(np.int64)
 
 
 def _bands(sizes: np.ndarray) -> np.ndarray:
@@ -219,7 +257,7 @@ def _bands(sizes: np.ndarray) -> np.ndarray:
 
 
 def _candidates(postings: DataFrame, num: int, den: int) -> DataFrame:
-    """From postings sorted by shingle and size: pairs (tile null) and members of tiles (tile, band, a)."""
+    """From postings sorted by shingle, part and size: pairs (tile null) and members of tiles (tile, side, a)."""
     schema = pa.schema([("tile", pa.int64()), ("side", pa.int8()), ("a", pa.int64()), ("b", pa.int64())])
 
     def short(shingle, name, n, starts, counts):
@@ -241,45 +279,51 @@ def _candidates(postings: DataFrame, num: int, den: int) -> DataFrame:
         pair.sort(axis=0)
         return np.unique(pair, axis=1)
 
-    def tiles(shingle, name, n):
+    def tiles(shingle, part, guest, n, name):
         bounds = _bands(n.astype(np.int64))
         for i in range(len(bounds) - 1):
             for j in range(i, len(bounds) - 1):
                 if den * int(n[bounds[i + 1] - 1]) < num * int(n[bounds[j]]):
                     break
-                key = np.array([shingle], np.int64).view(np.uint64) + np.uint64(i * 1_000_003 + j)
-                tile = int(_signed(mix(key))[0])
+                if guest[bounds[i] : bounds[i + 1]].all() and guest[bounds[j] : bounds[j + 1]].all():
+                    continue  # these meet in their own part
+                tile = xxhash.xxh3_64_intdigest(f"{shingle}|{part}|{i}|{j}") - (1 << 63)
                 for side, k in ((0, i), (1, j)) if i != j else ((0, i),):
                     m = int(bounds[k + 1] - bounds[k])
                     yield _batch(schema, [tile] * m, [side] * m, pa.array(name[bounds[k] : bounds[k + 1]]), pa.nulls(m, pa.int64()))
 
     def run(batches):
-        held = None
+        held, rows, limit = [], 0, POSTING_BUFFER
         for batch in _with_end(batches):
             if batch is not None:
-                cols = [batch.column(i).to_numpy() for i in range(3)]
-                held = cols if held is None else [np.concatenate(x) for x in zip(held, cols)]
-                if not len(held[0]):
+                held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)])
+                rows += batch.num_rows
+                if rows < limit:
                     continue
-                cut = int(np.searchsorted(held[0], held[0][-1]))  # the last posting may go on
-            else:
-                cut = len(held[0]) if held is not None else 0
+            if not rows:
+                continue
+            all_of = [np.concatenate(x) for x in zip(*held)]
+            last = int(np.searchsorted(all_of[0], all_of[0][-1]))
+            last += int(np.searchsorted(all_of[1][last:], all_of[1][-1]))
+            cut = last if batch is not None else rows  # the last part of a posting may go on
+            held, rows = [[x[cut:] for x in all_of]], rows - cut
+            limit = max(POSTING_BUFFER, 2 * rows)
             if not cut:
                 continue
-            (shingle, name, n), held = [x[:cut] for x in held], [x[cut:] for x in held]
-            once = np.concatenate(([True], (shingle[1:] != shingle[:-1]) | (name[1:] != name[:-1])))
-            shingle, name, n = shingle[once], name[once], n[once]
-            starts = np.flatnonzero(np.concatenate(([True], shingle[1:] != shingle[:-1])))
+            shingle, part, guest, n, name = (x[:cut] for x in all_of)
+            once = np.concatenate(([True], (shingle[1:] != shingle[:-1]) | (part[1:] != part[:-1]) | (name[1:] != name[:-1])))
+            shingle, part, guest, n, name = (x[once] for x in (shingle, part, guest, n, name))
+            starts = np.flatnonzero(np.concatenate(([True], (shingle[1:] != shingle[:-1]) | (part[1:] != part[:-1]))))
             counts = np.diff(np.append(starts, len(shingle)))
             some = (counts > 1) & (counts <= SHORT)
             pair = short(shingle, name, n, starts[some], counts[some])
             if pair.shape[1]:
                 m = pair.shape[1]
                 yield _batch(schema, pa.nulls(m, pa.int64()), pa.nulls(m, pa.int8()), pa.array(np.ascontiguousarray(pair[0])), pa.array(np.ascontiguousarray(pair[1])))
-            for s, c in zip(starts[counts > SHORT].tolist(), counts[counts > SHORT].tolist()):
-                yield from tiles(shingle[s], name[s : s + c], n[s : s + c])
+            for a, c in zip(starts[counts > SHORT].tolist(), counts[counts > SHORT].tolist()):
+                yield from tiles(int(shingle[a]), int(part[a]), *(x[a : a + c] for x in (guest, n, name)))
 
-    dealt = postings.repartition("shingle").sortWithinPartitions("shingle", "n", "name")
+    dealt = postings.repartition("shingle", "part").sortWithinPartitions("shingle", "part", "n", "name")
     return dealt.mapInArrow(lean(run), "tile long, side byte, a long, b long")
 
 
@@ -288,7 +332,7 @@ def _with_end(batches):
     yield None
 
 
-def _set_table(df: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
+def _set_table(df: DataFrame, size: int, wanted: DataFrame, renamed: dict) -> DataFrame:
     """(name, n, hashes) of the classes in ``wanted`` (name, first), from each one's first document, staged.
 
     The wanted names are broadcast if there are few enough; beyond that all sets are made and joined with them.
@@ -302,7 +346,7 @@ def _set_table(df: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
         few = df.sparkSession.sparkContext.broadcast((names[order], rows["first"].combine_chunks().take(pa.array(order))))
 
     def run(batches):
-        sets, names, firsts = _Sets(size), *(few.value if few is not None else (None, None))
+        sets, names, firsts = _Sets(size, renamed), *(few.value if few is not None else (None, None))
         for batch in batches:
             for part, texts in chunked(batch, "__bl_text"):
                 out, docs = [], part.column(0)
@@ -403,27 +447,36 @@ def similar_components(df: DataFrame, doc: str = "doc_id", text: str = "text", s
     spark = df.sparkSession
     kind = df.schema[doc].dataType.simpleString()
     rows = df.select(F.col(doc).alias("doc"), F.col(text).alias("__bl_text"))
-    classes = staged(_classes(rows, size, kind), "classes")
-    docs = classes.where("not frequent").select("doc", "n", "name")
-    firsts = docs.where("n > 0").groupBy("name").agg(F.min("doc").alias("first"), F.count("*").alias("copies"))
+    renamed: dict[int, int] = {}
+    while True:
+        classes = staged(_classes(rows, size, kind, renamed), "classes")
+        docs = classes.where("not frequent").select("doc", "n", "name")
+        named = classes.where("not frequent and n > 0").groupBy("name")
+        firsts = staged(named.agg(F.min("doc").alias("first"), F.count("*").alias("copies"), F.min("check").alias("low"), F.max("check").alias("high")), "firsts")
+        if renamed or not (renamed := collided(firsts)):
+            break
+        unstage(classes, firsts)
     frequent = spark.sparkContext.broadcast(_frequent(classes))
-    found = staged(_candidates(_postings(rows, size, num, den, frequent), num, den), "candidates")
+    found = staged(_candidates(_postings(rows, size, num, den, frequent, renamed), num, den), "candidates")
     pairs = found.where("tile is null").select("a", "b").distinct()
     members = found.where("tile is not null").select("tile", "side", "a")
     bits = classes.where("bits is not null").select("name", "n", "bits").dropDuplicates(["name"])
     likely = staged(_passing(pairs, bits, "bits", _bound, num, den), "likely")
     both = likely.select(F.explode(F.array("a", "b")).alias("name")).unionByName(members.select(F.col("a").alias("name"))).distinct()
     wanted = staged(firsts.join(both, "name", "left_semi").select("name", "first"), "wanted")
-    table = _set_table(rows, size, wanted)
+    table = _set_table(rows, size, wanted, renamed)
     links = staged(_passing(likely, table, "hashes", _exact, num, den).unionByName(_check_tiles(members, table, num, den)).distinct(), "links")
     labels = connected_components(links)
     unstage(found, likely, wanted, table)
-    rooted = firsts.join(labels, F.col("name") == F.col("node"), "left").select("name", "first", "copies", F.coalesce("root", "name").alias("root"))
-    parts = rooted.groupBy("root").agg(F.min("first").alias("component"), F.sum("copies").alias("rows")).where(F.col("rows") > 1)
+    rooted = staged(firsts.join(labels, F.col("name") == F.col("node"), "left").select("name", "first", "copies", F.coalesce("root", "name").alias("root")), "rooted")
+    parts = rooted.groupBy("root").agg(F.min("first").alias("component"), F.sum("copies").alias("rows"), F.count("*").alias("classes")).where(F.col("rows") > 1).drop("rows")
+    # a component may hold any share of the classes, a class any share of the documents
+    met = hot_join(rooted, parts, "root", "classes", rooted.count(), F.col("name")).where("component is not null")
     degree = links.select(F.explode(F.array("a", "b")).alias("name")).groupBy("name").agg(F.count("*").alias("links"))
-    shared = rooted.join(parts.drop("rows"), "root").join(degree, "name", "left").select("name", "component", F.coalesce("links", F.lit(0)).alias("links"))
+    shared = met.join(degree, "name", "left").select("name", "component", F.coalesce("links", F.lit(0)).alias("links"), "copies")
     shared = staged(shared, "components")
-    out = lookup_join(docs.withColumn("__bl_own", F.col("doc")), shared, "name", F.struct("doc"))
+    unstage(firsts, rooted, links)
+    out = hot_join(docs, shared, "name", "copies", docs.count(), F.struct("doc", "n"))
     return out.select(
         F.col("doc").alias(doc), F.col("n").alias("n_shingles"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
         F.when(F.col("n") > 0, F.coalesce("component", "doc")).otherwise(F.col("doc")).alias("component_id"),

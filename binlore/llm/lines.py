@@ -7,10 +7,13 @@ all lines that share a band are candidates of one another, and candidates whose
 ``NUM / DEN`` or more are linked. Of each component the first line, by document id and line number, is kept.
 
 Equal lines are one class from the start, so repeats cost one row for each task. A band of few classes gives its pairs; a
-longer one is cut into tiles of bounded weight, each of which gives a spanning forest of its links. Lines are named by 64-bit hashes.
+longer one is cut into tiles of bounded weight, each of which gives a spanning forest of its links. Lines have 128-bit hashes: a class
+is named by the one half, and classes whose names collide get other names in a second run.
 
-Nulls: a null text has no lines; a null document id comes first in the order. Repeated rows have the same line places,
-and both keep the kept line. An empty table gives an empty result.
+Nulls: a null text has no lines; a null document id comes first in the order. Whole texts count, however long; an empty line has no
+words. Repeated rows have the same line places, and both keep the kept line; rows of one id (or of none) with different
+texts are told apart by their texts' hashes before lines are taken out. Only the id and text columns are read, and columns that clash with results'
+names stay. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,9 +26,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table, staged, unstage
+from .common import hot_join, read_table, staged, unstage
 from .components import connected_components
-from .jaccard import SHORT, _bands, _signed, _with_end, intersection, similar, tile_links
+from .jaccard import SHORT, _bands, _signed, _with_end, collided, intersection, similar, tile_links
 from .textbatch import chunked, lean, mix, raw
 
 MIN_WORDS = 5
@@ -41,10 +44,11 @@ NUM, DEN = 80, 100
 class Lines:
     """The candidate lines of a chunk of texts.
 
-    ``row``, ``number``: text and place of each line; ``chars``/``bounds``: normalised characters, flat; ``names``: hashes.
+    ``row``, ``number``: text and place of each line; ``text``, ``lo``, ``hi``: normalised characters, flat, and where lines lie;
+    ``names``, ``checks``: halves of their hashes. ``renamed``: checks that keep a name; other lines of it are named by their checks.
     """
 
-    def __init__(self, texts: pa.LargeBinaryArray, min_words: int = MIN_WORDS):
+    def __init__(self, texts: pa.LargeBinaryArray, min_words: int = MIN_WORDS, renamed: dict[int, int] | None = None):
         data, off = raw(texts)
         chars = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)
         before = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int32)))[off]  # characters before each text
@@ -77,7 +81,10 @@ class Lines:
         self.row, self.number, self.words = all_row[use], all_number[use], words[use]
         self.text, self.lo, self.hi = text, lo[use].astype(np.int64), hi[use].astype(np.int64)
         view = memoryview(text.view(np.uint8)) if len(text) else memoryview(b"")
-        self.names = np.fromiter((xxhash.xxh3_64_intdigest(view[4 * a : 4 * b]) for a, b in zip(self.lo.tolist(), self.hi.tolist())), np.uint64, len(self.lo)).view(np.int64)
+        halves = np.frombuffer(b"".join([xxhash.xxh3_128_digest(view[4 * a : 4 * b]) for a, b in zip(self.lo.tolist(), self.hi.tolist())]), "<i8").reshape(-1, 2)
+        self.names, self.checks = np.ascontiguousarray(halves[:, 0]), np.ascontiguousarray(halves[:, 1])
+        for name, check in (renamed or {}).items():
+            self.names = np.where((self.names == name) & (self.checks != check), self.checks, self.names)
 
     def grams(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(hash of each shingle, its line's index in ``which``); a shorter line is one shingle."""
@@ -130,28 +137,28 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return key
 
 
-_LINE = pa.schema([("kind", pa.int8()), ("name", pa.int64()), ("number", pa.int32()), ("words", pa.int32()), ("lead", pa.bool_()), ("grams", pa.int32()), ("keys", pa.list_(pa.int64()))])
+_LINE = pa.schema([("kind", pa.int8()), ("name", pa.int64()), ("check", pa.int64()), ("number", pa.int32()), ("words", pa.int32()), ("lead", pa.bool_()), ("grams", pa.int32()), ("keys", pa.list_(pa.int64()))])
 
 
-def _line_table(df: DataFrame, doc_type: str) -> DataFrame:
-    """Kind 0: a line (doc, number, name, words); 1: a class's shingles before repeats go, and bands (name, grams, keys)."""
+def _line_table(df: DataFrame, doc_type: str, renamed: dict) -> DataFrame:
+    """Kind 0: a line (doc, number, name, check, words); 1: a class's shingles before repeats go, and bands (name, grams, keys)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for part, texts in chunked(batch, "__bl_text"):
-                lines = Lines(texts)
+                lines = Lines(texts, renamed=renamed)
                 docs = part.column(0)
 
-                def out(kind, n, name, number, words, doc=None, lead=None, grams=None, bands=None):
-                    given = (pa.array(np.full(n, kind, np.int8)), name, number, words, lead, grams, bands)
+                def out(kind, n, name, check, number, words, doc=None, lead=None, grams=None, bands=None):
+                    given = (pa.array(np.full(n, kind, np.int8)), name, check, number, words, lead, grams, bands)
                     arrays = [doc if doc is not None else pa.nulls(n, docs.type), *(x if isinstance(x, pa.Array) else pa.array(x) if x is not None else pa.nulls(n, t) for x, t in zip(given, _LINE.types))]
                     return pa.RecordBatch.from_arrays(arrays, names=["doc", *_LINE.names])
 
                 order = np.lexsort((lines.names, lines.row))
                 lead = np.ones(len(order), bool)  # first of its class in its text
                 lead[order[1:]] = (lines.names[order[1:]] != lines.names[order[:-1]]) | (lines.row[order[1:]] != lines.row[order[:-1]])
-                yield out(0, len(lines.row), lines.names, lines.number.astype(np.int32), lines.words.astype(np.int32), docs.take(pa.array(lines.row)), lead)
+                yield out(0, len(lines.row), lines.names, lines.checks, lines.number.astype(np.int32), lines.words.astype(np.int32), docs.take(pa.array(lines.row)), lead)
                 names, first = np.unique(lines.names, return_index=True)
                 fresh = np.fromiter((x not in seen for x in names.tolist()), bool, len(names))
                 seen.update(names[fresh].tolist())
@@ -162,9 +169,9 @@ def _line_table(df: DataFrame, doc_type: str) -> DataFrame:
                 own = lines.names[first]
                 keys = _signed(band_keys(minima(hashes, line, len(first))).ravel())
                 bounds = np.arange(len(first) + 1, dtype=np.int32) * np.int32(BINS // ROWS)
-                yield out(1, len(first), own, None, None, grams=np.bincount(line, minlength=len(first)).astype(np.int32), bands=pa.ListArray.from_arrays(pa.array(bounds), pa.array(keys)))
+                yield out(1, len(first), own, None, None, None, grams=np.bincount(line, minlength=len(first)).astype(np.int32), bands=pa.ListArray.from_arrays(pa.array(bounds), pa.array(keys)))
 
-    return df.mapInArrow(lean(run), f"doc {doc_type}, kind byte, name long, number int, words int, lead boolean, grams int, keys array<long>")
+    return df.mapInArrow(lean(run), f"doc {doc_type}, kind byte, name long, check long, number int, words int, lead boolean, grams int, keys array<long>")
 
 
 #: Rows of bands that are handled at once.
@@ -247,7 +254,7 @@ def _check_tiles(members: DataFrame, table: DataFrame, num: int, den: int) -> Da
 BROADCAST_NAMES = 1_000_000
 
 
-def _line_texts(df: DataFrame, wanted: DataFrame) -> DataFrame:
+def _line_texts(df: DataFrame, wanted: DataFrame, renamed: dict) -> DataFrame:
     """(name, line): normalised texts of the classes in ``wanted`` (name), staged.
 
     The names are broadcast if there are few enough; beyond that all lines are sent to a join with them.
@@ -262,7 +269,7 @@ def _line_texts(df: DataFrame, wanted: DataFrame) -> DataFrame:
         names = few.value if few is not None else None
         for batch in batches:
             for _, texts in chunked(batch, "__bl_text"):
-                lines = Lines(texts)
+                lines = Lines(texts, renamed=renamed)
                 own, first = np.unique(lines.names, return_index=True)
                 if names is not None:
                     at = np.minimum(np.searchsorted(names, own), max(len(names) - 1, 0))
@@ -319,26 +326,36 @@ def line_classes(df: DataFrame, doc: str = "doc_id", text: str = "text", num: in
     """Every candidate line: ``doc``, ``line_no`` (from 0), ``n_words``, the place of its class's kept line (``kept_doc``, ``kept_line``), ``kept``."""
     kind = df.schema[doc].dataType.simpleString()
     rows = df.select(F.col(doc).alias("doc"), F.col(text).alias("__bl_text"))
-    table = staged(_line_table(rows, kind), "lines")
-    lines = table.where("kind = 0").select("doc", "number", "name", "words", "lead")
+    place = F.struct("doc", "number")
+    renamed: dict[int, int] = {}
+    while True:
+        table = staged(_line_table(rows, kind, renamed), "lines")
+        lines = table.where("kind = 0").select("doc", "number", "name", "words")
+        # primitive buffers, so that hash aggregates combine before the shuffle; a class leads a text once, so no ties
+        lead, doc_of, at = F.col("lead"), F.col("doc"), F.col("number")
+        firsts = table.where("kind = 0").groupBy("name").agg(F.min("doc").alias("d"), F.coalesce(F.min_by(F.when(lead, at), F.when(lead, doc_of)), F.min("number")).alias("l"), F.count("*").alias("n"), F.min("check").alias("low"), F.max("check").alias("high"))
+        firsts = staged(firsts.select("name", F.struct(F.col("d").alias("doc"), F.col("l").alias("number")).alias("first"), "n", "low", "high"), "firsts")
+        if renamed or not (renamed := collided(firsts)):
+            break
+        unstage(table, firsts)
     found = staged(_candidates(table.where("kind = 1")), "candidates")
     pairs = staged(found.where("tile is null").select("a", "b").distinct(), "pairs")
     members = staged(found.where("tile is not null").select("tile", "side", "a").distinct(), "members")
     wanted = staged(pairs.select(F.explode(F.array("a", "b")).alias("name")).unionByName(members.select(F.col("a").alias("name"))).distinct(), "wanted")
-    texts = _line_texts(rows, wanted)
+    texts = _line_texts(rows, wanted, renamed)
     labels = connected_components(_linked(pairs, texts, num, den).unionByName(_check_tiles(members, texts, num, den)))
     unstage(found, pairs, members, wanted, texts)
-    place = F.struct("doc", "number")
-    # primitive buffers, so that hash aggregates combine before the shuffle; a class leads a text once, so no ties
-    firsts = lines.groupBy("name").agg(
-        F.min("doc").alias("d"), F.coalesce(F.min_by(F.when(F.col("lead"), F.col("number")), F.when(F.col("lead"), F.col("doc"))), F.min("number")).alias("l"), F.count("*").alias("n")
-    ).select("name", F.struct(F.col("d").alias("doc"), F.col("l").alias("number")).alias("first"), "n")
     members = labels.unionByName(labels.select(F.col("root").alias("node"), "root").distinct())
-    joined = firsts.join(members, F.col("name") == F.col("node"), "left").where("n > 1 or root is not null").select("name", "first", "root")
+    joined = firsts.join(members, F.col("name") == F.col("node"), "left").where("n > 1 or root is not null").select("name", "first", "n", "root")
     joined = staged(joined, "joined")
-    kept = joined.where("root is not null").groupBy("root").agg(F.min("first").alias("kept"))
-    shared = joined.where("root is null").select("name", F.col("first").alias("kept")).unionByName(joined.join(kept, "root").select("name", "kept"))
-    out = lines.join(shared, "name", "left")
+    rooted = joined.where("root is not null")
+    kept = rooted.groupBy("root").agg(F.min("first").alias("kept"), F.count("*").alias("classes"))
+    # a component may hold any share of the classes, a class any share of the lines
+    linked = hot_join(rooted.select("name", "n", "root"), kept, "root", "classes", rooted.count(), F.col("name"))
+    shared = joined.where("root is null").select("name", "n", F.col("first").alias("kept")).unionByName(linked.select("name", "n", "kept"))
+    shared = staged(shared, "shared")
+    unstage(firsts, joined)
+    out = hot_join(lines, shared, "name", "n", lines.count(), place)
     at = F.coalesce("kept", place)
     return out.select(F.col("doc").alias(doc), F.col("number").alias("line_no"), F.col("words").cast("long").alias("n_words"), at["doc"].alias("kept_doc"), at["number"].alias("kept_line"), at.eqNullSafe(place).alias("kept"))
 
@@ -348,6 +365,14 @@ def dedup_lines(df: DataFrame, doc: str = "doc_id", text: str = "text", min_left
 
     Documents that lose lines and are left with fewer than ``min_left`` words are dropped; others keep their row.
     """
+    mark = F.xxhash64(text)
+    if not df.groupBy(doc).agg(F.min(mark).alias("a"), F.max(mark).alias("b")).where("a <> b").isEmpty():
+        keyed = df.withColumn("__bl_id", F.struct(F.col(doc).alias("id"), mark.alias("mark")))
+        return _without_lines(keyed, "__bl_id", text, min_left, num, den).drop("__bl_id")
+    return _without_lines(df, doc, text, min_left, num, den)
+
+
+def _without_lines(df: DataFrame, doc: str, text: str, min_left: int, num: int, den: int) -> DataFrame:
     gone = line_classes(df, doc, text, num, den).where("not kept").select(F.col(doc).alias("__bl_doc"), "line_no").distinct()
     gone = gone.groupBy("__bl_doc").agg(F.collect_list("line_no").alias("__bl_gone"))
     joined = df.join(gone, F.col(doc).eqNullSafe(F.col("__bl_doc")), "left")

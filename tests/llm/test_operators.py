@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from binlore.llm import blstm, chat, components, decontaminate, encode, extract, jaccard, lines, packing, quality, records, sharding
+from binlore.llm import blstm, chat, components, crc32c, decontaminate, encode, extract, jaccard, lines, packing, quality, records, sharding
 from binlore.llm.htmlblocks import blocks
 from binlore.llm.pagegen import make_page
 from binlore.llm.textbatch import ALNUM, NON_SPACE, Words, as_binary
@@ -237,13 +237,51 @@ def test_records(spark, docs, empty, tmp_path):
             assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, start, len(ids), zlib.crc32(ids))
             start += len(ids)
     assert records.read_records(records.file_starts(records.write_records(empty, f"file://{tmp_path}/e")), f"file://{tmp_path}/e").count() == 0
-    data = bytearray(records.frame(b"payload"))
-    assert bytes(records.unframe(memoryview(data), 0)) == b"payload"
-    for at in (0, 9, 14, len(data) - 1):
-        broken = bytearray(data)
-        broken[at] ^= 1
-        with pytest.raises((ValueError, OverflowError)):
-            records.unframe(memoryview(broken), 0)
+
+
+def test_record_frames():
+    payloads = [b"123456789", b"", b"x", bytes(range(256)) * 40]
+    sizes = np.array([len(p) for p in payloads])
+    data = np.frombuffer(b"".join(payloads), np.uint8)
+    framed = records.frames(data, np.cumsum(sizes) - sizes, sizes)
+    whole, at = bytearray(b"".join(framed)), np.cumsum([0, *map(len, framed[:-1])])
+    first, n = records.unframe(np.frombuffer(whole, np.uint8), at)
+    assert [bytes(whole[a : a + k]) for a, k in zip(first, n)] == payloads
+    crc = 0xE3069283  # the public check value of CRC-32C
+    assert framed[0][-4:] == (((crc >> 15 | crc << 17) + 0xA282EAD8) & 0xFFFFFFFF).to_bytes(4, "little")
+    for k in (0, 9, 14, 24, len(whole) - 1):
+        broken = bytearray(whole)
+        broken[k] ^= 1
+        with pytest.raises(ValueError):
+            records.unframe(np.frombuffer(broken, np.uint8), at)
+    with pytest.raises(ValueError):
+        records.unframe(np.frombuffer(whole[:-1], np.uint8), at)
+
+
+def test_checksums_of_all_lengths():
+    def slow(data):
+        c = 0xFFFFFFFF
+        for x in data:
+            c ^= x
+            for _ in range(8):
+                c = c >> 1 ^ (crc32c.POLYNOMIAL if c & 1 else 0)
+        return c ^ 0xFFFFFFFF
+
+    r = random.Random(0)
+    parts = [r.randbytes(n) for n in [*range(12), 63, 64, 65, 127, 128, 129, 300, 1000, 4097, 0]]
+    size = np.array([len(p) for p in parts])
+    assert crc32c.crc32c(np.frombuffer(b"".join(parts), np.uint8), np.cumsum(size) - size, size).tolist() == [slow(p) for p in parts]
+
+
+def test_records_of_null_and_repeated_ids(spark, tmp_path):
+    rows = [(None, "a"), (None, "b"), (3, "c"), (3, "c"), (3, "d"), (-5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("file", F.lit("clash"))
+    folder = f"file://{tmp_path}/r"
+    got = records.read_records(records.file_starts(records.write_records(df, folder)), folder).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, None, -5, 3, 3, 3] and [r.start for r in got] == list(np.cumsum([0] + [r.n_tokens for r in got[:-1]]))
+    with pytest.raises(TypeError):
+        records.write_records(df.withColumn("doc_id", F.lit("x")), folder)
+    assert [records.arrow_uri(u) for u in ("s3a://b/x", "wasbs://c@a/x", "gs://b/x", "dbfs:/x", "/tmp/x", "file:///x")] == ["s3://b/x", "abfss://c@a/x", "gs://b/x", "/dbfs/x", "/tmp/x", "file:///x"]
 
 
 @pytest.mark.parametrize("tag", ["<svg/>", "<svg class='i' />", "<object data=x>", "<canvas>", "<svg-icon></svg-icon>", "<select-menu>", "<svg><path/></svg>", "<title-bar>"])
@@ -322,6 +360,35 @@ def test_line_dedup(spark, docs, empty):
     assert sorted(r.text or "" for r in lines.dedup_lines(twice).collect()) == ["", "one two three four five six", "one two three four five six"]
 
 
+def test_rows_of_one_id_with_different_texts_keep_their_own_lines(spark):
+    a, b, c = "one two three four five six", "seven eight nine ten eleven twelve", "some other words that stand here alone"
+    rows = [(1, f"{a}\n{b}"), (1, f"{c}\n{a}"), (None, f"{a}\n{c} x y z q"), (None, "words of a line that nobody else has"), (2, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("line_no", F.lit("clash"))
+    got = lines.dedup_lines(df)
+    assert got.columns == df.columns
+    found = sorted((r.text for r in got.where("text <> ''").collect()), key=len)
+    kept = "\n".join(found).split("\n")
+    assert kept.count(a) == 1 and b in kept and c in kept and "words of a line that nobody else has" in kept and got.count() == 5
+
+
+def test_colliding_names_become_other_names():
+    made = pa.array([b"a line of some five words", b"another line of five words"], pa.large_binary())
+    first = lines.Lines(made)
+    again = lines.Lines(made, renamed={int(first.names[0]): int(first.checks[0]) + 1, int(first.names[1]): int(first.checks[1])})
+    assert again.names[0] == first.checks[0] and again.names[1] == first.names[1]
+    plain = [x[1] for x in jaccard._Sets(4).of(made)]
+    moved = jaccard._Sets(4, {plain[0]: 0})
+    assert [x[1] for x in moved.of(made)] == [jaccard.set_names(next(jaccard._Sets(4).of(made))[2])[1], plain[1]]
+
+
+def test_sizes_that_may_link_share_a_part():
+    n = np.arange(1, 3000)
+    part = jaccard.size_part(n, 85, 100)
+    for a in n:
+        fit = part[a - 1 : min(a * 100 // 85, len(n))]
+        assert fit.max() - part[a - 1] <= 1
+
+
 def test_all_lines_of_a_band_are_compared(spark):
     """Templated lines crowd their bands; links between any two lines of a band are found."""
     r = random.Random(5)
