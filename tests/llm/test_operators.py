@@ -362,7 +362,7 @@ def test_line_dedup(spark, docs, empty):
 
 def test_rows_of_one_id_with_different_texts_keep_their_own_lines(spark):
     a, b, c = "one two three four five six", "seven eight nine ten eleven twelve", "some other words that stand here alone"
-    rows = [(1, f"{a}\n{b}"), (1, f"{c}\n{a}"), (None, f"{a}\n{c} x y z q"), (None, "words of a line that nobody else has"), (2, "")]
+    rows = [(1, f"{a}\n{b}"), (1, f"{c}\n{a}"), (None, f"{a}\nquite another line of five words"), (None, "words of a line that nobody else has"), (2, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("line_no", F.lit("clash"))
     got = lines.dedup_lines(df)
     assert got.columns == df.columns
