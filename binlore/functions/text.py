@@ -8,19 +8,22 @@ from pyspark.sql import functions as F
 # Control characters and their escapes, in the order of replacement (the backslash comes first).
 ESCAPES = [("\\", "\\\\"), ("\t", "\\t"), ("\r", "\\r"), ("\n", "\\n"), ("\b", "\\b"), ("\v", "\\v"), ("\a", "\\a"), ("\f", "\\f"), ("\x1b", "\\x1B")]
 
-# Operator names of special symbol codes; codes with an empty name are ignored.
+# Operator names of special symbol codes. "0" and "1" are constructor and destructor; other codes with an empty
+# name are ignored.
 SPECIAL_NAMES = {
     "0": "", "1": "", "2": "operator new", "3": "operator delete", "4": "operator =", "5": "operator >>", "6": "operator <<", "7": "operator !",
-    "8": "operator ==", "9": "operator !=", "A": "operator[]", "C": "operator ->", "D": "operator *", "E": "operator ++", "F": "operator --",
+    "8": "operator ==", "9": "operator !=", "A": "operator[]", "B": "", "C": "operator ->", "D": "operator *", "E": "operator ++", "F": "operator --",
     "G": "operator -", "H": "operator +", "I": "operator &", "J": "operator ->*", "K": "operator /", "L": "operator %", "M": "operator <",
     "N": "operator <=", "O": "operator >", "P": "operator >=", "Q": "operator,", "R": "operator ()", "S": "operator ~", "T": "operator ^",
     "U": "operator |", "V": "operator &&", "W": "operator ||", "X": "operator *=", "Y": "operator +=", "Z": "operator -=", "_0": "operator /=",
     "_1": "operator %=", "_2": "operator >>=", "_3": "operator <<=", "_4": "operator &=", "_5": "operator |=", "_6": "operator ^=",
-    "_U": "operator new[]", "_V": "operator delete[]",
+    "_7": "", "_8": "", "_9": "", "_A": "", "_B": "", "_C": "", "_D": "", "_E": "", "_F": "", "_G": "", "_H": "", "_I": "", "_J": "", "_K": "",
+    "_L": "", "_M": "", "_N": "", "_O": "", "_P": "", "_Q": "", "_R": "", "_S": "", "_T": "", "_U": "operator new[]", "_V": "operator delete[]",
+    "_W": "", "_X": "", "_Y": "", "_Z": "", "__": "",
 }
-IGNORED_CODES = ["B", *[f"_{c}" for c in "789ABCDEFGHIJKLMNOPQRSTWXYZ"], "__"]
 
 LEXEME = r"(?s)[A-Za-z0-9_\p{Nd}]+|::~|::|\\\\|."
+# Names of the punctuation lexemes and keywords, which queries return.
 PUNCTUATION = {
     "<": "LEFT_ANGLE", ">": "RIGHT_ANGLE", " ": "SPACE", "~": "TILDA", ".": "DOT", "(": "LEFT_PARENTH", ")": "RIGHT_PARENTH", ",": "COMMA",
     "=": "EQUALS", "+": "PLUS", "-": "HYPHEN", "*": "STAR", "/": "SLASH", "\\": "BACKSLASH", ":": "COLON", ";": "SEMICOLON", "!": "EXCLAMATION",
@@ -73,13 +76,13 @@ def _qualified(rest: Column) -> tuple[Column, Column]:
 def demangle(name: Column) -> Column:
     """A mangled symbol's qualified core name; empty for ignored forms, null for unknown special codes."""
     def read(start: int) -> tuple[Column, Column]:
-        return _qualified(F.substring(name, start + 1, 1_000_000))
+        return _qualified(F.substr(name, F.lit(start + 1)))
 
-    codes = F.create_map(*[F.lit(x) for pair in (SPECIAL_NAMES | dict.fromkeys(IGNORED_CODES, "")).items() for x in pair])
+    codes = F.create_map(*[F.lit(x) for pair in SPECIAL_NAMES.items() for x in pair])
     code = F.when(F.substring(name, 3, 1) == "_", F.substring(name, 3, 2)).otherwise(F.substring(name, 3, 1))
     after = F.length(code) + 3  # place of the character behind the code, from 1
     def special(start: Column) -> Column:
-        qual, core = _qualified(F.substr(name, start, F.lit(1_000_000)))
+        qual, core = _qualified(F.substr(name, start))
         tail = F.when(code == "0", core).when(code == "1", F.concat(F.lit("~"), core)).otherwise(F.element_at(codes, code))
         return F.concat(qual, core, F.lit("::"), tail)
     known = F.map_contains_key(codes, code)

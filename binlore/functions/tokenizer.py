@@ -15,7 +15,8 @@ import re
 import sys
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +28,7 @@ NAMES = {
 #: Digits that are no decimal digits (superscripts, circled digits) begin and continue words too.
 _ODD_DIGITS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isdigit() and not c.isdecimal())
 _LEX = re.compile(rf"[A-Za-z_\d{_ODD_DIGITS}]+|::~|::|\\\\|.", re.S)
+_FIRST_ODD = re.compile(rf"[^\x20-\x7e\d{_ODD_DIGITS}]")
 _KNOWN = {"operator": "O", "new": "N", "delete": "D", "::": "s", "::~": "d", "\\\\": "B"} | {c: c for c in "<> ~.(),=+-*/\\:;!?[]&|%^'\"`@#${}"}
 
 # Operator symbols behind the keyword. Those that may end the string differ from those with more behind them:
@@ -224,16 +226,25 @@ def tokenize(text: str | None) -> list[tuple[str, str]]:
     """(token, type) pairs of a string."""
     if not text:
         return []
-    state = lex(text)
-    for step in (join_operators, join_templates, match_names, join_paths):
-        state = step(*state)
-    return split_tokens(*state)
+    if ">" in text or "::" in text or "operator" in text:
+        state = lex(text)
+        for step in (join_operators, join_templates, match_names, join_paths):
+            state = step(*state)
+        return split_tokens(*state)
+    # without templates, scopes and operators every identifier is a name, and an odd character takes all that follows it
+    if odd := _FIRST_ODD.search(text):
+        text = text[: odd.end()]
+    texts, types = lex(text)
+    return split_tokens(*join_paths(texts, types.replace("i", "r")))
 
 
 TOKENS = T.ArrayType(T.StructType([T.StructField("token", T.StringType()), T.StructField("type", T.StringType())]))
 
 
-@F.pandas_udf(TOKENS)
-def tokenize_udf(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@F.arrow_udf(TOKENS)
+def tokenize_udf(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in texts:
-        yield batch.map(lambda s: [{"token": t, "type": k} for t, k in tokenize(s)])
+        found = [tokenize(s) for s in batch.to_pylist()]
+        bounds = np.concatenate(([0], np.cumsum([len(f) for f in found]))).astype(np.int32)
+        token, kind = (pa.array([t[i] for f in found for t in f], pa.string()) for i in (0, 1))
+        yield pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays([token, kind], ["token", "type"]))

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 FEATURES = ["ref_depth", "is_upward", "nb_referrers", "nb_strings", "nb_referees", "instructions", "lit_vec"]
+#: Columns of the rows that the cascade is evaluated on.
+PIPELINE_ROWS = ["binary", "func_addr", "token_literal", "names_func", "ref_depth", "is_upward", "nb_referrers", "nb_strings", "nb_referees", "instructions"]
+#: Sample sizes up to this are a distributed top-n; larger ones go by a threshold.
+TOP_ROWS = 10_000
 
 
 def class_counts(df: DataFrame, label: str) -> DataFrame:
@@ -18,29 +22,39 @@ def _rank_key(keys: list[str], seed: int):
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
 
 
-def exact_sample(df: DataFrame, keys: list[str], n: int, seed: int = 0) -> DataFrame:
-    """Exactly ``n`` rows (all, if there are fewer): those with the smallest hash of their keys. A distributed top-n, no global sort."""
-    return df.orderBy(_rank_key(keys, seed), *keys).limit(n)
-
+def rank_threshold(df: DataFrame, keys: list[str], seed: int, want) -> str | None:
+    """The hash of the ``want(rows)``-th row by key hashes, found by counting prefixes (65,536 at most) and then one prefix's rows.
 
-def split_threshold(df: DataFrame, keys: list[str], share: float, seed: int):
-    """The hash below which the test rows lie, by counting hash prefixes (65,536 at most) and then one prefix's rows."""
+    None if there is no such row.
+    """
     hashed = df.select(_rank_key(keys, seed).alias("h"))
     rows = hashed.groupBy(F.substring("h", 1, 4).alias("p")).count().orderBy("p").collect()
-    want = -(-sum(r["count"] for r in rows) * round(share * 1000) // 1000)
+    left = want(sum(r["count"] for r in rows))
     for r in rows:
-        if want <= r["count"]:
+        if 0 < left <= r["count"]:
             inside = Window.partitionBy("p").orderBy("h")
             cut = hashed.withColumn("p", F.substring("h", 1, 4)).where(F.col("p") == r["p"]).withColumn("k", F.row_number().over(inside))
-            found = cut.where(F.col("k") == want).first()
-            return found["h"] if found else ""
-        want -= r["count"]
-    return ""
+            return cut.where(F.col("k") == left).first()["h"]
+        left -= r["count"]
+    return None
+
+
+def exact_sample(df: DataFrame, keys: list[str], n: int, seed: int = 0) -> DataFrame:
+    """Exactly ``n`` rows (all, if there are fewer): those with the smallest hash of their keys; no global sort."""
+    h = _rank_key(keys, seed)
+    if n <= TOP_ROWS:
+        return df.orderBy(h, *keys).limit(n)
+    last = rank_threshold(df, keys, seed, lambda rows: n)
+    if last is None:
+        return df
+    below = df.where(h < F.lit(last))
+    return below.unionByName(df.where(h == F.lit(last)).limit(n - below.count()))  # rows of one hash: equal keys
 
 
 def holdout_split(df: DataFrame, keys: list[str], share: float = 0.2, seed: int = 0) -> DataFrame:
     """``df`` with ``is_test``: the ceil(share * n) rows of the smallest key hashes (unique keys assumed)."""
-    return df.withColumn("is_test", _rank_key(keys, seed) <= F.lit(split_threshold(df, keys, share, seed)))
+    last = rank_threshold(df, keys, seed, lambda rows: -(-rows * round(share * 1000) // 1000))
+    return df.withColumn("is_test", _rank_key(keys, seed) <= F.lit(last or ""))
 
 
 def balance(tokens: DataFrame, symbols: DataFrame, seed: int = 0) -> DataFrame:
@@ -61,6 +75,11 @@ def assemble_features(paths: DataFrame, token_paths: DataFrame, funcs: DataFrame
     return rows.join(funcs.select("binary", "func_addr", "nb_referrers", "nb_strings", "nb_referees", "instructions"), ["binary", "func_addr"])
 
 
+def pipeline_rows(paths: DataFrame, token_paths: DataFrame, funcs: DataFrame) -> DataFrame:
+    """The ten columns that the cascade is evaluated on."""
+    return assemble_features(paths, token_paths, funcs).select(*PIPELINE_ROWS)
+
+
 def group_in_functions(df: DataFrame) -> DataFrame:
     return df.groupBy("binary", "func_addr").agg(F.collect_list(F.struct(*[c for c in df.columns if c not in ("binary", "func_addr")])).alias("rows"))
 
@@ -74,7 +93,8 @@ def confusion(df: DataFrame, truth, prediction) -> DataFrame:
     )
     share = lambda a, b: F.when(b > 0, a.cast("double") / b)
     c = F.col
-    out = counts.withColumn("accuracy", share(c("tp") + c("tn"), c("pos") + c("neg"))).withColumn("precision", share(c("tp"), c("tp") + c("fp"))).withColumn("recall", share(c("tp"), c("tp") + c("fn")))
+    out = counts.withColumn("accuracy", share(c("tp") + c("tn"), c("pos") + c("neg")))
+    out = out.withColumn("precision", share(c("tp"), c("tp") + c("fp"))).withColumn("recall", share(c("tp"), c("tp") + c("fn")))
     p, r = c("precision"), c("recall")
     return out.withColumn("f1", F.when(p.isNull() | r.isNull(), None).when((p == 0) | (r == 0), 0.0).otherwise(2 * p * r / (p + r)))
 
@@ -82,4 +102,11 @@ def confusion(df: DataFrame, truth, prediction) -> DataFrame:
 def seen_token_rate(test: DataFrame, train: DataFrame, literal: str = "literal") -> DataFrame:
     """Percent of the test rows whose token the training rows have; null for no test rows."""
     seen = train.select(literal).distinct().withColumn("__seen", F.lit(1))
-    return test.join(seen, literal, "left").agg(F.count("__seen").alias("seen"), F.count("*").alias("total")).withColumn("percent", F.when(F.col("total") > 0, 100.0 * F.col("seen") / F.col("total")))
+    rate = test.join(seen, literal, "left").agg(F.count("__seen").alias("seen"), F.count("*").alias("total"))
+    return rate.withColumn("percent", F.when(F.col("total") > 0, 100.0 * F.col("seen") / F.col("total")))
+
+
+def job_counts(found: DataFrame, kept: DataFrame, label: str) -> DataFrame:
+    """A job's counters: rows found, kept, left out as duplicates, and labelled among those kept."""
+    kept_rows = kept.agg(F.count("*").alias("kept"), F.count(label).alias("labelled"))
+    return found.agg(F.count("*").alias("found")).join(kept_rows).select("found", "kept", (F.col("found") - F.col("kept")).alias("duplicates"), "labelled")

@@ -9,30 +9,53 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import decode_literal, escape_literal
-from .dedup import append_new, first_wins
+from .dedup import append_new, first_wins, two_key_first_wins
 
 KEY = ["func_addr", "string_addr", "path_func1", "path_func2", "path_func3"]
+#: Addresses of a page by which references meet the functions that cover it.
+PAGE = 4096
 
 
 def in_range(ea: Column, low: Column, size: Column) -> Column:
     return (ea >= low) & (ea < low + size)
 
 
+def hex_address(ea: Column) -> Column:
+    """An address as reports write it."""
+    return F.concat(F.lit("0x"), F.hex(ea))
+
+
 def is_string_xref(is_data: Column, to: Column, length: Column, rdata: Column, idata: Column | None = None, idata_size: Column | None = None) -> Column:
     """A data reference to a non-empty string from ``.rdata`` on; with ``idata``, also outside the import section."""
     found = is_data & (length > 0) & ~(to < rdata)
     return found if idata is None else found & ~in_range(to, idata, idata_size)
 
 
-def xref_paths(code: DataFrame, data: DataFrame, imports: DataFrame | None = None) -> DataFrame:
+def functions_around(refs: DataFrame, bounds: DataFrame, address: str = "to") -> DataFrame:
+    """``refs`` with ``inside``, the start of the function that ``address`` lies in; references into no function are left out.
+
+    ``bounds``: func_addr, func_end (exclusive); functions do not overlap. A function meets the references of the pages that it covers,
+    so the containment is a test on an equi-join.
+    """
+    page = lambda c: F.floor(c / PAGE)
+    covered = bounds.where("func_end > func_addr").select(
+        F.col("func_addr").alias("inside"), F.col("func_end").alias("__end"), F.explode(F.sequence(page(F.col("func_addr")), page(F.col("func_end") - 1))).alias("__page")
+    )
+    met = refs.withColumn("__page", page(F.col(address))).join(covered, "__page")
+    return met.where((F.col(address) >= F.col("inside")) & (F.col(address) < F.col("__end"))).drop("__page", "__end")
+
+
+def xref_paths(code: DataFrame, data: DataFrame, imports: DataFrame | None = None, bounds: DataFrame | None = None) -> DataFrame:
     """Strings reached from each function: by itself, one or two calls down, or one caller up.
 
-    Fixed joins, no iteration. ``imports`` (func) are skipped as targets. Where a path is found downwards and
-    upwards the downward one stays.
+    Fixed joins, no iteration. ``imports`` (func) are skipped as targets. With ``bounds`` (func_addr, func_end) a call that goes into
+    a function's middle counts as a call of it, and its own target stands in the path; without, targets are functions'
+    starts. Where a path is found downwards and upwards the downward one stays.
     """
     calls = code.select(F.col("frm_func").alias("f"), F.col("to").alias("g")).distinct()
     if imports is not None:
         calls = calls.join(imports.select(F.col("func").alias("g")), "g", "left_anti")
+    calls = functions_around(calls, bounds, "g") if bounds is not None else calls.withColumn("inside", F.col("g"))
     refs = data.select(F.col("frm_func").alias("owner"), F.col("to").alias("s")).distinct()
 
     def rows(df: DataFrame, func: str, pf1, pf2, depth: int, upward: int) -> DataFrame:
@@ -43,11 +66,11 @@ def xref_paths(code: DataFrame, data: DataFrame, imports: DataFrame | None = Non
         )
 
     own = rows(refs, "owner", None, None, 0, 0)
-    one = calls.join(refs, F.col("g") == F.col("owner"))
-    down1 = rows(one, "f", "g", None, 1, 0)
-    two = calls.join(calls.select(F.col("f").alias("g"), F.col("g").alias("h")), "g").join(refs, F.col("h") == F.col("owner"))
-    down2 = rows(two, "f", "g", "h", 2, 0)
-    up = rows(calls.join(refs, F.col("f") == F.col("owner")), "g", "f", None, 1, 1)
+    down1 = rows(calls.join(refs, F.col("inside") == F.col("owner")), "f", "g", None, 1, 0)
+    second = calls.select(F.col("f").alias("inside"), F.col("g").alias("h"), F.col("inside").alias("deep"))
+    down2 = rows(calls.join(second, "inside").join(refs, F.col("deep") == F.col("owner")), "f", "g", "h", 2, 0)
+    # callers refer to a function's start
+    up = rows(calls.where("g = inside").join(refs, F.col("f") == F.col("owner")), "g", "f", None, 1, 1)
     # depth 0 has no path function and depth 2 has two, so only the depth-1 branches can meet
     return own.unionByName(down2).unionByName(first_wins(down1.unionByName(up), KEY, ["is_upward"]).select(own.columns))
 
@@ -66,6 +89,15 @@ def func_features(funcs: DataFrame, code: DataFrame, data: DataFrame, instructio
     return out.fillna(0)
 
 
+def export_strings(raw: DataFrame) -> DataFrame:
+    """(address, literal) of ``raw`` (seq, address, bytes): decoded, escaped, and unique by address and by literal, the first in ``seq`` first.
+
+    A row is kept unless an earlier kept row has its address or its literal.
+    """
+    rows = raw.select("address", escape_literal(decode_literal(F.col("bytes"))).alias("literal"), "seq").where("literal is not null")
+    return two_key_first_wins(rows, "address", "literal", "seq").select("address", "literal")
+
+
 def missing_strings(paths: DataFrame, strings: DataFrame) -> DataFrame:
     """String addresses that paths name and ``strings`` lacks, with their path counts."""
     return paths.groupBy("string_addr").count().join(strings, F.col("string_addr") == F.col("address"), "left_anti")

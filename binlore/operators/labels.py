@@ -14,9 +14,10 @@ PAIR = ["path_id", "token_literal"]
 
 def make_tokens(strings: DataFrame) -> DataFrame:
     """Unlabelled tokens of all strings; a token belongs to the first string that has it. ``strings``: seq, address, literal."""
-    found = strings.select("seq", F.col("address").alias("string_addr"), F.posexplode(tokenize_udf("literal")).alias("pos", "t"))
-    rows = found.select("string_addr", F.col("t.token").alias("literal"), F.lit(None).cast("int").alias("is_name"), "seq", "pos")
-    return first_wins(rows, ["literal"], ["seq", "pos"]).drop("seq", "pos")
+    # a string's place among strings settles the order, whatever the token's place in it
+    found = strings.select("seq", F.col("address").alias("string_addr"), F.explode(tokenize_udf("literal")).alias("t"))
+    first = first_wins(found.select("string_addr", F.col("t.token").alias("literal"), "seq"), ["literal"], ["seq"])
+    return first.select("string_addr", "literal", F.lit(None).cast("int").alias("is_name"))
 
 
 def add_tokens_of(tokens: DataFrame, strings: DataFrame, address: int) -> DataFrame:
@@ -86,6 +87,12 @@ def token_paths(tokens: DataFrame, paths: DataFrame, strings: DataFrame) -> Data
     return explode_paths(paths_of_positive_functions(tokens, paths), strings, None)
 
 
+def token_path_ids(tokens: DataFrame, paths: DataFrame, strings: DataFrame) -> DataFrame:
+    """``path_id`` of the paths that ``token_paths`` names, without a row for each token."""
+    some = strings.where(F.size(tokenize_udf("literal")) > 0).select(F.col("address").alias("string_addr"))
+    return paths_of_positive_functions(tokens, paths).join(some, "string_addr", "left_semi").select(F.col("id").alias("path_id"))
+
+
 def token_paths_positive(tokens: DataFrame, paths: DataFrame, strings: DataFrame) -> DataFrame:
     """As often as a path has positive tokens."""
     return explode_paths(positive_paths(tokens, paths), strings, None)
@@ -103,6 +110,15 @@ def token_paths_of_one(paths: DataFrame, strings: DataFrame, path_id: int) -> Da
     return explode_paths(paths.where(F.col("id") == path_id).limit(1), strings, None)
 
 
+def add_one_missing(tokens: DataFrame, known: DataFrame, paths: DataFrame, strings: DataFrame, path_id) -> tuple[DataFrame, DataFrame]:
+    """``tokens`` with the new tokens of one path's string, and ``known`` token paths with all of that path's (which are always added)."""
+    path = paths.where(F.col("id") == path_id).limit(1)
+    one = strings.join(path.select(F.col("string_addr").alias("address")), "address", "left_semi").select("address", F.posexplode(tokenize_udf("literal")).alias("pos", "t"))
+    rows = one.select(F.col("address").alias("string_addr"), F.col("t.token").alias("literal"), F.lit(None).cast("int").alias("is_name"), "pos")
+    more = append_new(tokens, rows, ["literal"], ["pos"]).drop("pos")
+    return tokens.unionByName(more), known.unionByName(explode_paths(path, strings, None))
+
+
 def merge_positive(known: DataFrame, helper: DataFrame, seq: str = "seq") -> DataFrame:
     """``known`` with the helper's labels by (path_id, token_literal); its last row of a key wins, nulls too."""
     last = last_wins(helper.select(*PAIR, "names_func", seq), PAIR, [seq]).select(*PAIR, F.col("names_func").alias("__label"), F.lit(True).alias("__hit"))

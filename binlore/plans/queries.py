@@ -1,7 +1,8 @@
 """Queries over tables derived from the test data, each with the SQL that must give the same rows.
 
-Derived tables: strings from ``documents``, call and data references from ``orders``, symbols from ``customer`` and
-``nation``, labels from ``labels``. ``BASE`` holds the same definitions as SQL.
+Derived tables: strings from ``documents`` and short ones from ``part``, call references from ``orders``, data references from
+``customer``, symbols from ``customer`` and ``part``, labels from ``labels``. All take their whole tables. Label jobs take the short
+strings, whose words SQL can tokenize. ``BASE`` holds the same definitions as SQL; large results are digested by function.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from ..functions.tokenizer import tokenize_udf
 from ..operators import dataset, graph, labels, ml
 from ..operators.dedup import first_wins
 from ..sources import io
+from ..sources.staging import fresh_path, staged
 
 col = F.col
 
@@ -33,13 +35,14 @@ def strings(s, d):
 
 def code(s, d):
     n = _t(s, d, "customer").count()
-    rows = _t(s, d, "orders").where("o_orderstatus = 'P'")
-    return rows.select(col("o_orderkey").alias("frm_site"), col("o_custkey").alias("frm_func"), (col("o_orderkey") % n).alias("to"))
+    return _t(s, d, "orders").select(col("o_orderkey").alias("frm_site"), col("o_custkey").alias("frm_func"), (col("o_orderkey") % n).alias("to"))
 
 
 def data(s, d):
+    """Two strings for each function."""
     n = _t(s, d, "documents").count()
-    return _t(s, d, "orders").select(col("o_custkey").alias("frm_func"), (col("o_orderkey") % n).alias("to"))
+    to = F.explode(F.array(col("c_custkey") % n, (col("c_custkey") * 7 + col("c_nationkey")) % n))
+    return _t(s, d, "customer").select(col("c_custkey").alias("frm_func"), to.alias("to"))
 
 
 def paths(s, d):
@@ -55,25 +58,19 @@ def words(s, d):
     return strings(s, d).select("binary", "seq", "address", F.posexplode(lexemes(col("literal"))).alias("pos", "lexeme"))
 
 
-def tokens(s, d):
-    """First lexeme of every string, first string wins, with the document's label."""
-    first = strings(s, d).select("seq", col("address").alias("string_addr"), F.try_element_at(lexemes(col("literal")), F.lit(1)).alias("literal")).where("literal is not null")
-    marks = _t(s, d, "labels").groupBy(col("doc_id").alias("string_addr")).agg(F.max("quality").alias("is_name"))
-    return first_wins(first, ["literal"], ["seq"]).join(marks, "string_addr", "left").select("string_addr", "literal", "is_name")
-
-
-def whole_tokens(s, d):
-    """Tokens of the whole strings, with the document's label. The queries with SQL stay on ``tokens``."""
+def document_tokens(s, d):
+    """Tokens of the documents' whole strings, with the document's label."""
     marks = _t(s, d, "labels").groupBy(col("doc_id").alias("string_addr")).agg(F.max("quality").alias("is_name"))
     return labels.make_tokens(strings(s, d)).drop("is_name").join(marks, "string_addr", "left").select("string_addr", "literal", "is_name")
 
 
 def symbols(s, d):
     """Plain, special and noisy symbols of the customers, in order."""
-    c = _t(s, d, "customer")
-    n = F.regexp_replace("c_name", "[^A-Za-z0-9_]", "_")
-    codes = F.array(*[F.lit(x) for x in [*SPECIAL_NAMES, "B", "_7", "__", "z"]])
-    code_ = F.get(codes, (col("c_custkey") % (len(SPECIAL_NAMES) + 4)).cast("int"))
+    parts = _t(s, d, "part").select(col("p_partkey").alias("c_custkey"), "p_name")
+    c = _t(s, d, "customer").join(parts, "c_custkey", "left")
+    n = F.regexp_replace(F.concat("c_name", F.lit("_"), F.coalesce("p_name", F.lit(""))), "[^A-Za-z0-9_]", "_")
+    codes = F.array(*[F.lit(x) for x in [*SPECIAL_NAMES, "z"]])
+    code_ = F.get(codes, (col("c_custkey") % (len(SPECIAL_NAMES) + 1)).cast("int"))
     k = (col("c_custkey") % 7).cast("int")
     name = (
         F.when(k == 0, F.concat(F.lit("?"), n, F.lit("@Inner@Outer@@QAEXXZ"))).when(k == 1, F.concat(F.lit("??"), code_, n, F.lit("@ns@@QAE@XZ")))
@@ -87,15 +84,6 @@ def pdb(s, d):
     return labels.load_symbols(symbols(s, d))
 
 
-def token_paths(s, d):
-    """Token paths with string and token, labelled as the documents' toxicity; some twice."""
-    t = tokens(s, d).select("string_addr", col("literal").alias("token_literal"))
-    marks = _t(s, d, "labels").groupBy(col("doc_id").alias("string_addr")).agg(F.max("toxic").alias("names_func"))
-    rows = paths(s, d).where("ref_depth < 2").select(col("id").alias("path_id"), "func_addr", "string_addr").join(t, "string_addr").join(marks, "string_addr", "left")
-    rows = rows.select("path_id", "func_addr", "string_addr", "token_literal", "names_func")
-    return rows.unionByName(rows.where("func_addr % 5 = 0").withColumn("names_func", F.lit(None).cast("int")))
-
-
 def part_strings(s, d):
     """Short strings of plain words, the last one their own."""
     return _t(s, d, "part").select(col("p_partkey").alias("seq"), col("p_partkey").alias("address"), F.concat("p_name", F.lit(" u"), "p_partkey").alias("literal"))
@@ -106,6 +94,26 @@ def part_tokens(s, d):
     return labels.make_tokens(part_strings(s, d)).withColumn("is_name", marks)
 
 
+def token_paths(s, d):
+    """Token paths of all paths, labelled as the documents' toxicity; some twice."""
+    marks = _t(s, d, "labels").groupBy(col("doc_id").alias("string_addr")).agg(F.max("toxic").alias("names_func"))
+    rows = labels.explode_paths(paths(s, d), part_strings(s, d), None).drop("names_func").join(marks, "string_addr", "left")
+    rows = rows.select("path_id", "func_addr", "string_addr", "token_literal", "names_func")
+    return rows.unionByName(rows.where("func_addr % 5 = 0").withColumn("names_func", F.lit(None).cast("int")))
+
+
+def _digest(rows, *columns):
+    """Of each function: its rows, and the sum of hashes of their columns."""
+    text = F.concat_ws("|", *[F.coalesce(col(c).cast("string"), F.lit("null")) for c in columns])
+    part = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+    return rows.groupBy("func_addr").agg(F.count("*").alias("n"), F.sum(part).alias("digest"))
+
+
+def _sql_digest(body: str, *columns: str) -> str:
+    text = "concat_ws('|', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), 'null')" for c in columns) + ")"
+    return f"SELECT func_addr, count(*) AS n, CAST(sum(CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT)) AS BIGINT) AS digest FROM ({body}) GROUP BY 1"
+
+
 def _sql_escape(c: str) -> str:
     for raw, escaped in ESCAPES:
         c = f"replace({c}, chr({ord(raw)}), {' || '.join(['chr(92)' if x == chr(92) else repr(x) for x in escaped])})"
@@ -116,18 +124,19 @@ LEX = r"[A-Za-z0-9_\p{Nd}]+|::~|::|\\\\|."
 _LABEL = "SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id"
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _TYPE = "CASE lexeme " + " ".join(f"WHEN {chr(39)}{k.replace(chr(39), chr(39) * 2)}{chr(39)} THEN '{v}'" for k, v in PUNCTUATION.items()) + " ELSE CASE WHEN regexp_matches(lexeme, '^\\p{Nd}') THEN 'NUMBER_LIKE' WHEN regexp_matches(lexeme, '^[A-Za-z_]') THEN 'IDENTIFIER_LIKE' ELSE 'OTHER' END END"
-_CODES = "[" + ", ".join(f"'{x}'" for x in [*SPECIAL_NAMES, "B", "_7", "__", "z"]) + "]"
+_CODES = "[" + ", ".join(f"'{x}'" for x in [*SPECIAL_NAMES, "z"]) + "]"
 _NAMES = "CASE code " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SPECIAL_NAMES.items()) + " END"
 _READ = r"string_split(regexp_extract({0}, '^((?:[\p{{L}}\p{{N}}_]+@)+)', 1), '@')"
 
 _POSITIVE = "SELECT func_addr FROM paths JOIN ptl USING (string_addr) WHERE is_name = 1 AND to_name = 1"
-_EXPLODED = "SELECT id AS path_id, func_addr, paths.string_addr, token AS token_literal, CAST({0} AS INT) AS names_func FROM paths JOIN ptok ON address = paths.string_addr"
+_EXPLODED = "SELECT paths.id AS path_id, func_addr, paths.string_addr, token AS token_literal, CAST({0} AS INT) AS names_func FROM paths JOIN ptok ON address = paths.string_addr"
 
 BASE = {
     "lab": _LABEL,
     "strs": f"SELECT doc_id AS seq, doc_id AS address, {_sql_escape('text')} AS literal FROM documents",
-    "code": "SELECT o_orderkey AS frm_site, o_custkey AS frm_func, o_orderkey % (SELECT count(*) FROM customer) AS target FROM orders WHERE o_orderstatus = 'P'",
-    "data": "SELECT o_custkey AS frm_func, o_orderkey % (SELECT count(*) FROM documents) AS target FROM orders",
+    "code": "SELECT o_orderkey AS frm_site, o_custkey AS frm_func, o_orderkey % (SELECT count(*) FROM customer) AS target FROM orders",
+    "data": """SELECT c_custkey AS frm_func, c_custkey % (SELECT count(*) FROM documents) AS target FROM customer
+        UNION ALL SELECT c_custkey, (c_custkey * 7 + c_nationkey) % (SELECT count(*) FROM documents) FROM customer""",
     "words": f"SELECT seq, address, unnest(l) AS lexeme, unnest(range(len(l))) AS pos FROM (SELECT *, regexp_extract_all(literal, '{LEX}', 0, 's') AS l FROM strs)",
     "calls": "SELECT DISTINCT frm_func AS f, target AS g FROM code",
     "refs": "SELECT DISTINCT frm_func AS owner, target AS s FROM data",
@@ -137,11 +146,10 @@ BASE = {
             SELECT f AS func_addr, s AS string_addr, g AS path_func1, 0 AS is_upward FROM calls JOIN refs ON g = owner
             UNION ALL SELECT g, s, f, 1 FROM calls JOIN refs ON f = owner) GROUP BY ALL""",
     "paths": "SELECT concat_ws('/', func_addr, string_addr, path_func1, path_func2) AS id, p.*, quality AS to_name FROM raw_paths p LEFT JOIN lab ON doc_id = string_addr",
-    "tokens": f"""SELECT string_addr, literal, quality AS is_name FROM (SELECT address AS string_addr, literal, row_number() OVER (PARTITION BY literal ORDER BY seq) AS k
-        FROM (SELECT seq, address, regexp_extract(literal, '{LEX}', 0, 's') AS literal FROM strs WHERE literal <> '')) LEFT JOIN lab ON doc_id = string_addr WHERE k = 1""",
     "syms": f"""SELECT c_custkey AS seq, c_custkey AS address, CASE c_custkey % 7 WHEN 0 THEN '?' || n || '@Inner@Outer@@QAEXXZ' WHEN 1 THEN '??' || c || n || '@ns@@QAE@XZ' WHEN 2 THEN '??$' || n || '@H@ns@@YAXXZ'
         WHEN 3 THEN n || '@12' WHEN 4 THEN '?<lambda_' || n || '>@@' WHEN 5 THEN '??' || c || '?$' || n || '@ns@@' ELSE '@' || n END AS name
-        FROM (SELECT c_custkey, regexp_replace(c_name, '[^A-Za-z0-9_]', '_', 'g') AS n, {_CODES}[c_custkey % {len(SPECIAL_NAMES) + 4} + 1] AS c FROM customer)""",
+        FROM (SELECT c_custkey, regexp_replace(c_name || '_' || coalesce(p_name, ''), '[^A-Za-z0-9_]', '_', 'g') AS n, {_CODES}[c_custkey % {len(SPECIAL_NAMES) + 1} + 1] AS c
+            FROM customer LEFT JOIN part ON p_partkey = c_custkey)""",
     "dem": f"""SELECT *, CASE WHEN name NOT LIKE '?%' THEN regexp_extract(name, '^[^@$]*', 0)
             WHEN name LIKE '??$?%' THEN '' WHEN name LIKE '??$%' THEN array_to_string(list_reverse({_READ.format('substr(name, 4)')}[1:-2]), '::')
             WHEN name LIKE '??%' THEN CASE WHEN code = '0' THEN core || '::' || r[1] WHEN code = '1' THEN core || '::~' || r[1] WHEN {_NAMES} <> '' THEN core || '::' || {_NAMES} WHEN code = 'z' THEN NULL ELSE '' END
@@ -150,25 +158,30 @@ BASE = {
             FROM (SELECT *, CASE WHEN substr(name, 3, 1) = '_' THEN substr(name, 3, 2) ELSE substr(name, 3, 1) END AS code FROM syms)))""",
     "pdb": """SELECT func_addr, literal, demangled FROM (SELECT address AS func_addr, literal, CAST(name LIKE '?%' AS INT) AS demangled, row_number() OVER (PARTITION BY literal ORDER BY seq) AS k FROM dem
         WHERE NOT regexp_matches(name, '[`'']|<lambda_|<unnamed-type-') AND literal IS NOT NULL AND NOT (name LIKE '?%' AND literal = '')) WHERE k = 1""",
-    "tp1": "SELECT p.id AS path_id, func_addr, p.string_addr, literal AS token_literal, toxic AS names_func FROM paths p JOIN tokens USING (string_addr) LEFT JOIN lab ON doc_id = p.string_addr WHERE ref_depth < 2",
     "parts": "SELECT p_partkey AS address, p_name || ' u' || p_partkey AS literal FROM part",
     "ptok": "SELECT address, unnest(string_split(literal, ' ')) AS token, unnest(range(len(string_split(literal, ' ')))) AS pos FROM parts",
     "pt": "SELECT arg_min(address, (address, pos)) AS string_addr, token AS literal FROM ptok GROUP BY token",
     "ptl": "SELECT *, CASE string_addr % 5 WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 2 THEN 0 END AS is_name FROM pt",
-    "ptp": f"{_EXPLODED.format('NULL')} WHERE func_addr IN ({_POSITIVE})",
+    "posf": f"SELECT DISTINCT func_addr FROM ({_POSITIVE})",
+    "ptp": f"{_EXPLODED.format('NULL')} JOIN posf USING (func_addr)",
+    "pti": "SELECT DISTINCT id FROM paths JOIN posf USING (func_addr) JOIN (SELECT DISTINCT address FROM ptok) ON address = string_addr",
+    "tp1": "SELECT p.id AS path_id, func_addr, p.string_addr, token AS token_literal, toxic AS names_func FROM paths p JOIN ptok ON address = p.string_addr LEFT JOIN lab ON doc_id = p.string_addr",
     "tp": "SELECT * FROM tp1 UNION ALL SELECT path_id, func_addr, string_addr, token_literal, NULL FROM tp1 WHERE func_addr % 5 = 0",
 }
 
 
 def _sql(body: str, *need: str) -> str:
     """``body`` behind the base definitions that it needs, in their order."""
-    return "WITH " + ", ".join(f"{k} AS ({v})" for k, v in BASE.items() if k in need) + " " + body
+    return "WITH " + ", ".join(f"{k} AS {'MATERIALIZED ' if k in _ONCE else ''}({v})" for k, v in BASE.items() if k in need) + " " + body
 
 
+#: Definitions that SQL must not compute again for each use.
+_ONCE = {"calls", "refs", "raw_paths", "paths", "ptok", "ptl", "posf", "pti", "tp1", "tp", "pdb"}
 _PATHS = ("lab", "code", "data", "calls", "refs", "raw_paths", "paths")
-_TP = (*_PATHS, "strs", "tokens", "tp1", "tp")
 _PDB = ("syms", "dem", "pdb")
 _PART = ("parts", "ptok", "pt", "ptl")
+_TP = (*_PATHS, "parts", "ptok", "tp1", "tp")
+_KNOWN = (*_PATHS, *_PART, "posf", "pti")
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -208,7 +221,7 @@ def decode_strings(s, d):
 
 @query(_sql("SELECT lexeme, arg_min(address, (seq, pos)) AS string_addr FROM words GROUP BY 1", "strs", "words"))
 def tokens_first_wins(s, d):
-    return first_wins(words(s, d).select("lexeme", col("address").alias("string_addr"), "seq", "pos"), ["lexeme"], ["seq", "pos"]).select("lexeme", "string_addr")
+    return first_wins(words(s, d).select("lexeme", col("address").alias("string_addr"), "seq"), ["lexeme"], ["seq"]).select("lexeme", "string_addr")
 
 
 @query(_sql("SELECT * FROM pdb", *_PDB))
@@ -246,57 +259,101 @@ def string_xref_filter(s, d):
     return joined.where(graph.is_string_xref(lit(True), col("to"), col("n"), lit(100), lit(200), lit(50))).select("frm_func", col("to").alias("target"))
 
 
-@query(_sql("SELECT string_addr, count(*) AS count FROM raw_paths WHERE string_addr NOT IN (SELECT address FROM strs WHERE address % 3 = 0) GROUP BY 1", "strs", "code", "data", "calls", "refs", "raw_paths"))
+@query(_sql("""SELECT string_addr, '0x' || hex(string_addr) AS address, count(*) AS count FROM raw_paths p WHERE NOT EXISTS (SELECT 1 FROM strs WHERE address % 3 = 0 AND address = p.string_addr)
+    GROUP BY 1, 2""", "strs", "code", "data", "calls", "refs", "raw_paths"))
 def missing_strings(s, d):
-    return graph.missing_strings(graph.xref_paths(code(s, d), data(s, d)), strings(s, d).where("address % 3 = 0"))
+    """With a third of the strings known."""
+    found = graph.missing_strings(graph.xref_paths(code(s, d), data(s, d)), strings(s, d).where("address % 3 = 0"))
+    return found.select("string_addr", graph.hex_address(col("string_addr")).alias("address"), "count")
+
+
+_BOUNDS = "SELECT c_custkey * 16 AS func_addr, c_custkey * 16 + 4 + c_nationkey % 12 AS func_end FROM customer"
+
+
+def bounds(s, d):
+    """Functions of 4 to 15 addresses, 16 apart."""
+    return _t(s, d, "customer").select((col("c_custkey") * 16).alias("func_addr"), (col("c_custkey") * 16 + 4 + col("c_nationkey") % 12).alias("func_end"))
+
 
+@query(f"""SELECT func_addr AS inside, count(*) AS n, min(target) AS low, max(target) AS high FROM (SELECT (o_orderkey * 37) % (SELECT 16 * count(*) FROM customer) AS target FROM orders) JOIN ({_BOUNDS})
+    ON target >= func_addr AND target < func_end GROUP BY 1""")
+def references_in_functions(s, d):
+    """References by the function whose bounds hold them."""
+    n = 16 * _t(s, d, "customer").count()
+    refs = _t(s, d, "orders").select((col("o_orderkey") * 37 % n).alias("target"))
+    found = graph.functions_around(refs, bounds(s, d), "target")
+    return found.groupBy("inside").agg(F.count("*").alias("n"), F.min("target").alias("low"), F.max("target").alias("high"))
 
-@query(_sql("SELECT id, func_addr, string_addr, literal AS token_literal FROM paths JOIN tokens USING (string_addr) WHERE is_name = 1 AND to_name = 1", *_PATHS, "strs", "tokens"))
+
+@query(_sql("""SELECT address, md5(literal) AS literal_md5 FROM (SELECT *, row_number() OVER (PARTITION BY literal ORDER BY seq) AS k FROM strs WHERE literal <> '') WHERE k = 1""", "strs"))
+def export_strings(s, d):
+    raw = _t(s, d, "documents").select(col("doc_id").alias("seq"), col("doc_id").alias("address"), F.encode(col("text"), "UTF-16LE").alias("bytes"))
+    return graph.export_strings(raw).select("address", F.md5("literal").alias("literal_md5"))
+
+
+@query(_sql(_sql_digest("SELECT func_addr, id, literal FROM paths JOIN ptl USING (string_addr) WHERE is_name = 1 AND to_name = 1", "id", "literal"), *_PATHS, *_PART))
 def positive_paths(s, d):
-    return labels.positive_paths(tokens(s, d), paths(s, d)).select("id", "func_addr", "string_addr", "token_literal")
+    return _digest(labels.positive_paths(part_tokens(s, d), paths(s, d)), "id", "token_literal")
 
 
-@query(_sql("SELECT id, func_addr, string_addr FROM paths WHERE func_addr IN (SELECT func_addr FROM paths JOIN tokens USING (string_addr) WHERE is_name = 1 AND to_name = 1)", *_PATHS, "strs", "tokens"))
+@query(_sql(_sql_digest("SELECT func_addr, id FROM paths JOIN posf USING (func_addr)", "id"), *_PATHS, *_PART, "posf"))
 def paths_of_positive_functions(s, d):
-    return labels.paths_of_positive_functions(tokens(s, d), paths(s, d)).select("id", "func_addr", "string_addr")
+    return _digest(labels.paths_of_positive_functions(part_tokens(s, d), paths(s, d)), "id")
+
+
+def _known_ids(s, d):
+    return labels.token_path_ids(part_tokens(s, d), paths(s, d), part_strings(s, d))
+
 
+_ABSENT = "SELECT func_addr, id, to_name FROM paths WHERE to_name = {0} AND NOT EXISTS (SELECT 1 FROM pti WHERE pti.id = paths.id)"
 
-@query(_sql("SELECT id, to_name FROM paths WHERE to_name = 0 AND id NOT IN (SELECT path_id FROM tp)", *_TP))
+
+@query(_sql(_sql_digest(_ABSENT.format(0), "id", "to_name"), *_KNOWN))
 def missing_negatives(s, d):
-    return labels.paths_without_tokens(paths(s, d), token_paths(s, d), 0).select("id", "to_name")
+    return _digest(labels.paths_without_tokens(paths(s, d), _known_ids(s, d), 0), "id", "to_name")
 
 
-@query(_sql("SELECT id, to_name FROM paths WHERE to_name = 1 AND id NOT IN (SELECT path_id FROM tp)", *_TP))
+@query(_sql(_sql_digest(_ABSENT.format(1), "id", "to_name"), *_KNOWN))
 def missing_positives(s, d):
-    return labels.paths_without_tokens(paths(s, d), token_paths(s, d), 1).select("id", "to_name")
+    return _digest(labels.paths_without_tokens(paths(s, d), _known_ids(s, d), 1), "id", "to_name")
+
 
+_HITS = f"""SELECT DISTINCT id FROM paths JOIN (SELECT func_addr, literal AS sym FROM pdb) USING (func_addr) JOIN (SELECT string_addr, literal AS tok FROM ptl WHERE is_name = 1) USING (string_addr)
+    WHERE translate(sym, '{_UP}', '{_LOW}') LIKE '%' || translate(tok, '{_UP}', '{_LOW}') || '%'"""
 
-@query(_sql(f"""SELECT p.id, CASE WHEN h.id IS NOT NULL THEN 1 ELSE to_name END AS to_name FROM paths p LEFT JOIN (SELECT DISTINCT id FROM paths JOIN (SELECT func_addr, literal AS sym FROM pdb) USING (func_addr)
-    JOIN (SELECT string_addr, substr(literal, 1, 2) AS tok FROM tokens WHERE is_name = 1) USING (string_addr) WHERE translate(sym, '{_UP}', '{_LOW}') LIKE '%' || translate(tok, '{_UP}', '{_LOW}') || '%') h ON p.id = h.id""", *_PATHS, "strs", "tokens", *_PDB))
+
+@query(_sql(_sql_digest(f"SELECT p.func_addr, p.id, CASE WHEN h.id IS NOT NULL THEN 1 ELSE to_name END AS to_name FROM paths p LEFT JOIN ({_HITS}) h ON p.id = h.id", "id", "to_name"), *_PATHS, *_PART, *_PDB))
 def autolabel_paths(s, d):
-    short = tokens(s, d).withColumn("literal", F.substring("literal", 1, 2))
-    return labels.autolabel_paths(short, paths(s, d), pdb(s, d)).select("id", "to_name")
+    return _digest(labels.autolabel_paths(part_tokens(s, d), paths(s, d), pdb(s, d)), "id", "to_name")
+
 
+_PAIR = ("path_id", "token_literal", "names_func")
+_BY_PAIR = "SELECT tp.func_addr, tp.path_id, tp.token_literal, CASE WHEN h.path_id IS NOT NULL THEN {0} ELSE names_func END AS names_func FROM tp LEFT JOIN ({1}) h ON tp.path_id = h.path_id AND tp.token_literal = h.token_literal"
+_HELPER = "SELECT DISTINCT path_id, token_literal, CASE WHEN func_addr % 2 = 0 THEN 1 END AS lab FROM tp1 WHERE func_addr % 3 = 0"
 
-@query(_sql("""SELECT tp.path_id, tp.token_literal, CASE WHEN h.path_id IS NOT NULL THEN lab ELSE names_func END AS names_func FROM tp LEFT JOIN (SELECT path_id, token_literal, CASE WHEN func_addr % 2 = 0 THEN 1 END AS lab
-    FROM tp1 WHERE func_addr % 3 = 0) h ON tp.path_id = h.path_id AND tp.token_literal = h.token_literal""", *_TP))
+
+@query(_sql(_sql_digest(_BY_PAIR.format("lab", _HELPER), *_PAIR), *_TP))
 def merge_pos_labels(s, d):
-    known = token_paths(s, d)
+    known = staged(token_paths(s, d), "token-paths")
     helper = known.where("func_addr % 3 = 0").withColumn("names_func", F.when(col("func_addr") % 2 == 0, 1)).withColumn("seq", col("func_addr"))
-    return labels.merge_positive(known, helper).select("path_id", "token_literal", "names_func")
+    return _digest(labels.merge_positive(known, helper), *_PAIR)
+
 
+_NEGATIVE = "SELECT DISTINCT path_id, token_literal FROM tp JOIN paths ON id = path_id WHERE names_func IS NULL AND to_name = 0"
 
-@query(_sql("""SELECT tp.path_id, tp.token_literal, CASE WHEN h.path_id IS NOT NULL THEN 0 ELSE names_func END AS names_func FROM tp LEFT JOIN (SELECT DISTINCT path_id, token_literal FROM tp JOIN paths ON id = path_id WHERE names_func IS NULL AND to_name = 0) h
-    ON tp.path_id = h.path_id AND tp.token_literal = h.token_literal""", *_TP))
+
+@query(_sql(_sql_digest(_BY_PAIR.format("0", _NEGATIVE), *_PAIR), *_TP))
 def label_negatives(s, d):
-    return labels.label_negative(token_paths(s, d), paths(s, d)).select("path_id", "token_literal", "names_func")
+    return _digest(labels.label_negative(staged(token_paths(s, d), "token-paths"), paths(s, d)), *_PAIR)
+
 
+_STRAY = "SELECT DISTINCT path_id, token_literal FROM tp LEFT JOIN (SELECT * FROM paths WHERE to_name = 1) p ON id = path_id WHERE names_func IS NOT NULL AND to_name IS NULL"
 
-@query(_sql("""SELECT tp.path_id, tp.token_literal, CASE WHEN h.path_id IS NOT NULL THEN NULL ELSE names_func END AS names_func FROM tp LEFT JOIN (SELECT DISTINCT path_id, token_literal FROM tp LEFT JOIN (SELECT * FROM paths WHERE to_name = 1) p ON id = path_id
-    WHERE names_func IS NOT NULL AND to_name IS NULL) h ON tp.path_id = h.path_id AND tp.token_literal = h.token_literal""", *_TP))
+
+@query(_sql(_sql_digest(_BY_PAIR.format("NULL", _STRAY), *_PAIR), *_TP))
 def cleanse_labels(s, d):
     known = paths(s, d)
-    return labels.cleanse_labels(token_paths(s, d), known.withColumn("to_name", F.when(col("to_name") == 1, 1))).select("path_id", "token_literal", "names_func")
+    return _digest(labels.cleanse_labels(staged(token_paths(s, d), "token-paths"), known.withColumn("to_name", F.when(col("to_name") == 1, 1))), *_PAIR)
 
 
 _MERGED = "SELECT CASE WHEN source < 'src2' THEN 'a' ELSE 'b' END AS \"binary\", doc_id AS local_id FROM documents"
@@ -318,20 +375,29 @@ def merged_path_ids(s, d):
     return io.with_global_ids(_merged(s, d), ["binary", "local_id"]).select("binary", "local_id", "id")
 
 
-_FEATURES = """SELECT t.path_id AS local_id, t.token_literal, names_func, p.func_addr, p.ref_depth, p.is_upward, CAST(coalesce(n, 0) AS BIGINT) AS nb_strings FROM tp t JOIN paths p ON p.id = t.path_id
-    LEFT JOIN (SELECT frm_func, count(DISTINCT target) AS n FROM data GROUP BY 1) f ON f.frm_func = p.func_addr WHERE names_func IS NOT NULL AND to_name IS NOT NULL"""
+_FUNCS = """SELECT c_custkey AS func_addr, coalesce(nb_referrers, 0) AS nb_referrers, coalesce(nb_strings, 0) AS nb_strings, coalesce(nb_referees, 0) AS nb_referees, coalesce(instructions, 0) AS instructions FROM customer
+    LEFT JOIN (SELECT target, count(DISTINCT frm_site) AS nb_referrers FROM code GROUP BY 1) r ON r.target = c_custkey LEFT JOIN (SELECT frm_func, count(DISTINCT target) AS nb_strings FROM data GROUP BY 1) x ON x.frm_func = c_custkey
+    LEFT JOIN (SELECT frm_func, count(DISTINCT target) AS nb_referees FROM code GROUP BY 1) e ON e.frm_func = c_custkey LEFT JOIN (SELECT o_custkey, count(*) AS instructions FROM orders GROUP BY 1) i ON i.o_custkey = c_custkey"""
+_ROWS = f"""SELECT 'x' AS "binary", t.path_id AS local_id, t.token_literal, names_func, p.func_addr, p.ref_depth, p.is_upward, nb_referrers, nb_strings, nb_referees, instructions FROM tp t JOIN paths p ON p.id = t.path_id
+    JOIN ({_FUNCS}) f ON f.func_addr = p.func_addr WHERE names_func IS NOT NULL AND to_name IS NOT NULL"""
+_NUMBERS = ("token_literal", "names_func", "ref_depth", "is_upward", "nb_referrers", "nb_strings", "nb_referees", "instructions")
 
 
-def _assembled(s, d):
+def _assembly_parts(s, d):
     one = F.lit("x").alias("binary")
-    funcs = func_features(s, d)
     known = token_paths(s, d).select(one, col("path_id").alias("local_path_id"), "token_literal", "names_func")
-    return dataset.assemble_features(paths(s, d).select(one, col("id").alias("local_id"), "func_addr", "ref_depth", "is_upward", "to_name"), known, funcs.select(one, "*"))
+    return paths(s, d).select(one, col("id").alias("local_id"), "func_addr", "ref_depth", "is_upward", "to_name"), known, func_features(s, d).select(one, "*")
 
 
-@query(_sql(_FEATURES, *_TP))
+@query(_sql(_sql_digest(_ROWS, "local_id", *_NUMBERS), *_TP))
 def feature_assembly(s, d):
-    return _assembled(s, d).select("local_id", "token_literal", "names_func", "func_addr", "ref_depth", "is_upward", col("nb_strings").cast("bigint"))
+    return _digest(dataset.assemble_features(*_assembly_parts(s, d)), "local_id", *_NUMBERS)
+
+
+@query(_sql(_sql_digest(_ROWS, '"binary"', *_NUMBERS), *_TP))
+def pipeline_rows(s, d):
+    """The ten columns of the cascade's rows."""
+    return _digest(dataset.pipeline_rows(*_assembly_parts(s, d)), "binary", *_NUMBERS)
 
 
 @query("SELECT 'x' AS \"binary\", o_custkey AS func_addr, count(*) AS n_rows FROM orders GROUP BY o_custkey")
@@ -371,6 +437,15 @@ def cascade_metrics(s, d):
     return dataset.confusion(rows, (col("l_linenumber") > 3).cast("int"), (col("l_quantity") > 20) & (col("l_discount") > 0.02))
 
 
+@query(f"SELECT * FROM (WITH r AS (SELECT quality = 1 AS t, toxic = 0 AS p FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL) SELECT 'confusion' AS model, * FROM ({_METRICS})) UNION ALL SELECT * FROM (WITH r AS (SELECT l_linenumber > 3 AS t, l_quantity > 20 AND l_discount > 0.02 AS p FROM lineitem) SELECT 'cascade', * FROM ({_METRICS}))")
+def saved_results(s, d):
+    """Scores of two models, saved as their tables and read back."""
+    folder = fresh_path(s, "results")
+    for model, scores in (("confusion", confusion_metrics(s, d)), ("cascade", cascade_metrics(s, d))):
+        io.save_results(scores, folder, model)
+    return io.read_results(s, folder, ["confusion", "cascade"])
+
+
 @query("SELECT count(*) FILTER (WHERE p_name IN (SELECT p_name FROM part WHERE p_partkey % 5 <> 0)) AS seen, count(*) AS total, 100.0 * count(*) FILTER (WHERE p_name IN (SELECT p_name FROM part WHERE p_partkey % 5 <> 0)) / count(*) AS percent FROM part WHERE p_partkey % 5 = 0")
 def seen_token_rate(s, d):
     rows = _t(s, d, "part").select("p_partkey", col("p_name").alias("literal"))
@@ -391,30 +466,59 @@ def tokenize_one_job(s, d):
     return labels.add_tokens_of(known, part_strings(s, d), 7).drop("is_name")
 
 
-@query(_sql("SELECT * FROM ptp", *_PATHS, *_PART, "ptp"))
+@query(_sql("SELECT count(*) AS found, count(DISTINCT token) AS kept, count(*) - count(DISTINCT token) AS duplicates, (SELECT count(is_name) FROM ptl) AS labelled FROM ptok", *_PART))
+def tokenize_counts(s, d):
+    """Counters of the tokenize job."""
+    found = part_strings(s, d).select(F.explode(tokenize_udf("literal")).alias("t"))
+    return dataset.job_counts(found, part_tokens(s, d), "is_name")
+
+
+@query(_sql(_sql_digest("SELECT * FROM ptp", "path_id", "string_addr", "token_literal"), *_PATHS, *_PART, "posf", "ptp"))
 def token_paths_job(s, d):
-    return labels.token_paths(part_tokens(s, d), paths(s, d), part_strings(s, d))
+    return _digest(labels.token_paths(part_tokens(s, d), paths(s, d), part_strings(s, d)), "path_id", "string_addr", "token_literal")
+
 
+_TOKEN_ROW = ("path_id", "token_literal", "names_func")
 
-@query(_sql(f"{_EXPLODED.format('NULL')} JOIN ptl ON ptl.string_addr = paths.string_addr WHERE is_name = 1 AND to_name = 1", *_PATHS, *_PART))
+
+@query(_sql(_sql_digest(f"{_EXPLODED.format('NULL')} JOIN ptl ON ptl.string_addr = paths.string_addr WHERE is_name = 1 AND to_name = 1", *_TOKEN_ROW), *_PATHS, *_PART))
 def token_paths_positive_job(s, d):
-    return labels.token_paths_positive(part_tokens(s, d), paths(s, d), part_strings(s, d))
+    return _digest(labels.token_paths_positive(part_tokens(s, d), paths(s, d), part_strings(s, d)), *_TOKEN_ROW)
+
 
+_NOT_KNOWN = "NOT EXISTS (SELECT 1 FROM pti WHERE pti.id = paths.id)"
 
-@query(_sql(f"{_EXPLODED.format('0')} WHERE to_name = 0 AND id NOT IN (SELECT path_id FROM ptp)", *_PATHS, *_PART, "ptp"))
+
+@query(_sql(_sql_digest(f"{_EXPLODED.format('0')} WHERE to_name = 0 AND {_NOT_KNOWN}", *_TOKEN_ROW), *_KNOWN))
 def token_paths_negative_job(s, d):
-    return labels.token_paths_negative(paths(s, d), token_paths_job(s, d), part_strings(s, d))
+    return _digest(labels.token_paths_negative(paths(s, d), _known_ids(s, d), part_strings(s, d)), *_TOKEN_ROW)
 
 
-@query(_sql(f"{_EXPLODED.format('NULL')} WHERE to_name = 1 AND id NOT IN (SELECT path_id FROM ptp)", *_PATHS, *_PART, "ptp"))
+@query(_sql(_sql_digest(f"{_EXPLODED.format('NULL')} WHERE to_name = 1 AND {_NOT_KNOWN}", *_TOKEN_ROW), *_KNOWN))
 def token_paths_missing_positive_job(s, d):
-    return labels.token_paths_missing_positive(paths(s, d), token_paths_job(s, d), part_strings(s, d))
+    return _digest(labels.token_paths_missing_positive(paths(s, d), _known_ids(s, d), part_strings(s, d)), *_TOKEN_ROW)
+
+
+_FIRST_PATH = "id = (SELECT min(id) FROM paths WHERE string_addr > 0)"
+
 
+def _one_missing(s, d):
+    """The job for one path, with the tokens of odd strings known."""
+    known = staged(paths(s, d), "paths")
+    tokens = labels.make_tokens(part_strings(s, d).where("seq % 2 = 1"))
+    none = labels.explode_paths(known.limit(0), part_strings(s, d), None)
+    return labels.add_one_missing(tokens, none, known, part_strings(s, d), known.where("string_addr > 0").agg(F.min("id")).first()[0])
 
-@query(_sql(f"{_EXPLODED.format('NULL')} WHERE id = (SELECT min(id) FROM paths)", *_PATHS, *_PART))
+
+@query(_sql(f"{_EXPLODED.format('NULL')} WHERE paths.{_FIRST_PATH}", *_PATHS, *_PART))
 def token_paths_one_job(s, d):
-    known = paths(s, d)
-    return labels.token_paths_of_one(known, part_strings(s, d), known.agg(F.min("id")).first()[0])
+    return _one_missing(s, d)[1]
+
+
+@query(_sql(f"""WITH odd AS (SELECT arg_min(address, (address, pos)) AS string_addr, token AS literal FROM ptok WHERE address % 2 = 1 GROUP BY token) SELECT * FROM odd UNION ALL SELECT DISTINCT address, token FROM ptok
+    WHERE address = (SELECT string_addr FROM paths WHERE {_FIRST_PATH}) AND NOT EXISTS (SELECT 1 FROM odd WHERE odd.literal = token)""".replace("WITH odd AS (", "SELECT * FROM (WITH odd AS (", 1) + ")", *_PATHS, *_PART))
+def tokens_one_missing_job(s, d):
+    return _one_missing(s, d)[0].drop("is_name")
 
 
 @query(_sql("""SELECT address, md5(literal) AS literal_md5 FROM (SELECT *, row_number() OVER (PARTITION BY literal ORDER BY seq) AS k FROM strs WHERE literal <> '' AND address % 3 <> 0 AND address IN (SELECT string_addr FROM raw_paths)
@@ -444,72 +548,86 @@ def tokens_of_strings(s, d):
 
 @query(None)
 def token_paths_all(s, d):
-    return labels.token_paths(tokens(s, d), paths(s, d), strings(s, d))
+    """Token paths of the documents' whole strings over all paths of positive functions, counted by function and string.
+
+    A path's tokens are its string's, so tokens are counted before they meet the paths.
+    """
+    found = labels.paths_of_positive_functions(document_tokens(s, d), paths(s, d)).groupBy("func_addr", "string_addr").agg(F.count("*").alias("paths"))
+    sizes = strings(s, d).select(col("address").alias("string_addr"), F.size(tokenize_udf("literal")).cast("bigint").alias("tokens"))
+    return found.join(sizes.where("tokens > 0"), "string_addr").select("func_addr", "string_addr", (col("paths") * col("tokens")).alias("token_paths"))
 
 
 @query(None)
 def token_embedding(s, d):
-    return whole_tokens(s, d).select("literal", ml.embed(col("literal")).alias("lit_vec"))
+    return document_tokens(s, d).select("literal", ml.embed(col("literal")).alias("lit_vec"))
 
 
-def _name_rows(s, d):
-    return whole_tokens(s, d).where("is_name is not null").select("literal", "is_name", ml.embed(col("literal")).alias("lit_vec"))
+# ---- models: fitted on a bounded sample of the training split, scored on the whole test split
 
 
-def _path_rows(s, d):
-    return _assembled(s, d).withColumn("lit_vec", ml.embed(col("token_literal")))
+def _name_split(s, d):
+    """(training rows, test rows, embedder) of the labelled tokens; the embedder is fitted on the training split."""
+    rows = staged(document_tokens(s, d).where("is_name is not null").select("literal", "is_name"), "names")
+    split = dataset.holdout_split(rows, ["literal"])
+    embedder = ml.Embedder().fit(split.where("not is_test"))
+    split = embedder.transform(split)
+    return split.where("not is_test"), split.where("is_test"), embedder
 
 
-def _halves(rows, keys):
-    """(training rows, test rows) of the hold-out split, from one cached table."""
-    split = dataset.holdout_split(rows.cache(), keys)
-    return split.where("not is_test").cache(), split.where("is_test").cache()
+def _path_split(s, d, embedder):
+    rows = staged(dataset.assemble_features(*_assembly_parts(s, d)), "path-rows")
+    split = embedder.transform(dataset.holdout_split(rows, ["local_id", "token_literal"]), "token_literal")
+    return split.where("not is_test"), split.where("is_test")
 
 
 def _scores(found, label, model):
     return dataset.confusion(found, col(label), col("pred") == 1).select(F.lit(model).alias("model"), "*")
 
 
-def _all_scores(halves, kinds, features, label):
-    """Scores on the test rows of each kind of model, trained on the others."""
-    scores = [_scores(ml.predict(ml.train(halves[0], kind, features, label), halves[1], "pred"), label, kind) for kind in kinds]
+def _all_scores(sample, rest, features, label):
+    """Scores on the test rows of all kinds of model."""
+    scores = [_scores(ml.train(sample, kind, features, label).predict(rest, "pred"), label, kind) for kind in ml.KINDS]
     return reduce(DataFrame.unionByName, scores)
 
 
-#: The linear SVC and the neural network, slow on small tables, are left to the tests.
-KINDS = ("dtree", "gnbayes", "logreg", "rforest")
-#: Neighbours that vote.
-NEIGHBOURS = 5
+def _folds(s, sample, features, label, metric):
+    """Mean and deviation over five folds of the kinds that need no long solver."""
+    rows = [(kind, metric, *ml.cross_validate(sample, kind, features, label, metric)) for kind in ("adaboost", "dtree", "knn")]
+    return s.createDataFrame(rows, "model string, metric string, mean double, deviation double")
 
 
 @query(None)
 def names_models(s, d):
-    return _all_scores(_halves(_name_rows(s, d), ["literal"]), KINDS, ["lit_vec"], "is_name")
+    known, rest, _ = _name_split(s, d)
+    return _all_scores(ml.training_rows(known, ["lit_vec"], "is_name", ["literal"]), rest, ["lit_vec"], "is_name")
 
 
 @query(None)
-def names_adaboost(s, d):
-    known, rest = _halves(_name_rows(s, d), ["literal"])
-    return _scores(ml.AdaBoost(["lit_vec"], "is_name").fit(known).predict(rest, "pred"), "is_name", "adaboost")
+def names_cross_validation(s, d):
+    known, _, _ = _name_split(s, d)
+    return _folds(s, ml.training_rows(known, ["lit_vec"], "is_name", ["literal"]), ["lit_vec"], "is_name", "accuracy")
 
 
 @query(None)
-def names_knn(s, d):
-    known, rest = _halves(_name_rows(s, d), ["literal"])
-    rest = rest.withColumn("query_id", F.xxhash64("literal"))
-    return _scores(ml.knn_predict(known, rest, ["lit_vec"], "is_name", NEIGHBOURS, "pred"), "is_name", "knn")
+def paths_models(s, d):
+    known, rest = _path_split(s, d, ml.Embedder())
+    return _all_scores(ml.training_rows(known, dataset.FEATURES, "names_func", ["local_id", "token_literal"]), rest, dataset.FEATURES, "names_func")
 
 
 @query(None)
-def names_cross_validation(s, d):
-    """Mean and deviation over five folds."""
-    mean, deviation = ml.cross_validate(_name_rows(s, d).cache(), "dtree", ["lit_vec"], "is_name")
-    return s.createDataFrame([("dtree", "accuracy", mean, deviation)], "model string, metric string, mean double, deviation double")
+def paths_cross_validation(s, d):
+    """f1 of the positive class."""
+    known, _ = _path_split(s, d, ml.Embedder())
+    return _folds(s, ml.training_rows(known, dataset.FEATURES, "names_func", ["local_id", "token_literal"]), dataset.FEATURES, "names_func", "f1")
 
 
 @query(None)
 def cascade_predict(s, d):
-    rows = _path_rows(s, d).join(_t(s, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("is_name")), F.split("local_id", "/")[1].cast("bigint") == col("doc_id")).cache()
-    names = ml.train(rows, "logreg", ["lit_vec"], "is_name")
-    found = ml.cascade(rows, names, ml.train(rows, "rforest", dataset.FEATURES, "names_func"))
-    return dataset.confusion(found, col("names_func"), col("pred") == 1)
+    """Both models in sequence over the held-out rows of the paths, the result saved as the pair's table and read back."""
+    names, _, embedder = _name_split(s, d)
+    known, rest = _path_split(s, d, embedder)
+    first = ml.train(ml.training_rows(names, ["lit_vec"], "is_name", ["literal"]), "logreg", ["lit_vec"], "is_name")
+    second = ml.train(ml.training_rows(known, dataset.FEATURES, "names_func", ["local_id", "token_literal"]), "rforest", dataset.FEATURES, "names_func")
+    folder, name = fresh_path(s, "results"), f"pipe_{ml.model_name('names/logreg.model')}_{ml.model_name('paths/rforest.model')}"
+    io.save_results(dataset.confusion(ml.cascade(rest, first, second), col("names_func"), col("pred") == 1), folder, name)
+    return io.read_results(s, folder, [name])
