@@ -3,7 +3,7 @@
 ``parse_records`` reads HTTP messages of response and revisit records; ``resolve_revisits`` is the as-of join. Captures are
 range-partitioned by (URL, time, id), so that a URL of any weight spreads over many tasks. Inside a partition a window gives the
 last full response before each row; across partitions a table of one row for each partition carries the last response of the URL
-that goes on. Bodies do not take part: they are joined to the resolved revisits at the end, where adaptive execution splits hot ones.
+that goes on. Bodies do not take part: they are joined to the resolved revisits at the end, those of hot sources in several tasks.
 
 A revisit is resolved if its validators hold against that response: the ETags (weak marks ignored) where both have
 one, else the Last-Modified dates, else not. Headers that a not-modified response may update come from the revisit, the rest
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, staged
+from .common import HOT_SHARE, SALTS, read_table, staged
 
 # Headers that a not-modified response may update.
 UPDATABLE = ["cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary"]
@@ -117,8 +117,16 @@ def resolve_revisits(captures: DataFrame, body: bool = True) -> DataFrame:
     out = seen.select("id", F.col("canon").alias("url"), "time", F.when(holds, F.col("source.id")).alias("source_id"), F.when(holds, merged).otherwise(own).alias("headers"))
     if not body:
         return out
+    out = staged(out, "revisits")
     bodies = captures.where("status = 200 and id is not null").select(F.col("id").alias("source_id"), "body")
-    return out.join(bodies.dropDuplicates(["source_id"]), "source_id", "left").select(*out.columns, "body")
+    # the body of a hot source goes to several tasks, and its revisits are dealt among them
+    hot = out.where("source_id is not null").groupBy("source_id").count().where(F.col("count") * HOT_SHARE > out.count()).select("source_id", F.lit(True).alias("__bl_hot"))
+    hot = F.broadcast(hot)  # HOT_SHARE ids at most
+    dealt = out.join(hot, "source_id", "left").withColumn("__bl_salt", F.when(F.col("__bl_hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
+    copies = F.when(F.col("__bl_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    spread = bodies.join(hot, "source_id", "left").withColumn("__bl_salt", F.explode(copies)).drop("__bl_hot")
+    key = ["source_id", "__bl_salt"]
+    return dealt.join(spread.dropDuplicates(key), key, "left").select(*out.columns, "body")
 
 
 def captures_of_pages(pages: DataFrame) -> DataFrame:
