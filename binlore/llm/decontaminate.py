@@ -285,8 +285,10 @@ def op10_suffix_array_matches(spark, sf_dir):
 
 def stage_decontaminate(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents with a benchmark window go."""
-    found = match_documents(docs.withColumn("__bl_text", F.col("text")), read_table(spark, sf_dir, "benchmark"), "__bl_text")
-    return found.where(F.size("hits") == 0).select(*docs.columns)
+    hidden = [f"__bl_s{i}" for i in range(len(docs.columns))]  # columns named as the operator's results stay as they are
+    rows = docs.select(F.col("text").alias("__bl_text"), *[F.col(f"`{c}`").alias(h) for c, h in zip(docs.columns, hidden)])
+    found = match_documents(rows, read_table(spark, sf_dir, "benchmark"), "__bl_text")
+    return found.where(F.size("hits") == 0).select(*[F.col(h).alias(c) for c, h in zip(docs.columns, hidden)])
 
 
 ORACLE = """
