@@ -122,7 +122,9 @@ def resolve_revisits(captures: DataFrame, body: bool = True) -> DataFrame:
     # the body of a hot source goes to several tasks, and its revisits are dealt among them
     hot = out.where("source_id is not null").groupBy("source_id").count().where(F.col("count") * HOT_SHARE > out.count()).select("source_id", F.lit(True).alias("__bl_hot"))
     hot = F.broadcast(hot)  # HOT_SHARE ids at most
-    dealt = out.join(hot, "source_id", "left").withColumn("__bl_salt", F.when(F.col("__bl_hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
+    # revisits without a source match nothing, and are dealt by their ids
+    salt = F.when(F.col("source_id").isNull(), F.hash("id")).when(F.col("__bl_hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    dealt = out.join(hot, "source_id", "left").withColumn("__bl_salt", salt)
     copies = F.when(F.col("__bl_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     spread = bodies.join(hot, "source_id", "left").withColumn("__bl_salt", F.explode(copies)).drop("__bl_hot")
     key = ["source_id", "__bl_salt"]
