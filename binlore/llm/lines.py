@@ -1,7 +1,8 @@
 """Fuzzy line dedup: MinHash of character shingles, banding, exact Jaccard, distributed union-find.
 
 Lines are the parts of a text between newlines. White space runs become one space, edges are trimmed and A-Z
-lower-cased; lines of fewer than ``MIN_WORDS`` words are kept as they are. A line's set is its distinct 5-character
+lower-cased; lines of fewer than ``MIN_WORDS`` words are kept as they are. A line in a script written without
+spaces also meets the bound if it has ``UNSPACED_CHARS`` such characters for each word. A line's set is its distinct 5-character
 shingles. One-permutation MinHash gives ``BINS`` minima from a few draws of each shingle (empty bins borrow from the next), cut into bands;
 all lines that share a band are candidates of one another, and candidates whose sets have a Jaccard similarity of
 ``NUM / DEN`` or more are linked. Of each component the first line, by document id and line number, is kept.
@@ -32,6 +33,9 @@ from .jaccard import SHORT, _bands, _signed, _with_end, collided, intersection,
 from .textbatch import chunked, lean, mix, raw
 
 MIN_WORDS = 5
+#: Code points, inclusive, of scripts without spaces between words: Thai and Lao, Burmese, Khmer, Chinese and Japanese.
+UNSPACED = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x9FFF), (0x20000, 0x3FFFF)]
+UNSPACED_CHARS = 2
 CHARS = 5
 #: Odd multipliers of a shingle's characters.
 GRAM = [np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) ** 5 & (1 << 64) - 1) for k in range(CHARS)]
@@ -41,6 +45,14 @@ DRAWS = 3
 NUM, DEN = 80, 100
 
 
+def _unspaced(text: np.ndarray) -> np.ndarray:
+    """Flags of characters of ``UNSPACED``."""
+    out = np.zeros(len(text), bool)
+    for a, b in UNSPACED:
+        out |= (text >= a) & (text <= b)
+    return out
+
+
 class Lines:
     """The candidate lines of a chunk of texts.
 
@@ -78,6 +90,9 @@ class Lines:
         spaces = np.concatenate(([0], np.cumsum(text == 32, dtype=np.int32)))
         words = np.where(hi > lo, spaces[hi] - spaces[lo] + 1, 0)
         use = words >= min_words
+        if len(text) and text.max() >= UNSPACED[0][0]:
+            alone = np.concatenate(([0], np.cumsum(_unspaced(text), dtype=np.int32)))
+            use |= (alone[hi] - alone[lo]) // UNSPACED_CHARS >= min_words
         self.row, self.number, self.words = all_row[use], all_number[use], words[use]
         self.text, self.lo, self.hi = text, lo[use].astype(np.int64), hi[use].astype(np.int64)
         view = memoryview(text.view(np.uint8)) if len(text) else memoryview(b"")

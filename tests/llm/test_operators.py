@@ -371,6 +371,13 @@ def test_rows_of_one_id_with_different_texts_keep_their_own_lines(spark):
     assert kept.count(a) == 1 and b in kept and c in kept and "words of a line that nobody else has" in kept and got.count() == 5
 
 
+
+def test_lines_without_spaces_take_part_by_their_length(spark):
+    long, short = "\u4e00\u4e8c\u4e09\u56db\u4e94" * 5, "\u4e00\u4e8c\u4e09"
+    df = spark.createDataFrame([(1, f"{long}\n{short}"), (2, f"{short}\n{long}"), (3, "Ok. Yes.\nOk. Yes.")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in lines.dedup_lines(df).collect()} == {1: f"{long}\n{short}", 2: short, 3: "Ok. Yes.\nOk. Yes."}
+
+
 def test_colliding_names_become_other_names():
     made = pa.array([b"a line of some five words", b"another line of five words"], pa.large_binary())
     first = lines.Lines(made)
@@ -566,6 +573,30 @@ def test_decontamination(spark, docs, block, monkeypatch):
     assert best.match_words >= 3 and best.doc_id == 7
 
 
+
+@pytest.mark.parametrize("shard", [1, 300, 8 << 20])
+@pytest.mark.parametrize("shortest", [1, 2, 12])
+def test_searched_windows_miss_no_occurrence(spark, shard, shortest, monkeypatch):
+    """Repeated words, equal windows of many items and shards of any size, against all windows of all texts."""
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", shard)
+    r = random.Random(shortest)
+    line = lambda n: " ".join(r.choice("abc") for _ in range(n))
+    items = [(k, t) for k, t in enumerate(["a " * 40, "a " * 25, *[line(r.randint(shortest, 14)) for _ in range(30)]]) if len(t.split()) >= shortest]
+    rows = [(k, t) for k, t in enumerate(["a " * 500, "", None, "a " * 9, *[line(r.randint(0, 60)) for _ in range(60)]])] * 2
+    found = decontaminate.match_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string"))
+    for x in found.collect():
+        w, hit, names = (x.text or "").split(), set(), set()
+        for name, t in items:
+            v = t.split()
+            for a in range(max(1, len(v) - 9)):
+                win = v[a : a + 10]
+                for p in range(len(w) - len(win) + 1):
+                    if w[p : p + len(win)] == win:
+                        hit |= set(range(p, p + len(win)))
+                        names.add(str(name))
+        assert ({p for s in x.hits for p in range(s.a, s.b)}, list(x["items"])) == (hit, sorted(names))
+
+
 def test_words_split_like_the_pattern():
     texts = [t or "" for _, t in corpus()]
     for flags, pattern in ((NON_SPACE, None), (ALNUM, r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")):
