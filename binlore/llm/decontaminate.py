@@ -10,8 +10,10 @@ Words are runs of ASCII letters (lower-cased), digits and non-ASCII characters.
 of an item; an item of fewer, but not none, is one window. Null texts and items have no words; an empty benchmark hits
 nothing; repeated items count by their ids, repeated rows each. Null item ids are left out of lists.
 
-The benchmark goes to the executors in blocks of at most ``BLOCK_ITEMS`` items and ``BLOCK_WORDS`` words; beyond one
-block, passes over the documents follow each other in one stage, each adding its hits.
+The benchmark goes to the executors in blocks of at most ``BLOCK_ITEMS`` items and ``BLOCK_WORDS`` words, of which the driver
+holds one at a time; beyond one block, passes over the documents follow each other in one stage, each adding its hits. A shard
+searches only windows whose first words follow each other in it, and equal windows once, so its work grows with its own matches.
+Whole texts count, however long; a longer text is a shard of its own.
 """
 
 from __future__ import annotations
@@ -30,8 +32,8 @@ from .textbatch import ALNUM, Words, as_binary, chunked, lean
 WINDOW = 10
 BLOCK_ITEMS = 200_000
 BLOCK_WORDS = 20_000_000
-#: Text bytes of a shard.
-SHARD_BYTES = 16 << 20
+#: Text bytes of a shard; Arrow batches are joined up to it.
+SHARD_BYTES = 8 << 20
 
 
 def suffix_array(text: np.ndarray, positions: np.ndarray) -> np.ndarray:
@@ -106,6 +108,14 @@ class Benchmark:
         cat = lambda x: np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)
         self.text, self.starts, self.owner, self.sizes = cat(parts), cat(starts), cat(owner), cat(sizes)
         self.shortest = int(self.sizes.min(initial=window))
+        leads = self.leads_of(self.text, self.starts)
+        self.by_lead = np.argsort(leads, kind="stable")
+        self.leads = leads[self.by_lead]
+
+    def leads_of(self, text: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The first two words at each place as one number; the first alone if a window may have no second."""
+        first = text[at] * (len(self.vocab) + 1)
+        return first + text[np.minimum(at + 1, len(text) - 1)] if self.shortest > 1 else first
 
     def shard_text(self, words: Words) -> np.ndarray:
         """Benchmark ids of a shard's words, 0 for others, with a 0 between texts: position of word i of text r is i + r."""
@@ -139,22 +149,36 @@ class ShardIndex:
             ok[total - k :] = False
         self.order = suffix_array(self.text, np.flatnonzero(ok))
 
-    def occurrences(self, bench: Benchmark) -> tuple[np.ndarray, np.ndarray]:
-        """(index of window, original position) of every occurrence of a benchmark window."""
+    def candidates(self, bench: Benchmark) -> np.ndarray:
+        """Windows whose first words begin a suffix of the shard; no other window or match of the shortest length can occur."""
         if not len(self.order) or not len(bench.starts):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        lo = search(self.text, self.order, bench.text, bench.starts)
-        near = np.maximum(
-            common_prefix(bench.text, bench.starts, self.text, self.order[np.minimum(lo, len(self.order) - 1)]),
-            common_prefix(bench.text, bench.starts, self.text, self.order[np.maximum(lo - 1, 0)]),
-        )
-        hit = np.flatnonzero(near >= bench.sizes)
+            return np.zeros(0, np.int64)
+        own = np.unique(bench.leads_of(self.text, self.order))
+        left, right = np.searchsorted(bench.leads, own, "left"), np.searchsorted(bench.leads, own, "right")
+        return np.sort(bench.by_lead[ranges(left, right - left)])
+
+    def _nearest(self, bench: Benchmark, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For the suffix at each window: length in words of its longest match, and the suffix (its place in ``text``) that has it."""
+        starts = bench.starts[windows]
+        lo = search(self.text, self.order, bench.text, starts)
+        after, before = self.order[np.minimum(lo, len(self.order) - 1)], self.order[np.maximum(lo - 1, 0)]
+        a, b = common_prefix(bench.text, starts, self.text, after), common_prefix(bench.text, starts, self.text, before)
+        return np.maximum(a, b), np.where(a >= b, after, before)
+
+    def occurrences(self, bench: Benchmark) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(windows that occur, the group of each, groups, original positions): equal windows are a group, and each
+        occurrence of a group is one (group, position)."""
+        none = np.zeros(0, np.int64)
+        windows = self.candidates(bench)
+        if not len(windows):
+            return none, none, none, none
+        length, _ = self._nearest(bench, windows)
+        hit = windows[length >= bench.sizes[windows]]
         # suffixes that share the window lie on both sides of the full suffix's place
         left, right = self._range(bench, hit)
-        count = right - left
-        which = np.repeat(hit, count)
-        at = np.repeat(left - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        return which, self.place[self.order[at]]
+        _, first, group = np.unique(left * (bench.window + 1) + bench.sizes[hit], return_index=True, return_inverse=True)
+        left, count = left[first], (right - left)[first]
+        return hit, group, np.repeat(np.arange(len(first)), count), self.place[self.order[ranges(left, count)]]
 
     def _range(self, bench: Benchmark, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bounds in the suffix array of the suffixes that begin with each window."""
@@ -166,40 +190,71 @@ class ShardIndex:
         flat, at = cut.ravel(), np.arange(len(hit)) * (width + 1)
         return search(self.text, self.order, flat, at), search(self.text, self.order, flat, at, sizes)
 
-    def longest(self, bench: Benchmark) -> tuple[np.ndarray, np.ndarray]:
-        """For each suffix that begins a window: length in words of its longest match here, and one original position of it."""
-        if not len(self.order):
-            return np.zeros(len(bench.starts), np.int64), np.full(len(bench.starts), -1)
-        lo = search(self.text, self.order, bench.text, bench.starts)
-        after, before = self.order[np.minimum(lo, len(self.order) - 1)], self.order[np.maximum(lo - 1, 0)]
-        a, b = common_prefix(bench.text, bench.starts, self.text, after), common_prefix(bench.text, bench.starts, self.text, before)
-        return np.maximum(a, b), self.place[np.where(a >= b, after, before)]
+    def longest(self, bench: Benchmark) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(windows, length in words of the longest match of the suffix that begins at each, one original position of it)."""
+        windows = self.candidates(bench)
+        if not len(windows):
+            return windows, windows, windows
+        length, at = self._nearest(bench, windows)
+        keep = length >= bench.shortest
+        return windows[keep], length[keep], self.place[at[keep]]
+
 
+def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its count, one after the other."""
+    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
 
-def shard_hits(bench: Benchmark, words: Words) -> tuple[np.ndarray, list[np.ndarray], list[tuple[int, int]]]:
-    """(words hit in each text, flags of hit words by shard position, (text, item) pairs)."""
-    which, at = ShardIndex(bench, words).occurrences(bench)
+
+def shard_hits(bench: Benchmark, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position of each text's first word, flags of hit words by shard position, distinct (text, item) pairs)."""
+    windows, group, which, at = ShardIndex(bench, words).occurrences(bench)
+    sizes = np.zeros(int(group.max(initial=-1)) + 1, np.int64)
+    sizes[group] = bench.sizes[windows]
     flags = np.zeros(len(words.codes) + len(words.counts) + 1, np.int64)
     np.add.at(flags, at, 1)
-    np.add.at(flags, at + bench.sizes[which], -1)
+    np.add.at(flags, at + sizes[which], -1)
     hit = np.cumsum(flags)[:-1] > 0
-    base = words.first + np.arange(len(words.first))  # position of each text's first word
-    row = np.searchsorted(base, at, "right") - 1
-    pairs = np.unique(np.stack([row, bench.owner[which]]), axis=1) if len(at) else np.zeros((2, 0), np.int64)
-    return base, hit, pairs
-
-
-def _blocks(benchmark: DataFrame, item: str, text: str) -> list[tuple[list, list]]:
-    """The items in blocks of bounded size, as they stream to the driver; each becomes one broadcast."""
-    blocks, ids, texts, words = [], [], [], 0
+    base = words.first + np.arange(len(words.first))
+    if not len(at):
+        return base, hit, np.zeros((2, 0), np.int64)
+    texts = np.unique(np.stack([which, np.searchsorted(base, at, "right") - 1]), axis=1)
+    owners = np.unique(np.stack([group, bench.owner[windows]]), axis=1)
+    first = np.searchsorted(owners[0], texts[0], "left")
+    count = np.searchsorted(owners[0], texts[0], "right") - first
+    return base, hit, np.unique(np.stack([np.repeat(texts[1], count), owners[1][ranges(first, count)]]), axis=1)
+
+
+def _shards(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, pa.LargeBinaryArray]]:
+    """Rows in runs of at most ``SHARD_BYTES`` bytes, one row at least, across batches."""
+    held, size = [], 0
+    for batch in batches:
+        for part, _ in chunked(batch, text, SHARD_BYTES):
+            more = part.nbytes
+            if held and size + more > SHARD_BYTES:
+                yield _joined(held, text)
+                held, size = [], 0
+            held.append(part)
+            size += more
+    if held:
+        yield _joined(held, text)
+
+
+def _joined(parts: list[pa.RecordBatch], text: str) -> tuple[pa.RecordBatch, pa.LargeBinaryArray]:
+    whole = pa.concat_batches(parts)
+    return whole, as_binary(whole.column(whole.schema.get_field_index(text)))
+
+
+def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[tuple[list, list]]:
+    """The items in blocks of bounded size, one at a time as they stream to the driver; each becomes one broadcast."""
+    ids, texts, words = [], [], 0
     for row in benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).toLocalIterator():
         if ids and (len(ids) >= BLOCK_ITEMS or words > BLOCK_WORDS):
-            blocks.append((ids, texts))
+            yield ids, texts
             ids, texts, words = [], [], 0
         ids.append(row["i"])
         texts.append(row["t"] or "")
         words += len(texts[-1]) // 2
-    return [*blocks, (ids, texts)] if ids or not blocks else blocks
+    yield ids, texts
 
 
 def match_documents(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -220,24 +275,23 @@ def match_documents(df: DataFrame, benchmark: DataFrame, text: str = "text", ite
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             bench = Benchmark(*block.value, window)
             spans = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-            for batch in batches:
-                for part, part_texts in chunked(batch, cols[where], SHARD_BYTES):
-                    words = Words(part_texts, ALNUM)
-                    first, hit, pairs = shard_hits(bench, words)
-                    hits, items = part.column(len(base) + 1).to_pylist(), part.column(len(base) + 2).to_pylist()
-                    names: dict[int, set] = {}
-                    for row, owner in zip(*pairs.tolist()):
-                        names.setdefault(row, set()).add(bench.items[owner])
-                    for row, found in names.items():
-                        flags = np.zeros(int(words.counts[row]) + 2, np.int8)
-                        flags[1:-1] = hit[first[row] : first[row] + words.counts[row]]
-                        for s in hits[row]:
-                            flags[s["a"] + 1 : s["b"] + 1] = 1
-                        edges = np.flatnonzero(np.diff(flags)).tolist()
-                        hits[row] = [{"a": a, "b": b} for a, b in zip(edges[::2], edges[1::2])]
-                        items[row] = sorted({*items[row], *found} - {None})
-                    columns = [part.column(i) for i in range(len(base))] + [pa.array(words.counts, pa.int64()), pa.array(hits, spans), pa.array(items, pa.list_(pa.string()))]
-                    yield pa.RecordBatch.from_arrays(columns, names=[*cols, "n_words", "hits", "items"])
+            for part, part_texts in _shards(batches, cols[where]):
+                words = Words(part_texts, ALNUM)
+                first, hit, pairs = shard_hits(bench, words)
+                hits, items = part.column(len(base) + 1).to_pylist(), part.column(len(base) + 2).to_pylist()
+                names: dict[int, set] = {}
+                for row, owner in zip(*pairs.tolist()):
+                    names.setdefault(row, set()).add(bench.items[owner])
+                for row, found in names.items():
+                    flags = np.zeros(int(words.counts[row]) + 2, np.int8)
+                    flags[1:-1] = hit[first[row] : first[row] + words.counts[row]]
+                    for s in hits[row]:
+                        flags[s["a"] + 1 : s["b"] + 1] = 1
+                    edges = np.flatnonzero(np.diff(flags)).tolist()
+                    hits[row] = [{"a": a, "b": b} for a, b in zip(edges[::2], edges[1::2])]
+                    items[row] = sorted({*items[row], *found} - {None})
+                columns = [part.column(i) for i in range(len(base))] + [pa.array(words.counts, pa.int64()), pa.array(hits, spans), pa.array(items, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*cols, "n_words", "hits", "items"])
 
         out = out.mapInArrow(lean(run), schema)
     return out.select(*[F.col(x).alias(c) for c, x in zip(base, cols)], "n_words", "hits", "items")
@@ -246,7 +300,7 @@ def match_documents(df: DataFrame, benchmark: DataFrame, text: str = "text", ite
 def longest_matches(df: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """For every benchmark suffix with a window: its item, first word, longest verbatim match over all shards, and where (document, word).
 
-    Ties go to the smallest document id, then word. Suffixes without a match of the shortest window are left out.
+    Of equal matches, a shard names the neighbour in its suffix order; between shards the smallest document id, then word, wins. Suffixes without a match of the shortest window are left out.
     """
     spark = df.sparkSession
     kind = df.schema[doc].dataType.simpleString()
@@ -258,17 +312,15 @@ def longest_matches(df: DataFrame, benchmark: DataFrame, doc: str = "doc_id", te
             bench = Benchmark(*block.value, window)
             begin = np.concatenate(([True], bench.owner[1:] != bench.owner[:-1])) if len(bench.owner) else np.zeros(0, bool)
             first = np.maximum.accumulate(np.where(begin, bench.starts, 0)) if len(begin) else bench.starts
-            for batch in batches:
-                for part, part_texts in chunked(batch, "__bl_text", SHARD_BYTES):
-                    words = Words(part_texts, ALNUM)
-                    length, at = ShardIndex(bench, words).longest(bench)
-                    keep = np.flatnonzero(length >= bench.shortest)
-                    base = words.first + np.arange(len(words.first))
-                    row = np.searchsorted(base, at[keep], "right") - 1
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([bench.items[i] for i in bench.owner[keep]], pa.string()), pa.array(bench.starts[keep] - first[keep]), pa.array(length[keep]), part.column(0).take(pa.array(row)), pa.array(at[keep] - base[row])],
-                        names=["item", "item_word", "match_words", "doc", "doc_word"],
-                    )
+            for part, part_texts in _shards(batches, "__bl_text"):
+                words = Words(part_texts, ALNUM)
+                keep, length, at = ShardIndex(bench, words).longest(bench)
+                base = words.first + np.arange(len(words.first))
+                row = np.searchsorted(base, at, "right") - 1
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([bench.items[i] for i in bench.owner[keep]], pa.string()), pa.array(bench.starts[keep] - first[keep]), pa.array(length), part.column(0).take(pa.array(row)), pa.array(at - base[row])],
+                    names=["item", "item_word", "match_words", "doc", "doc_word"],
+                )
 
         part = df.select(F.col(doc).alias("__bl_doc"), F.col(text).alias("__bl_text")).mapInArrow(lean(run), f"item string, item_word long, match_words long, doc {kind}, doc_word long")
         found = part if found is None else found.unionByName(part)
