@@ -7,7 +7,8 @@ Language: ``{{ expr }}``, ``{% if/elif/else/endif %}``, ``{% for x in expr %}``,
 ``{% generation %}..{% endgeneration %}``, ``{# comment #}``; ``-`` inside a tag's edge trims white space next to it.
 Expressions: literals, names, ``a.b``, ``a[b]``, ``not and or``, comparisons, ``in``, ``+ - * % ~``, filters.
 Sandbox: names are looked up in the given values only, members in mappings and sequences only; there are no calls
-but the filters below, no attribute access to Python objects, and no loops but over given sequences.
+but the filters below, no attribute access to Python objects, and no loops but over given sequences; ``*`` and ``%`` take numbers only.
+Wrong types, division by zero and tags that do not close raise ``TemplateError``.
 
 Control strings inside texts are escaped reversibly: backslashes are doubled and a backslash goes after a control
 string's first character.
@@ -97,7 +98,9 @@ class Generation:
     body: tuple
 
 
-_TAG = re.compile(r"(\{\{-?.*?-?\}\}|\{%-?.*?-?%\}|\{#.*?#\})", re.S)
+#: Inside a tag: strings, which may hold a tag's end, and other characters.
+_INSIDE = r"""(?:'(?:\\.|[^'\\])*'|"(?:\\.|[^"\\])*"|[^'"])*?"""
+_TAG = re.compile(rf"(\{{\{{-?{_INSIDE}-?\}}\}}|\{{%-?{_INSIDE}-?%\}}|\{{#.*?#\}})", re.S)
 _TOKEN = re.compile(r"\s*(?:(\d+)|('(?:\\.|[^'\\])*'|\"(?:\\.|[^\"\\])*\")|([A-Za-z_]\w*)|(==|!=|<=|>=|[-+*%~<>.,|()\[\]]))", re.S)
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r"}
 _CONSTANTS = {"true": True, "false": False, "none": None, "True": True, "False": False, "None": None}
@@ -199,6 +202,8 @@ def parse(source: str) -> tuple:
     items: list[tuple[str, str]] = []
     for i, part in enumerate(parts):
         if i % 2 == 0:
+            if "{{" in part or "{%" in part:
+                raise TemplateError(f"a tag does not close in {part[:20]!r}")
             if part:
                 items.append(("text", part))
         elif not part.startswith("{#"):
@@ -258,16 +263,30 @@ def _conditional(items: list, at: int, test: str) -> tuple[If, int]:
 
 # ---- values
 
-_BINARY: dict[str, Callable] = {
+def _checked(f: Callable) -> Callable:
+    """``f`` with its errors of type and division as the template's."""
+    def run(*args):
+        try:
+            return f(*args)
+        except (TypeError, ZeroDivisionError) as e:
+            raise TemplateError(str(e)) from e
+    return run
+
+
+def _numbers(f: Callable) -> Callable:
+    def run(a, b):
+        if not (isinstance(a, int) and isinstance(b, int)):
+            raise TemplateError("* and % are for numbers")
+        return f(a, b)
+    return run
+
+
+_BINARY: dict[str, Callable] = {k: _checked(f) for k, f in {
     "==": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b, ">": lambda a, b: a > b,
     "<=": lambda a, b: a <= b, ">=": lambda a, b: a >= b, "in": lambda a, b: a in b,
-    "+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b, "%": lambda a, b: a % b if isinstance(a, int) else _no_format(),
+    "+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": _numbers(lambda a, b: a * b), "%": _numbers(lambda a, b: a % b),
     "~": lambda a, b: _text(a) + _text(b), "neg": lambda a: -a, "not": lambda a: not a,
-}
-
-
-def _no_format():
-    raise TemplateError("% is for numbers")
+}.items()}
 
 
 def _text(value: object) -> str:
@@ -277,7 +296,7 @@ def _text(value: object) -> str:
 #: Filters; ``escape`` is bound to a template's control strings when it is compiled.
 FILTERS: dict[str, Callable] = {
     "trim": lambda v: _text(v).strip(), "upper": lambda v: _text(v).upper(), "lower": lambda v: _text(v).lower(),
-    "length": len, "default": lambda v, d="": d if v is None else v, "escape": None,
+    "length": _checked(len), "default": _checked(lambda v, d="": d if v is None else v), "escape": None,
 }
 
 

@@ -126,8 +126,13 @@ def test_templates():
     for bad in ("{{ m.f() }}", "{% if x %}", "{{ 1 + }}", "{% include 'x' %}", "{{ a|eval }}", "{% endfor %}"):
         with pytest.raises(chat.TemplateError):
             chat.Template(bad, [])
-    with pytest.raises(chat.TemplateError):
-        chat.Template("{{ '%s' % 'x' }}", [])
+    for bad in ("{{ '%s' % 'x' }}", "{{ 'x' * 300000000 }}", "{{ 1 % 0 }}", "{{ 1 + 'a' }}", "{{ 'a' in none }}", "{{ none|length }}", "{{ -'a' }}", "{{ m ", "{{ 'a }}", "{% if x"):
+        with pytest.raises(chat.TemplateError):
+            chat.Template(bad, [])
+    for bad in ("{{ m % 0 }}", "{{ m + 'a' }}", "{{ 'a' in m }}", "{{ m|length }}"):
+        with pytest.raises(chat.TemplateError):
+            chat.Template(bad, []).render([], m=1)
+    assert chat.Template("{{ 'a }} b' }}{% set x = '%}' %}{{ x ~ \"'\" }}{# it's #}}", []).render([]).text == "a }} b%}'}"
 
 
 def test_chat_round_trip(spark):
