@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -439,6 +440,24 @@ def _check_tiles(members: DataFrame, table: DataFrame, num: int, den: int) -> Da
     return rows.groupBy("tile").applyInArrow(run, "a long, b long")
 
 
+#: Bytes of sets that tiles may bring into a shuffle at once, or as many as the table of sets has.
+TILE_BYTES = 2_000_000_000
+
+
+def _tile_rounds(members: DataFrame, table: DataFrame) -> int:
+    """Rounds in which tiles are checked: each member brings its set, and a set may be in many tiles."""
+    sizes = table.select(F.col("name").alias("a"), "n")
+    held, total = (df.agg(F.sum("n")).first()[0] or 0 for df in (sizes, members.join(sizes, "a")))
+    return max(1, -(-8 * total // max(TILE_BYTES, 8 * held)))
+
+
+def _tile_links(members: DataFrame, table: DataFrame, num: int, den: int) -> list[DataFrame]:
+    """Staged links of all tiles, a table for each round; what a round shuffles is deleted before the next."""
+    rounds = _tile_rounds(members, table)
+    parts = [members if rounds == 1 else members.where(F.pmod(F.xxhash64("tile"), F.lit(rounds)) == k) for k in range(rounds)]
+    return [staged(_check_tiles(part, table, num, den), "tile-links") for part in parts]
+
+
 def similar_components(df: DataFrame, doc: str = "doc_id", text: str = "text", size: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """Per row of ``df``: ``doc``, ``n_shingles``, ``n_links`` (of its class's spanning forest), ``component_id``.
 
@@ -465,9 +484,10 @@ def similar_components(df: DataFrame, doc: str = "doc_id", text: str = "text", s
     both = likely.select(F.explode(F.array("a", "b")).alias("name")).unionByName(members.select(F.col("a").alias("name"))).distinct()
     wanted = staged(firsts.join(both, "name", "left_semi").select("name", "first"), "wanted")
     table = _set_table(rows, size, wanted, renamed)
-    links = staged(_passing(likely, table, "hashes", _exact, num, den).unionByName(_check_tiles(members, table, num, den)).distinct(), "links")
+    linked = [staged(_passing(likely, table, "hashes", _exact, num, den), "pair-links"), *_tile_links(members, table, num, den)]
+    links = staged(reduce(DataFrame.unionByName, linked).distinct(), "links")
     labels = connected_components(links)
-    unstage(found, likely, wanted, table)
+    unstage(found, likely, wanted, table, *linked)
     rooted = staged(firsts.join(labels, F.col("name") == F.col("node"), "left").select("name", "first", "copies", F.coalesce("root", "name").alias("root")), "rooted")
     parts = rooted.groupBy("root").agg(F.min("first").alias("component"), F.sum("copies").alias("rows"), F.count("*").alias("classes")).where(F.col("rows") > 1).drop("rows")
     # a component may hold any share of the classes, a class any share of the documents

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from binlore.llm import blstm, chat, components, crc32c, decontaminate, encode, extract, jaccard, lines, packing, quality, records, sharding
+from binlore.llm import blstm, chat, common, components, crc32c, decontaminate, encode, extract, jaccard, lines, packing, quality, records, sharding
 from binlore.llm.htmlblocks import blocks
 from binlore.llm.pagegen import make_page
 from binlore.llm.textbatch import ALNUM, NON_SPACE, Words, as_binary
@@ -87,6 +87,34 @@ def test_jaccard_join_without_broadcast_names(docs, monkeypatch):
     assert got == brute_components(corpus(), 4, 85, 100)
 
 
+def test_jaccard_tiles_in_rounds(docs, monkeypatch):
+    monkeypatch.setattr(jaccard, "SHORT", 1)
+    once = sorted(jaccard.similar_components(docs).collect())
+    monkeypatch.setattr(jaccard, "_tile_rounds", lambda members, table: 3)
+    assert [(r.doc_id, r.component_id) for r in sorted(jaccard.similar_components(docs).collect())] == [(r.doc_id, r.component_id) for r in once]
+
+
+def test_tile_rounds_go_by_bytes(spark, monkeypatch):
+    table = spark.createDataFrame([(1, 10), (2, 30)], "name long, n int")
+    members = spark.createDataFrame([(k, 0, 1 + k % 2) for k in range(10)], "tile long, side byte, a long")
+    assert jaccard._tile_rounds(members, table) == 1
+    monkeypatch.setattr(jaccard, "TILE_BYTES", 1)
+    assert jaccard._tile_rounds(members, table) == 5  # 200 elements in tiles, 40 in the table
+    assert jaccard._tile_rounds(members.limit(0), table) == 1 == jaccard._tile_rounds(members.limit(0), table.limit(0))
+
+
+def test_staged_tables_leave_no_shuffle_files(spark):
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").count("shuffle_")
+    rows = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    before, kept = files(), spark.conf.get(common.CLEANUP, None)
+    assert sorted(r.k for r in common.staged(rows, "few").collect()) == list(range(7))
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and spark.conf.get(common.CLEANUP, None) == kept
+
+
 def test_jaccard_odd_tables(spark, empty):
     assert jaccard.similar_components(empty).count() == 0
     rows = [(None, "a b c d e"), (7, "a b c d e"), (7, "A b c d e"), (None, None), (9, "z")]
