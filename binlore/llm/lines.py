@@ -20,6 +20,7 @@ names stay. An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import hot_join, read_table, staged, unstage
 from .components import connected_components
-from .jaccard import SHORT, _bands, _signed, _with_end, collided, intersection, similar, tile_links
-from .textbatch import chunked, lean, mix, raw
+from .jaccard import SHORT, _bands, _with_end, collided, similar, tile_links
+from .textbatch import as_binary, chunked, lean, mix, raw
 
 MIN_WORDS = 5
 #: Code points, inclusive, of scripts without spaces between words: Thai and Lao, Burmese, Khmer, Chinese and Japanese.
@@ -39,6 +40,8 @@ UNSPACED_CHARS = 2
 CHARS = 5
 #: Odd multipliers of a shingle's characters.
 GRAM = [np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) ** 5 & (1 << 64) - 1) for k in range(CHARS)]
+#: The same for the 32-bit hashes that only choose candidates.
+SKETCH = np.array([int(g) >> 32 | 1 for g in GRAM], np.uint32)
 BINS, ROWS = 72, 6
 #: Draws of each shingle into bins, so that short lines fill them too.
 DRAWS = 3
@@ -53,93 +56,173 @@ def _unspaced(text: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Characters of lines whose shingles are made at once, so that arrays stay in a core's cache; a longer line goes alone.
+BLOCK_CHARS = 1 << 15
+#: Text bytes whose lines are taken at once; a longer text goes alone.
+LINES_BYTES = 1 << 19
+
+
+def code_points(data: np.ndarray) -> np.ndarray:
+    """Characters of UTF-8 bytes."""
+    if not len(data) or data.max() < 0x80:
+        return data.astype(np.uint32)
+    return np.frombuffer(data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def in_characters(data: np.ndarray, *places: np.ndarray) -> list[np.ndarray]:
+    """Places in UTF-8 bytes as places in their characters."""
+    later = np.flatnonzero((data & 0xC0) == 0x80)
+    return [at - np.searchsorted(later, at) if len(later) else at for at in places]
+
+
+def gram_hashes(text: np.ndarray) -> np.ndarray:
+    """Hash of the shingle that starts at each character; the last ones are of what is left."""
+    t = text.astype(np.uint64)
+    h = t * GRAM[0]
+    for k in range(1, min(CHARS, len(t))):
+        h[: len(t) - k] += t[k:] * GRAM[k]
+    return mix(h)
+
+
+def blocks(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive lines of ``BLOCK_CHARS`` characters at most, one line at least."""
+    total, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + BLOCK_CHARS, "right")))
+        yield at, to
+        at = to
+
+
 class Lines:
     """The candidate lines of a chunk of texts.
 
-    ``row``, ``number``: text and place of each line; ``text``, ``lo``, ``hi``: normalised characters, flat, and where lines lie;
-    ``names``, ``checks``: halves of their hashes. ``renamed``: checks that keep a name; other lines of it are named by their checks.
+    ``row``, ``number``: text and place of each line; ``data``, ``start``, ``end``: normalised UTF-8, flat, and where lines lie;
+    ``text``, ``lo``, ``hi``: the same in characters; ``names``, ``checks``: halves of the lines' hashes. ``renamed``: checks that keep
+    a name; other lines of it are named by their checks.
     """
 
     def __init__(self, texts: pa.LargeBinaryArray, min_words: int = MIN_WORDS, renamed: dict[int, int] | None = None):
         data, off = raw(texts)
-        chars = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)
-        before = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int32)))[off]  # characters before each text
-        newline = chars == 10
-        begin = np.zeros(len(chars) + 1, bool)
-        begin[1:][newline] = True
-        begin[before[:-1][before[:-1] < before[1:]]] = True
+        try:
+            str(memoryview(data), "utf-8")
+        except UnicodeDecodeError:
+            data, off = raw(pa.array([x.decode("utf-8", "replace").encode() for x in texts.to_pylist()], pa.large_binary()))
+        firsts = off[:-1][off[:-1] < off[1:]]
+        newline = data == 10
+        begin = np.zeros(len(data) + 1, bool)
+        begin[1:] = newline
+        begin[firsts] = True
         starts = np.flatnonzero(begin[:-1])
-        all_row = np.searchsorted(before, starts, "right") - 1
-        first = np.searchsorted(starts, before[:-1])
-        all_number = np.arange(len(starts)) - first[all_row]
-        self.lines_of = np.diff(np.append(first, len(starts))) if len(first) else np.zeros(0, np.int64)
-        space = (chars == 32) | (chars >= 9) & (chars <= 13)
-        at_start = begin[:-1]
-        gap = np.ones(len(chars), bool)  # a space that follows a space or the line's start
-        gap[1:] = space[:-1]
-        gap |= at_start
-        keep = ~(space & gap) & ~newline
-        ends = np.append(starts[1:], len(chars))
-        kept_before = np.concatenate(([0], np.cumsum(keep, dtype=np.int32)))
-        text = chars[keep]
-        text[space[keep]] = 32
-        text[text - np.uint32(65) < 26] += np.uint32(32)
-        lo, hi = kept_before[starts], kept_before[ends]
-        trailing = (hi > lo) & (text[np.maximum(hi - 1, 0)] == 32) if len(text) else np.zeros(len(lo), bool)
-        hi = hi - trailing
-        spaces = np.concatenate(([0], np.cumsum(text == 32, dtype=np.int32)))
-        words = np.where(hi > lo, spaces[hi] - spaces[lo] + 1, 0)
+        all_row = np.searchsorted(off, starts, "right") - 1
+        all_number = np.arange(len(starts)) - np.searchsorted(starts, off[:-1])[all_row]
+        space = (data == 32) | (data - np.uint8(9) < 5)
+        drop = space.copy()  # a space that follows a space or the line's start
+        drop[1:] &= space[:-1] | begin[1:-1]
+        drop |= newline
+        dropped = np.flatnonzero(drop)
+        text = data[~drop]
+        text[text - np.uint8(9) < 5] = 32
+        text += (text - np.uint8(65) < 26).view(np.uint8) << np.uint8(5)  # lower-cases A-Z
+        ends = np.append(starts[1:], len(data))
+        lo, hi = (at - np.searchsorted(dropped, at) for at in (starts, ends))
+        if len(text):
+            hi = hi - ((hi > lo) & (text[np.maximum(hi - 1, 0)] == 32))
+        spaces = np.flatnonzero(text == 32)
+        words = np.where(hi > lo, np.searchsorted(spaces, hi) - np.searchsorted(spaces, lo) + 1, 0)
         use = words >= min_words
-        if len(text) and text.max() >= UNSPACED[0][0]:
-            alone = np.concatenate(([0], np.cumsum(_unspaced(text), dtype=np.int32)))
-            use |= (alone[hi] - alone[lo]) // UNSPACED_CHARS >= min_words
+        wide = np.flatnonzero(text >= 0xE0)  # where characters of UNSPACED, among others, begin
+        if len(wide):
+            some = np.flatnonzero(~use & ((np.searchsorted(wide, hi) - np.searchsorted(wide, lo)) // UNSPACED_CHARS >= min_words))
+            use[some] = [_unspaced(code_points(text[a:b])).sum() // UNSPACED_CHARS >= min_words for a, b in zip(lo[some].tolist(), hi[some].tolist())]
         self.row, self.number, self.words = all_row[use], all_number[use], words[use]
-        self.text, self.lo, self.hi = text, lo[use].astype(np.int64), hi[use].astype(np.int64)
-        view = memoryview(text.view(np.uint8)) if len(text) else memoryview(b"")
-        halves = np.frombuffer(b"".join([xxhash.xxh3_128_digest(view[4 * a : 4 * b]) for a, b in zip(self.lo.tolist(), self.hi.tolist())]), "<i8").reshape(-1, 2)
+        self.data, self.start, self.end = text, lo[use].astype(np.int64), hi[use].astype(np.int64)
+        view = memoryview(text)
+        halves = np.frombuffer(b"".join([xxhash.xxh3_128_digest(view[a:b]) for a, b in zip(self.start.tolist(), self.end.tolist())]), "<i8").reshape(-1, 2)
         self.names, self.checks = np.ascontiguousarray(halves[:, 0]), np.ascontiguousarray(halves[:, 1])
         for name, check in (renamed or {}).items():
             self.names = np.where((self.names == name) & (self.checks != check), self.checks, self.names)
 
+    @cached_property
+    def text(self) -> np.ndarray:
+        return code_points(self.data)
+
+    @cached_property
+    def _places(self) -> list[np.ndarray]:
+        return in_characters(self.data, self.start, self.end)
+
+    @property
+    def lo(self) -> np.ndarray:
+        return self._places[0]
+
+    @property
+    def hi(self) -> np.ndarray:
+        return self._places[1]
+
     def grams(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(hash of each shingle, its line's index in ``which``); a shorter line is one shingle."""
-        t = self.text.astype(np.uint64)
-        h = t * GRAM[0]
-        for k in range(1, min(CHARS, len(t))):
-            h[: len(t) - k] += t[k:] * GRAM[k]
-        h = mix(h)
+        """(32-bit hash of each shingle, its line's index in ``which``, ascending places); shingles that are no line's have the index ``len(which)``."""
+        if not len(which):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         lo, hi = self.lo[which], self.hi[which]
+        t = self.text[lo[0] : hi[-1]]
+        h = t * SKETCH[0]
+        for k in range(1, min(CHARS, len(t))):
+            h[: len(t) - k] += t[k:] * SKETCH[k]
         n = np.maximum(hi - lo - CHARS + 1, 1)
-        line = np.repeat(np.arange(len(which), dtype=np.int32), n)
-        at = np.repeat((lo - (np.cumsum(n) - n)).astype(np.int32), n)  # a chunk has fewer than 2**31 characters
-        at += np.arange(len(at), dtype=np.int32)
-        return h[at], line
+        line, counts = np.full((len(which), 2), len(which)), np.empty((len(which), 2), np.int64)
+        line[:, 0] = np.arange(len(which))
+        counts[:, 0], counts[:, 1] = n, np.append(lo[1:], hi[-1]) - lo - n
+        for k in np.flatnonzero(hi - lo < CHARS).tolist():  # a shorter line is one shingle, which ends with it
+            h[lo[k] - lo[0]] = (t[lo[k] - lo[0] : hi[k] - lo[0]] * SKETCH[: hi[k] - lo[k]]).sum(dtype=np.uint32)
+        return mix32(h), np.repeat(line.ravel(), counts.ravel())
+
+
+def mix32(h: np.ndarray) -> np.ndarray:
+    """Finaliser that spreads 32-bit values (a bijection)."""
+    h = h ^ (h >> np.uint32(16))
+    h *= np.uint32(0x85EBCA6B)
+    h ^= h >> np.uint32(13)
+    h *= np.uint32(0xC2B2AE35)
+    h ^= h >> np.uint32(16)
+    return h
+
+
+def gram_sets(text: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each shingle of the lines ``text[lo:hi]``, its line's index); a shorter line is one shingle."""
+    n = np.maximum(hi - lo - CHARS + 1, 1)
+    line = np.repeat(np.arange(len(lo), dtype=np.int32), n)
+    base = int(lo.min())
+    at = np.repeat(lo - base - (np.cumsum(n) - n), n)
+    at += np.arange(len(at))
+    h = gram_hashes(text[base : int(hi.max())])[at]
+    for k in np.flatnonzero(hi - lo < CHARS).tolist():  # its shingle ends with the line
+        h[int(n[:k].sum())] = gram_hashes(text[lo[k] : hi[k]])[0]
+    return h, line
 
 
 def minima(hashes: np.ndarray, line: np.ndarray, lines: int) -> np.ndarray:
     """One-permutation MinHash: each draw's bin comes from its high bits; empty bins take the next full one's minimum, marked by distance."""
-    top = np.uint64((1 << 64) - 1)
-    sig = np.full(lines * BINS, top, np.uint64)
-    base = line * BINS
-    for _ in range(DRAWS):
-        hashes = hashes * GRAM[1]
-        bins = hashes >> np.uint64(32)
-        bins *= np.uint64(BINS)
-        bins >>= np.uint64(32)
-        np.minimum.at(sig, bins.astype(np.int64) + base, hashes)
-    sig = sig.reshape(lines, BINS)
-    empty = sig == top
-    full = sig.copy()
-    for d in range(1, BINS):
-        if not empty.any():
-            break
-        rows = np.flatnonzero(empty.any(1))
-        moved = np.roll(full[rows], -d, axis=1)
-        fill = empty[rows] & (moved != top)
-        part = sig[rows]
-        part[fill] = moved[fill] + np.uint64(d * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-        sig[rows] = part
-        empty[rows] &= ~fill
+    most = np.uint32((1 << 32) - 1)
+    sig = np.full((lines + 1) * BINS, most)
+    base = (line * BINS).astype(np.uint32)
+    at = np.empty(len(line), np.int64)
+    for draw in range(DRAWS):
+        if draw:
+            hashes = hashes ^ hashes >> np.uint32(15)
+            hashes *= SKETCH[draw]
+        bins = hashes >> np.uint32(16)
+        bins *= np.uint32(BINS)
+        bins >>= np.uint32(16)
+        bins += base
+        at[:] = bins
+        np.minimum.at(sig, at, hashes)
+    sig = sig[: lines * BINS].reshape(lines, BINS).astype(np.uint64)
+    rows = np.flatnonzero((sig == most).any(1))
+    part = sig[rows]
+    place = np.arange(2 * BINS)
+    following = np.where(np.tile(part != most, 2), place, 2 * BINS)
+    following = np.minimum.accumulate(following[:, ::-1], 1)[:, ::-1][:, :BINS]  # the first full bin from each one on
+    distance = (following - place[:BINS]).astype(np.uint64)
+    sig[rows] = np.take_along_axis(part, following % BINS, 1) + distance * GRAM[2]
     return sig
 
 
@@ -152,21 +235,34 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return key
 
 
-_LINE = pa.schema([("kind", pa.int8()), ("name", pa.int64()), ("check", pa.int64()), ("number", pa.int32()), ("words", pa.int32()), ("lead", pa.bool_()), ("grams", pa.int32()), ("keys", pa.list_(pa.int64()))])
+_LINE = pa.schema([("kind", pa.int8()), ("name", pa.int64()), ("check", pa.int64()), ("number", pa.int32()), ("words", pa.int32()), ("lead", pa.bool_()), ("bands", pa.binary())])
+#: Bands of a line.
+BANDS = BINS // ROWS
+
+
+def _packed(names: np.ndarray, grams: np.ndarray, keys: np.ndarray) -> bytes:
+    """The bands of classes as one value, so that no engine handles them one by one."""
+    return names.tobytes() + keys.tobytes() + grams.tobytes()
+
+
+def _unpacked(value: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(names, shingles before repeats go, keys by class and band) of ``_packed``."""
+    names, keys = np.frombuffer(value, np.int64, n), np.frombuffer(value, np.uint64, n * BANDS, 8 * n)
+    return names, np.frombuffer(value, np.int32, n, 8 * n * (1 + BANDS)), keys.reshape(n, BANDS)
 
 
 def _line_table(df: DataFrame, doc_type: str, renamed: dict) -> DataFrame:
-    """Kind 0: a line (doc, number, name, check, words); 1: a class's shingles before repeats go, and bands (name, grams, keys)."""
+    """Kind 0: a line (doc, number, name, check, words); 1: the bands of ``number`` classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for part, texts in chunked(batch, "__bl_text"):
+            for part, texts in chunked(batch, "__bl_text", LINES_BYTES):
                 lines = Lines(texts, renamed=renamed)
                 docs = part.column(0)
 
-                def out(kind, n, name, check, number, words, doc=None, lead=None, grams=None, bands=None):
-                    given = (pa.array(np.full(n, kind, np.int8)), name, check, number, words, lead, grams, bands)
+                def out(kind, n, name=None, check=None, number=None, words=None, doc=None, lead=None, bands=None):
+                    given = (pa.array(np.full(n, kind, np.int8)), name, check, number, words, lead, bands)
                     arrays = [doc if doc is not None else pa.nulls(n, docs.type), *(x if isinstance(x, pa.Array) else pa.array(x) if x is not None else pa.nulls(n, t) for x, t in zip(given, _LINE.types))]
                     return pa.RecordBatch.from_arrays(arrays, names=["doc", *_LINE.names])
 
@@ -177,24 +273,64 @@ def _line_table(df: DataFrame, doc_type: str, renamed: dict) -> DataFrame:
                 names, first = np.unique(lines.names, return_index=True)
                 fresh = np.fromiter((x not in seen for x in names.tolist()), bool, len(names))
                 seen.update(names[fresh].tolist())
-                first = first[fresh]
+                first = np.sort(first[fresh])
                 if not len(first):
                     continue
-                hashes, line = lines.grams(first)
-                own = lines.names[first]
-                keys = _signed(band_keys(minima(hashes, line, len(first))).ravel())
-                bounds = np.arange(len(first) + 1, dtype=np.int32) * np.int32(BINS // ROWS)
-                yield out(1, len(first), own, None, None, None, grams=np.bincount(line, minlength=len(first)).astype(np.int32), bands=pa.ListArray.from_arrays(pa.array(bounds), pa.array(keys)))
+                sizes = lines.hi[first] - lines.lo[first]
+                sig = [minima(*lines.grams(first[x:y]), y - x) for x, y in blocks(sizes)]
+                value = _packed(lines.names[first], np.maximum(sizes - CHARS + 1, 1).astype(np.int32), band_keys(np.concatenate(sig)))
+                yield out(1, 1, number=np.array([len(first)], np.int32), bands=pa.array([value], pa.binary()))
 
-    return df.mapInArrow(lean(run), f"doc {doc_type}, kind byte, name long, check long, number int, words int, lead boolean, grams int, keys array<long>")
+    return df.mapInArrow(lean(run), f"doc {doc_type}, kind byte, name long, check long, number int, words int, lead boolean, bands binary")
 
 
 #: Rows of bands that are handled at once.
 BAND_BUFFER = 1 << 16
+#: Bytes of a bucket of bands, unless one band has more; of rows of bands dealt at once; and rows of a bucket's piece.
+BUCKET_BYTES, DEALT_ROWS, PIECE = 4 << 20, 1 << 19, 2048
+_PIECE = pa.schema([("bucket", pa.int64()), ("keys", pa.binary()), ("names", pa.binary()), ("grams", pa.binary())])
+
+
+def _bucketed(bands: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, keys, names, grams): rows of bands, dealt by ranges of keys, many to a row."""
+
+    def deal(held):
+        names, grams, keys = (np.concatenate(x) for x in zip(*held))
+        keys = keys.ravel()
+        bucket = (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+        order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
+        bucket = bucket[order]
+        starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+        counts = np.diff(np.append(starts, len(bucket)))
+        starts = np.flatnonzero((np.arange(len(bucket)) - np.repeat(starts, counts)) % PIECE == 0)
+        bounds = np.append(starts, len(bucket))
+        of = order // BANDS
+        pieces = [pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer((bounds * x.itemsize).astype(np.int32)), pa.py_buffer(x)]) for x in (keys[order], names[of], grams[of])]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[starts].astype(np.int64)), *pieces], schema=_PIECE)
+
+    def run(batches):
+        held, n, limit = [], 0, min(DEALT_ROWS, PIECE // 2 * buckets)
+        for batch in batches:
+            for count, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+                held.append(_unpacked(value.as_py(), count))
+                n += count * BANDS
+                if n >= limit:
+                    yield deal(held)
+                    held, n = [], 0
+        if n:
+            yield deal(held)
+
+    return bands.select("number", "bands").mapInArrow(lean(run), "bucket long, keys binary, names binary, grams binary")
+
+
+def _flat(column: pa.Array, dtype) -> np.ndarray:
+    """The values of a column of binaries, one after the other."""
+    column = column.cast(pa.large_binary())
+    return raw(column)[0].view(dtype)
 
 
 def _candidates(bands: DataFrame) -> DataFrame:
-    """Every pair of classes of a band, from its sorted rows: as a pair (tile null), or inside a tile (tile, side, a) where more than SHORT share the band."""
+    """Every pair of classes of a band: as a pair (tile null), or inside a tile (tile, side, a) where more than SHORT share the band."""
     schema = pa.schema([("tile", pa.int64()), ("side", pa.int8()), ("a", pa.int64()), ("b", pa.int64())])
 
     def pairs(name, starts, counts):
@@ -229,17 +365,24 @@ def _candidates(bands: DataFrame) -> DataFrame:
         held, n, limit = [], 0, BAND_BUFFER
         for batch in _with_end(batches):
             if batch is not None:
-                held.append([batch.column(i).to_numpy() for i in range(3)])
-                n += batch.num_rows
+                keys = _flat(batch.column(1), np.uint64)
+                lengths = np.diff(np.frombuffer(batch.column(1).buffers()[1], np.int32)[batch.column(1).offset :][: batch.num_rows + 1]) // 8
+                held.append([np.repeat(batch.column(0).to_numpy(), lengths), keys, _flat(batch.column(3), np.int32), _flat(batch.column(2), np.int64)])
+                n += len(keys)
                 if n < limit:
                     continue
             if not n:
                 continue
-            key, grams, name = (np.concatenate(x) for x in zip(*held))
-            cut = int(np.searchsorted(key, key[-1])) if batch is not None else n  # the last band may go on
-            held, n = [[key[cut:], grams[cut:], name[cut:]]], n - cut
+            bucket, key, grams, name = (np.concatenate(x) for x in zip(*held))
+            cut = int(np.searchsorted(bucket, bucket[-1])) if batch is not None else n  # the last bucket may go on
+            held, n = [[bucket[cut:], key[cut:], grams[cut:], name[cut:]]], n - cut
             limit = max(BAND_BUFFER, 2 * n)
-            key, grams, name = key[:cut], grams[:cut], name[:cut]
+            order = np.argsort(key[:cut])
+            same = key[order[1:]] == key[order[:-1]]
+            order = order[np.append(same, False) | np.append(False, same)] if cut else order
+            order = order[np.lexsort((name[order], grams[order], key[order]))]
+            key, grams, name = key[order], grams[order], name[order]
+            cut = len(order)
             once = np.ones(cut, bool)
             once[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
             key, grams, name = key[once], grams[once], name[once]
@@ -252,13 +395,15 @@ def _candidates(bands: DataFrame) -> DataFrame:
             for s, c in zip(starts[counts > SHORT].tolist(), counts[counts > SHORT].tolist()):
                 yield from tiles(name[s : s + c], grams[s : s + c])
 
-    dealt = bands.select(F.explode("keys").alias("key"), "grams", "name").repartition("key").sortWithinPartitions("key", "grams", "name")
+    rows = (bands.agg(F.sum(F.col("number").cast("long"))).first()[0] or 0) * BANDS
+    parts = int(bands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = _bucketed(bands, max(4 * parts, -(-20 * rows // BUCKET_BYTES))).repartition("bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(lean(run), "tile long, side byte, a long, b long")
 
 
 def _check_tiles(members: DataFrame, table: DataFrame, num: int, den: int) -> DataFrame:
     def run(group: pa.Table) -> pa.Table:
-        links = tile_links(group["a"].to_pylist(), group["side"].to_numpy(), [shingle_set(x) for x in group["line"].to_pylist()], num, den)
+        links = tile_links(group["a"].to_pylist(), group["side"].to_numpy(), shingle_sets(group["line"]), num, den)
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
     rows = members.join(table.select(F.col("name").alias("a"), "line"), "a")
@@ -283,7 +428,7 @@ def _line_texts(df: DataFrame, wanted: DataFrame, renamed: dict) -> DataFrame:
         seen: set[int] = set()
         names = few.value if few is not None else None
         for batch in batches:
-            for _, texts in chunked(batch, "__bl_text"):
+            for _, texts in chunked(batch, "__bl_text", LINES_BYTES):
                 lines = Lines(texts, renamed=renamed)
                 own, first = np.unique(lines.names, return_index=True)
                 if names is not None:
@@ -292,8 +437,8 @@ def _line_texts(df: DataFrame, wanted: DataFrame, renamed: dict) -> DataFrame:
                     own, first = own[use], first[use]
                 fresh = [k for k, x in enumerate(own.tolist()) if x not in seen]
                 seen.update(own[fresh].tolist())
-                view = lines.text
-                out = [view[lines.lo[k] : lines.hi[k]].tobytes().decode("utf-32-le", "replace") for k in first[fresh].tolist()]
+                at = first[fresh]
+                out = [lines.data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(lines.start[at].tolist(), lines.end[at].tolist())]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(own[fresh]), pa.array(out, pa.string())], schema=schema)
 
@@ -316,22 +461,46 @@ def shingle_set(line: str) -> np.ndarray:
     return h[np.concatenate(([True], h[1:] != h[:-1]))]
 
 
+def shingle_sets(lines: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
+    """``shingle_set`` of each of many lines, of one character or more."""
+    data, off = raw(as_binary(lines))
+    text = code_points(data)
+    (off,) = in_characters(data, off)
+    out = []
+    for x, y in blocks(np.diff(off)):
+        h, line = gram_sets(text, off[x:y], off[x + 1 : y + 1])
+        bounds = np.searchsorted(line, np.arange(y - x + 1)).tolist()
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            h[a:b].sort()
+        fresh = np.ones(len(h), bool)
+        fresh[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
+        h = h[fresh]
+        bounds = np.searchsorted(line[fresh], np.arange(y - x + 1)).tolist()
+        out += [h[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+    return out
+
+
+def _common(u: np.ndarray, v: np.ndarray) -> int:
+    """Size of the intersection of distinct arrays."""
+    both = np.concatenate((u, v))
+    both.sort()
+    return int(np.count_nonzero(both[1:] == both[:-1]))
+
+
 def _linked(pairs: DataFrame, table: DataFrame, num: int, den: int) -> DataFrame:
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
         for batch in batches:
-            a, b, x, y = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("a", "b", "xa", "xb"))
-            sets: dict[int, np.ndarray] = {}
-            keep = []
-            for k in range(len(a)):
-                for name, line in ((a[k], x[k]), (b[k], y[k])):
-                    if name not in sets:
-                        sets[name] = shingle_set(line)
-                u, v = sets[a[k]], sets[b[k]]
-                if min(len(u), len(v)) * den >= num * max(len(u), len(v)) and similar(intersection(u, v), len(u), len(v), num, den):
-                    keep.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in keep], pa.int64()), pa.array([b[k] for k in keep], pa.int64())], schema=schema)
+            a, b, x, y = (batch.column(batch.schema.get_field_index(c)) for c in ("a", "b", "xa", "xb"))
+            names, first, at = np.unique(np.concatenate((a.to_numpy(), b.to_numpy())), return_index=True, return_inverse=True)
+            sets = shingle_sets(pa.concat_arrays([x, y]).take(pa.array(first)))
+            n = np.array([len(s) for s in sets], np.int64)
+            u, v = at[: len(a)], at[len(a) :]
+            keep = np.flatnonzero(np.minimum(n[u], n[v]) * den >= num * np.maximum(n[u], n[v]))
+            shared = np.array([_common(sets[i], sets[j]) for i, j in zip(u[keep].tolist(), v[keep].tolist())], np.int64)
+            keep = pa.array(keep[similar(shared, n[u[keep]], n[v[keep]], num, den)])
+            yield pa.RecordBatch.from_arrays([a.take(keep), b.take(keep)], schema=schema)
 
     side = lambda c: table.select(F.col("name").alias(c), F.col("line").alias(f"x{c}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(lean(run), "a long, b long")

@@ -453,6 +453,39 @@ def test_all_lines_of_a_band_are_compared(spark):
     assert got.kept_doc.tolist() == root
 
 
+def test_bands_are_dealt_many_to_a_row(spark):
+    """No engine row is one band of one class: a task's bands go in pieces, each row of them once, a key to one bucket."""
+    r = random.Random(6)
+    texts = ["\n".join(" ".join(r.choice(["ab", "cde", "\u00e9f"]) for _ in range(r.randint(5, 40))) for _ in range(20)) for _ in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc long, __bl_text string").repartition(3).cache()
+    bands = lines._line_table(df, "bigint", {}).where("kind = 1")
+    want = Counter()
+    for part in df.rdd.glom().collect():
+        made = lines.Lines(pa.array(list({x: 0 for row in part for x in row[1].split("\n")}), pa.string()).cast(pa.large_binary()))
+        keys = lines.band_keys(lines.minima(*made.grams(np.arange(len(made.row))), len(made.row)))
+        want += Counter((k, a, n - 4) for row, a, n in zip(keys.tolist(), made.names.tolist(), (made.hi - made.lo).tolist()) for k in row)
+    pieces = lines._bucketed(bands, 5).collect()
+    got, of = Counter(), {}
+    for x in pieces:
+        keys = np.frombuffer(x["keys"], np.uint64).tolist()
+        got += Counter(zip(keys, np.frombuffer(x["names"], np.int64).tolist(), np.frombuffer(x["grams"], np.int32).tolist()))
+        assert all(of.setdefault(k, x["bucket"]) == x["bucket"] for k in keys)
+    assert got == want and bands.count() <= 3 and len(pieces) <= 3 * 5 * 2 and len(set(of.values())) == 5
+
+
+def test_bytes_that_are_no_text_shift_no_other_line():
+    made = lines.Lines(pa.array([b"\x80\x80\x80 a b c d", b"One  two three four five\n\xc3", b"six seven eight\tnine ten"], pa.large_binary()))
+    found = [made.text[a:b].tobytes().decode("utf-32-le") for a, b in zip(made.lo, made.hi)]
+    assert found == ["\ufffd\ufffd\ufffd a b c d", "one two three four five", "six seven eight nine ten"] and made.number.tolist() == [0, 0, 0]
+
+
+def test_sets_of_many_lines_are_those_of_each():
+    r = random.Random(7)
+    found = ["abc", "a" * 50, "b" * (lines.BLOCK_CHARS + 9), *("".join(r.choice("ab\u00e9\u4e00\U00020000 ") for _ in range(r.randint(1, 300))) for _ in range(300))]
+    made = lines.shingle_sets(pa.array(found, pa.string()))
+    assert len(made) == len(found) and all(np.array_equal(x, lines.shingle_set(y)) for x, y in zip(made, found))
+
+
 # ---- 8
 
 
