@@ -288,6 +288,8 @@ def _line_table(df: DataFrame, doc_type: str, renamed: dict) -> DataFrame:
 BAND_BUFFER = 1 << 16
 #: Bytes of a bucket of bands, unless one band has more; of rows of bands dealt at once; and rows of a bucket's piece.
 BUCKET_BYTES, DEALT_ROWS, PIECE = 4 << 20, 1 << 19, 2048
+#: Bytes of bands for which another partition is worth while.
+PART_BYTES = 1 << 20
 _PIECE = pa.schema([("bucket", pa.int64()), ("keys", pa.binary()), ("names", pa.binary()), ("grams", pa.binary())])
 
 
@@ -396,8 +398,11 @@ def _candidates(bands: DataFrame) -> DataFrame:
                 yield from tiles(name[s : s + c], grams[s : s + c])
 
     rows = (bands.agg(F.sum(F.col("number").cast("long"))).first()[0] or 0) * BANDS
-    parts = int(bands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = _bucketed(bands, max(4 * parts, -(-20 * rows // BUCKET_BYTES))).repartition("bucket").sortWithinPartitions("bucket")
+    size = 20 * rows
+    parts = min(int(bands.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES + 1)
+    each = size // (parts * BUCKET_BYTES) + 1
+    # buckets are of one size, so parts of as many buckets are even; a hash of the bucket would heap some up
+    dealt = _bucketed(bands, parts * each).repartitionById(parts, F.floor(F.col("bucket") / each).cast("int")).sortWithinPartitions("bucket")
     return dealt.mapInArrow(lean(run), "tile long, side byte, a long, b long")
 
 
