@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, unstage
+from .common import local_table, staged, unstage
 
 #: Edges that one partition-local forest takes before it is emitted; bounds a worker's memory.
 LOCAL_EDGES = 500_000
@@ -90,4 +90,4 @@ def connected_components(edges: DataFrame) -> DataFrame:
         unstage(now, hooks, *([old] if old is not None else []))
         now = left
     unstage(now)
-    return labels if labels is not None else spark.createDataFrame([], "node long, root long")
+    return labels if labels is not None else local_table(spark, [], ["node", "root"])

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gapless_rank, read_table, staged
+from .common import gapless_rank, local_table, read_table, staged
 from .encode import ENCODE_BYTES, PieceEncoder, tokenizer_path
 from .textbatch import chunked, lean
 
@@ -124,8 +124,7 @@ def pack(pieces: DataFrame, window: int, order: list[str]) -> DataFrame:
     spark = pieces.sparkSession
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     plan = plan_table(plan_windows(counts, window))
-    schema = "__bl_len long, __bl_first long, __bl_end long, __bl_copies long, __bl_seq long, __bl_at long"
-    slots = F.broadcast(spark.createDataFrame(plan, schema))
+    slots = F.broadcast(local_table(spark, plan, ["__bl_len", "__bl_first", "__bl_end", "__bl_copies", "__bl_seq", "__bl_at"]))
     ranked = gapless_rank(pieces, ["length"], order, "__bl_rank")
     placed = ranked.join(slots, (F.col("length") == F.col("__bl_len")) & (F.col("__bl_rank") >= F.col("__bl_first")) & (F.col("__bl_rank") < F.col("__bl_end")))
     k = F.col("__bl_rank") - F.col("__bl_first")

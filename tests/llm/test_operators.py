@@ -115,6 +115,27 @@ def test_staged_tables_leave_no_shuffle_files(spark):
     assert files() <= before and spark.conf.get(common.CLEANUP, None) == kept
 
 
+def test_small_partitions_are_staged_many_to_a_file(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "FILES_A_CORE", 1)
+    most = spark.sparkContext.defaultParallelism
+    spark.range(3000).repartition(5 * most).write.parquet(f"{tmp_path}/in")
+    rows = spark.read.parquet(f"{tmp_path}/in").repartition(4 * most, "id").withColumn("part", F.spark_partition_id())
+    table = common.staged(rows, "few")
+    assert len(table.inputFiles()) == most
+    assert sorted(r.id for r in table.collect()) == list(range(3000)) and table.select("part").distinct().count() == 4 * most
+    monkeypatch.setattr(common, "FILE_BYTES", 1)
+    assert len(common.staged(rows, "many").inputFiles()) == 4 * most  # a large table keeps its partitions
+
+
+def test_plans_from_the_driver_need_no_python_workers(spark):
+    table = common.local_table(spark, [(1, 2), (3, 4)], ["a", "b"])
+    assert [tuple(r) for r in table.collect()] == [(1, 2), (3, 4)] and table.dtypes == [("a", "bigint"), ("b", "bigint")]
+    assert common.local_table(spark, [], ["a"]).count() == 0
+    pieces = spark.range(40).select(F.col("id").alias("doc"), (F.col("id") % 9 + 1).alias("length"))
+    for made in (packing.pack(pieces, 16, ["doc"]), components.connected_components(spark.createDataFrame([], "a long, b long"))):
+        assert "SerDeUtil" not in made._jdf.queryExecution().toRdd().toDebugString()
+
+
 def test_jaccard_odd_tables(spark, empty):
     assert jaccard.similar_components(empty).count() == 0
     rows = [(None, "a b c d e"), (7, "a b c d e"), (7, "A b c d e"), (None, None), (9, "z")]
