@@ -65,9 +65,13 @@ def crc32c(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     blocks = -(-np.maximum(lengths, 4) // BLOCK)
     ends = np.cumsum(blocks) * BLOCK
     padded = np.zeros(int(ends[-1]), np.uint8)
-    at = np.repeat(ends - lengths - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
-    source = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
-    padded[at] = data[source]
+    if lengths.sum() > n * BLOCK:  # longer strings go one by one, which needs no index of their bytes
+        for to, start, length in zip(ends.tolist(), starts.tolist(), lengths.tolist()):
+            padded[to - length : to] = data[start : start + length]
+    else:
+        at = np.repeat(ends - lengths - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+        source = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+        padded[at] = data[source]
     for k in range(4):
         some = lengths > k
         padded[(ends - lengths)[some] + k] ^= 0xFF

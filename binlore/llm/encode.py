@@ -13,19 +13,20 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 
-from .textbatch import LOWER, raw, table_of
+from .textbatch import raw, table_of
 
 LETTERS = table_of((0x41, 0x5A), (0x61, 0x7A))
 PUNCTUATION = table_of((0x21, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E))
 #: Lead bytes of combining marks; ASCII letters before them are not lower-cased ahead of the tokenizer's normalizer.
 COMBINING = table_of((0xCC, 0xCD), (0xE1, 0xE3), (0xEF, 0xFF))
 
-#: Distinct pieces a worker remembers; bounds its memory. Later ones are encoded in each chunk that has them.
-CACHE_PIECES = 900_000
+#: Distinct pieces an encoder remembers; bounds a worker's memory (a dict of 699,051 doubles its table). When it is full, only the
+#: pieces of the chunk at hand stay.
+CACHE_PIECES = 690_000
 #: Text bytes encoded at once: longer chunks repeat fewer pieces.
 ENCODE_BYTES = 4 << 20
-#: Pieces joined to one text for the tokenizer.
-JOINED = 1000
+#: Pieces joined to one text for the tokenizer; longer texts take more time a piece.
+JOINED = 50
 
 
 def tokenizer_path(name: str) -> str:
@@ -49,6 +50,33 @@ def cut_points(data: np.ndarray, off: np.ndarray, fine: bool = True) -> np.ndarr
     return np.flatnonzero(marks)
 
 
+#: The encoder that a worker's tasks of one job share: (job, path, encoder).
+_shared: list[tuple[str, str, PieceEncoder]] = []
+
+
+def shared_encoder(job: str, path: str) -> PieceEncoder:
+    """The job's encoder in this worker, with the pieces that its tasks before this one met; another job's is dropped."""
+    if not _shared or _shared[0][:2] != (job, path):
+        drop_shared()
+        _shared.append((job, path, PieceEncoder(path)))
+    return _shared[0][2]
+
+
+def drop_shared() -> None:
+    """Give the shared encoder's memory back."""
+    _shared.clear()
+
+
+def _gathered(ids: np.ndarray, bounds: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, bounds) of the pieces ``which``, in their order."""
+    begin = bounds[which]
+    size = bounds[which + 1] - begin
+    after = np.concatenate(([0], np.cumsum(size)))
+    at = np.repeat((begin - after[:-1]).astype(np.int32), size)  # fewer than 2**31 ids are held
+    at += np.arange(len(at), dtype=np.int32)
+    return ids[at], after
+
+
 class PieceEncoder:
     """Encodes batches of texts with a tokenizers file; remembers pieces between batches."""
 
@@ -109,14 +137,14 @@ class PieceEncoder:
     def encode(self, texts: pa.LargeBinaryArray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with ``end_id`` appended; bounds of the texts)."""
         data, off = raw(texts)
-        lowered = LOWER[data]
-        seen = lowered.tobytes()
+        seen = data.tobytes().lower()  # ASCII letters only
+        lowered = np.frombuffer(seen, np.uint8)
         ordinary = not any(x.lower() in seen for x in self.special)  # else special tokens stay whole and as they are
         cuts = cut_points(data, off, ordinary)
         if ordinary and self.caseless and not COMBINING[data].any():
             data = lowered
         pieces = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(np.ascontiguousarray(cuts, np.int64)), pa.py_buffer(data)]).dictionary_encode()
-        vocab = pieces.dictionary.to_pylist()
+        vocab = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
         known = np.fromiter(map(self.known.get, vocab, repeat(-1)), np.int64, len(vocab))
         new = np.flatnonzero(known < 0)
         ids, bounds = self.ids, self.bounds
@@ -128,14 +156,13 @@ class PieceEncoder:
             if len(self.known) + len(new) <= CACHE_PIECES:
                 self.known.update(zip(fresh, known[new].tolist()))
                 self.ids, self.bounds = ids, bounds
+            elif len(vocab) <= CACHE_PIECES:
+                ids, bounds = _gathered(ids, bounds, known)
+                known = np.arange(len(vocab))
+                self.known, self.ids, self.bounds = dict(zip(vocab, known.tolist())), ids, bounds
         which = known[pieces.indices.to_numpy(zero_copy_only=False)] if len(vocab) else np.zeros(0, np.int64)
-        begin = bounds[which]
-        size = bounds[which + 1] - begin
-        after = np.concatenate(([0], np.cumsum(size)))
+        flat, after = _gathered(ids, bounds, which)
         ends = after[np.searchsorted(cuts, off)]  # ids before each text's bound
-        at = np.repeat((begin - after[:-1]).astype(np.int32), size)  # fewer than 2**31 ids are held
-        at += np.arange(len(at), dtype=np.int32)
-        flat = ids[at]
         rows = len(texts)
         bounds = ends + np.arange(rows + 1)  # an end id after each text
         out = np.full(bounds[-1], end_id, np.uint32)

@@ -19,6 +19,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql.types import IntegralType
 
 from .common import fresh_path, read_table
 from .crc32c import crc32c
-from .encode import ENCODE_BYTES, PieceEncoder, tokenizer_path
+from .encode import ENCODE_BYTES, drop_shared, shared_encoder, tokenizer_path
 from .textbatch import chunked, lean
 
 #: Fixed value of the checksum mask in the public record format.
@@ -105,10 +106,11 @@ def _files(df: DataFrame) -> int | None:
 def write_records(df: DataFrame, folder: str, doc: str = "doc_id", text: str = "text", path: str | None = None, end_id: int = END_ID, width: int = 2) -> DataFrame:
     """Encode all texts and write them as record files in ascending document order. Returns (file, records, tokens) rows.
 
-    ``width`` is 2 where every id fits 16 bits, else 4. The range partitioning spreads documents over the files.
+    ``width`` is 2 where every id fits 16 bits, else 4. The range partitioning spreads documents over the files. Tasks that follow each
+    other in a worker share its encoder.
     """
     path = path or tokenizer_path(TOKENIZER)
-    kind = np.dtype(f"<u{width}")
+    kind, job = np.dtype(f"<u{width}"), uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -122,7 +124,7 @@ def write_records(df: DataFrame, folder: str, doc: str = "doc_id", text: str = "
         for batch in batches:
             for part, texts in chunked(batch, "__bl_text", ENCODE_BYTES):
                 if encoder is None:
-                    encoder = PieceEncoder(path)
+                    encoder = shared_encoder(job, path)
                     data, index = files.open_output_stream(f"{root}/{name}{tag}"), files.open_output_stream(f"{root}/{name}.idx{tag}")
                 ids, bounds = encoder.encode(texts, end_id)
                 if len(ids) and ids.max() >> 8 * width:
@@ -159,6 +161,7 @@ def read_records(files: DataFrame, folder: str, width: int = 2) -> DataFrame:
     kind = np.dtype(f"<u{width}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_shared()
         for batch in batches:
             for name, first in zip(*(batch.column(i).to_pylist() for i in (0, 1))):
                 fs, root = store(folder)

@@ -249,6 +249,43 @@ def test_encoder_equals_the_library(name, monkeypatch):
                 assert ids[bounds[i] : bounds[i + 1]].tolist() == [*t.encode(text, add_special_tokens=False).ids, 7], text
 
 
+def test_encoder_keeps_the_chunk_at_hand_when_it_is_full(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = encode.tokenizer_path("byte_bpe_50k.json")
+    t, e, met = Tokenizer.from_file(path), encode.PieceEncoder(path), []
+    own = e._encode_pieces
+    monkeypatch.setattr(encode, "CACHE_PIECES", 50)
+    monkeypatch.setattr(e, "_encode_pieces", lambda pieces: met.append(len(pieces)) or own(pieces))
+    first, second, long = (" ".join(f"{kind}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(n)) for kind, n in (("x", 40), ("y", 40), ("z", 200)))
+    for text in (first, first, second, second, second + " " + first[:50], long, second):
+        ids, bounds = e.encode(as_binary(pa.array([text, ""])), 7)
+        assert ids.tolist() == [*t.encode(text, add_special_tokens=False).ids, 7, 7] and len(bounds) == 3 and len(e.known) <= 50
+    assert met == [40, 40, 13, 200]  # repeated chunks meet no new piece; a chunk of more than 50 pieces leaves those of the one before
+
+
+def test_tasks_of_a_job_share_a_workers_encoder(spark):
+    path = encode.tokenizer_path("byte_bpe_50k.json")
+
+    def run(job):
+        def task(batches):
+            for batch in batches:
+                e = encode.shared_encoder(job, path)
+                known = len(e.known)
+                e.encode(as_binary(pa.array(["some words"])), 0)
+                yield pa.RecordBatch.from_pydict({"known": [known] * len(batch)})
+
+        return spark.range(0, 40, numPartitions=40).mapInArrow(task, "known long").collect()
+
+    for job in ("one", "two"):  # another job finds none of the first one's pieces
+        known = [r.known for r in run(job)]
+        assert 0 in known and 2 in known
+    here = encode.shared_encoder("a", path)
+    assert encode.shared_encoder("a", path) is here and encode.shared_encoder("b", path) is not here
+    encode.drop_shared()
+    assert not encode._shared
+
+
 def test_best_fill_is_closest():
     r = random.Random(0)
     for _ in range(60):
